@@ -48,6 +48,25 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: At most so many keys are hot: a key is hot if it holds more than its share of rows, so there can't be more.
+HOT_KEYS = 10_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "left", least: int = 200) -> DataFrame:
+    """left joined with right (a written table, one row per key) on keys, where right[count] is at least the number of left rows of a key.
+
+    Keys of more than max(least, all / HOT_KEYS) rows are broadcast, HOT_KEYS rows at most by that rule; so no task gets
+    more rows of one key than that. The other keys shuffle. right's count column is dropped. Null keys match nothing.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.where(F.col(count) > max(least, total // HOT_KEYS)).drop(count)
+    cold = right.where(F.col(count) <= max(least, total // HOT_KEYS)).drop(count)
+    if hot.isEmpty():
+        return left.join(cold, keys, how)
+    small = F.broadcast(hot)
+    return left.join(small, keys).unionByName(left.join(small.select(*keys), keys, "left_anti").join(cold, keys, how))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, all else as it is. For pure ASCII, lower() does just that, and faster."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))

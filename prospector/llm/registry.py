@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7
+from .decontaminate import op4
 from .line_dedup import OP3_SQL, op3
+from .near_vectors import op9
+from .ngram_join import op6
 from .packing import op8
 from .sharding import op10
+from .warc import OP2_SQL, op2
 
 QUERIES = {
+    "op2_warc": op2,
     "op3_line_dedup": op3,
+    "op4_benchmark_decontamination": op4,
+    "op6_ngram_jaccard_join": op6,
+    "op7_chat_formatting": op7,
     "op8_best_fit_packing": op8,
+    "op9_embedding_near_dedup": op9,
     "op10_sharding": op10,
 }
 
-ORACLE_SQL = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_chat_formatting": OP7_SQL}

@@ -8,6 +8,7 @@ from .line_dedup import OP3_SQL, op3
 from .near_vectors import op9
 from .ngram_join import op6
 from .packing import op8
+from .quality import op5
 from .sharding import op10
 from .warc import OP2_SQL, op2
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_warc": op2,
     "op3_line_dedup": op3,
     "op4_benchmark_decontamination": op4,
+    "op5_quality_classifier": op5,
     "op6_ngram_jaccard_join": op6,
     "op7_chat_formatting": op7,
     "op8_best_fit_packing": op8,

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Word classes, as tables of 256 flags.
+#: Word classes, as tables of 256 numbers: 0 is between words, and another number begins another word.
 NOT_SPACE = bytes(0 if b == 0x20 or 0x09 <= b <= 0x0D else 1 for b in range(256))
+#: Words (1) and runs of punctuation (2).
+WORD_OR_MARK = bytes(0 if b == 0x20 or 0x09 <= b <= 0x0D else 1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(256))
 ALNUM = bytes(1 if b >= 0x80 or chr(b).isalnum() and not chr(b).isupper() else 0 for b in range(256))
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -65,8 +67,9 @@ def words(texts: pa.StringArray, kind: bytes = NOT_SPACE, lower: bool = True, ha
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, offset, none, none, np.zeros(len(offset), np.int64), none.astype(np.uint64))
-    inside = np.frombuffer(data.translate(kind), np.bool_)
-    edge = inside[1:] != inside[:-1]
+    group = np.frombuffer(data.translate(kind), np.uint8)
+    inside = group != 0
+    edge = group[1:] != group[:-1]
     begins, closes = np.empty(n, np.bool_), np.empty(n, np.bool_)
     begins[0], closes[-1] = inside[0], inside[-1]
     np.logical_and(edge, inside[1:], out=begins[1:])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7
 from .decontaminate import op4
+from .licenses import op1
 from .line_dedup import OP3_SQL, op3
 from .near_vectors import op9
 from .ngram_join import op6
@@ -13,6 +14,7 @@ from .sharding import op10
 from .warc import OP2_SQL, op2
 
 QUERIES = {
+    "op1_license_scan": op1,
     "op2_warc": op2,
     "op3_line_dedup": op3,
     "op4_benchmark_decontamination": op4,

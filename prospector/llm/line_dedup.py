@@ -3,7 +3,8 @@
 DataFrame functions only. Lines are exploded to fixed-size fingerprints (document, position, 128-bit hash of the
 normalised line), never to text; distinct documents are counted per hash with partial aggregation before the shuffle,
 so a line that sits in a third of all documents is one short row per map task when it reaches its reducer. The frequent
-hashes come back as a written table, whose known size lets Spark choose a broadcast or a skew-split sort-merge join.
+hashes come back as a written table; the few hashes that hold more than a ten-thousandth of all lines are joined by broadcast,
+the others by a shuffle.
 Texts move at most once, by document.
 """
 
@@ -12,11 +13,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, lower_ascii, table, written
+from .common import ASCII_SPACE, join_counted, lower_ascii, table, written
 
 NO_ID = -(2**63)
 
 
+def _cut(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
+    """_row (a struct of docs' columns), _text (null as empty), _lines, _cuts (sorted places of the lines that go, or null), _kept."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_text_id", F.xxhash64("_text"))
+    key = lower_ascii(F.btrim("line", F.lit(ASCII_SPACE)))
+    lines = (
+        rows.select("_id", "_text_id", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
+        .where(F.length("line") >= min_chars)
+        .select("_id", "_text_id", "pos", key.alias("key"))
+        .where(F.length("key") >= min_chars)
+        .select("_id", "_text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    )
+    lines = written(lines, "line-hashes")
+    frequent = lines.groupBy("h1", "h2").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("keeper"), F.count("*").alias("copies")).where(F.col("n") >= min_docs)
+    frequent = written(frequent.select("h1", "h2", "keeper", "copies"), "frequent-lines")
+    hit = join_counted(lines, frequent, ["h1", "h2"], "copies", "inner").where(F.col("_id") < F.col("keeper"))
+    dropped = hit.groupBy("_id", "_text_id").agg(F.array_sort(F.collect_set("pos")).alias("_cuts"))
+    # What stays of n lines is the stretches between the cuts; copying them is linear in the lines, however many are cut.
+    cut = rows.join(dropped, ["_id", "_text_id"], "left").withColumn("_lines", F.split("_text", "\n"))
+    edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col("_cuts")).alias("a"), F.concat(F.col("_cuts"), F.array(F.size("_lines"))).alias("b"))
+    kept = F.flatten(F.transform(edges, lambda e: F.slice("_lines", e["a"] + 2, e["b"] - e["a"] - 1)))
+    return cut.withColumn("_kept", F.when(F.col("_cuts").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")))
+
+
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""One row per row of docs: doc_id, n_lines, n_dropped, kept_text.
 
@@ -24,37 +48,24 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     found in at least min_docs documents lose their lines except in the largest id that holds them.
 
     Null or empty text: one empty line, kept. Rows that repeat an id count as one document; each is cut on its own. Null
-    ids count together as one document, smaller than all others. Other columns of docs are not read. Empty table: no rows.
+    ids count together as one document, smaller than all others. Other columns of docs are not used. Empty table: no rows.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("text"))
-    key = lower_ascii(F.btrim("line", F.lit(ASCII_SPACE)))
-    lines = (
-        rows.select("id", "text_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .where(F.length("line") >= min_chars)
-        .select("id", "text_id", "pos", key.alias("key"))
-        .where(F.length("key") >= min_chars)
-        .select("id", "text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    )
-    lines = written(lines, "line-hashes")
-    frequent = written(
-        lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper"),
-        "frequent-lines",
-    )
-    dropped = lines.join(frequent, ["h1", "h2"]).where(F.col("id") < F.col("keeper")).groupBy("id", "text_id").agg(F.array_sort(F.collect_set("pos")).alias("cuts"))
-    # What stays of n lines is the stretches between the cuts; copying them is linear in the lines, however many are cut.
-    cut = rows.join(dropped, ["id", "text_id"], "left").withColumn("lines", F.split("text", "\n"))
-    edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col("cuts")).alias("a"), F.concat(F.col("cuts"), F.array(F.size("lines"))).alias("b"))
-    kept = F.flatten(F.transform(edges, lambda e: F.slice("lines", e["a"] + 2, e["b"] - e["a"] - 1)))
-    return cut.select(
-        "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long").alias("n_dropped"),
-        F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+    return _cut(docs, min_chars, min_docs, id_col, text_col).select(
+        F.col("_row")[id_col].alias("doc_id"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts")).cast("long").alias("n_dropped"),
+        F.col("_kept").alias("kept_text"),
     )
 
 
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the lines taken out that line_dedup drops; all other columns, rows and texts (null ones too) as they were."""
+    cut = _cut(docs, min_chars, min_docs, id_col, text_col)
+    return cut.select(*[F.when(F.col("_cuts").isNull(), F.col("_row")[c]).otherwise(F.col("_kept")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 

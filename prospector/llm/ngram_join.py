@@ -178,6 +178,22 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     return out.select(shown(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown(component).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of linked documents, that of the smallest id; rows without words, and null ids, stay.
+
+    Rows that repeat an id and its text count as copies: one of them stays.
+    """
+    own = ngram_components(docs, size, percent, id_col, text_col)
+    gone = written(own.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, id_col, "left_semi").select(*docs.columns)
+    wordy = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(again.where(~wordy)).unionByName(again.where(wordy).dropDuplicates([id_col, text_col]))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 

@@ -5,28 +5,31 @@ Documents are sets of word shingles, as 64-bit hashes; equal sets are one class
 1. Rule out. Over a fixed part of the hash space, the tokens that only one class has are counted (one shuffle of hashes
    with partial aggregation). A class with more unique tokens than a link may miss has no link. What is left, near-copies
    and little else, is tokenised again, and ruled out once more by all its tokens.
-2. Group. Classes are partitioned into groups of similar ones: equal smallest hash, then verified against the group's
-   leader, over a few rounds with other hashes; whatever is left is a group of one. So a group is linked together by its
-   leader, and is never gathered in one place, however large.
+2. Group. Classes are partitioned into groups of similar ones: those of equal smallest hash are verified against one
+   leader, in a few rounds with other hashes, and what these links connect is a group; whatever is left is a group of one.
+   A group is never gathered in one place, however large.
 3. Token-group matrix. Tokens are ordered from rare to frequent, and of each class only the first ones are kept that a
    link can't all miss. Each group stores the union of its members' such tokens: rows (token, group). A class is compared
-   only with the groups with which it shares a cell, first with the leader.
+   only with the groups with which it shares a cell, first with the leader; of two groups the smaller one asks.
 4. Open. Where the leader didn't link and the two aren't connected yet, the overlap of the class with the union of all
    tokens of each chunk of the group bounds its similarity with every member; only chunks whose bound reaches the
-   threshold are opened, and all their members verified.
+   threshold are opened, the likeliest first, and all their members verified.
 
 A group is connected, so links inside it add nothing to components; every other link is found: results are exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, strings, table, written
+from .common import join_counted, slices, strings, table, written
 from .components import components
 from .words import NOT_SPACE, shingles, words
 
@@ -34,7 +37,9 @@ NO_ID = 2**63 - 1
 #: Part of the hash space whose tokens are counted over all documents.
 PROBE = 0.3
 #: Rounds of grouping by other hashes.
-ROUNDS = 3
+ROUNDS = 5
+#: Sets of a bucket differ in size by a factor of exp(BAND) at most.
+BAND = 0.12
 #: Members of a group whose tokens are united and opened together.
 CHUNK = 64
 #: Candidates' ids are broadcast up to so many bytes; beyond, the join shuffles.
@@ -78,6 +83,11 @@ def reaches(common: Column, n: Column, m: Column, percent: int) -> Column:
     return common * 100 >= (n + m - common) * percent
 
 
+def possible(n: Column, known: Column, m: Column, known_m: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens can link at all: they have in common at most the known tokens of either."""
+    return F.least(known, known_m) * (100 + percent) >= (n + m) * percent
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b of sets' ids, any more columns), those that link; the sizes let most others go unread."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
@@ -100,59 +110,85 @@ def _candidates(base: DataFrame, classes: DataFrame, probes: DataFrame, size: in
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """id, n, prefix: of each set, its rarest tokens, as many as a link can't all miss, without those that no other set has."""
+    """id, n, known, prefix: known tokens are those that another set has too; prefix is the rarest of them, as many as a link can't all miss."""
     each = sets.select("id", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     listed = each.join(shared, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
     known = F.size("by_df")
     free = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - known)  # of the prefix, without the unique tokens that lead it
-    return listed.where((known * 100 >= F.col("n") * percent) & (free > 0)).select("id", "n", F.transform(F.slice("by_df", 1, free), lambda s: s["token"]).alias("prefix"))
+    return listed.where((known * 100 >= F.col("n") * percent) & (free > 0)).select("id", "n", known.alias("known"), F.transform(F.slice("by_df", 1, free), lambda s: s["token"]).alias("prefix"))
 
 
-def _groups(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, leader) of all sets, and the links between members and their leaders."""
-    left, members = sets.select("id", "n", "tokens"), None
+def _stars(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets and the leaders of their buckets: in each round a bucket is the sets of equal smallest hash and about equal size; its leaders are the set of the smallest id and the smallest set, which has least of its own. Every set is in every round, so a few rounds join the stars of a group of similar sets into one component."""
+    pairs = []
     for k in range(ROUNDS):
         seed = F.array_min("tokens") if k == 0 else F.array_min(F.transform("tokens", lambda t, k=k: F.xxhash64(F.lit(k), t)))
-        seeded = written(left.select("id", "n", seed.alias("seed")), "seeds")
-        leaders = written(seeded.groupBy("seed").agg(F.min("id").alias("b"), F.count("*").alias("of")).where("of > 1").select("seed", "b"), "leaders")
-        pairs = written(seeded.join(leaders, "seed").select(F.col("id").alias("a"), "b"), "leader-pairs")
-        led = written(_verified(pairs, sets, percent).select(F.col("a").alias("id"), F.col("b").alias("leader")), "led")
-        members = led if members is None else members.unionByName(led)
-        left = written(left.join(led, "id", "left_anti"), "left") if k + 1 < ROUNDS else left.join(led, "id", "left_anti")
-    alone = left.select("id", F.col("id").alias("leader"))
-    all_ = written(members.unionByName(alone).join(sets.select("id", "n"), "id"), "groups")
-    return all_, all_.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+        band = F.floor(F.log("n") / BAND + k / ROUNDS)  # bounds of bands move from round to round
+        pairs.append(sets.select("id", "n", F.lit(k).alias("k"), F.xxhash64(seed, band).alias("seed")))
+    seeded = written(reduce(DataFrame.unionByName, pairs), "seeds")
+    leaders = written(seeded.groupBy("k", "seed").agg(F.array_distinct(F.array(F.min("id"), F.min(F.struct("n", "id"))["id"])).alias("leaders"), F.count("*").alias("of")).where("of > 1"), "leaders")
+    near = join_counted(seeded.select("id", "k", "seed"), leaders, ["k", "seed"], "of", "inner").select(F.col("id").alias("a"), F.explode("leaders").alias("b")).where("a <> b").distinct()
+    return written(_verified(written(near, "leader-pairs"), sets, percent), "stars")
+
+
+def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """ids with leader: the smallest id that links connect them with."""
+    label = components(links)
+    return ids.join(label.select(F.col("node").alias("id"), F.col("label").alias("leader")), "id", "left").withColumn("leader", F.coalesce("leader", "id"))
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) enough to connect every two classes that any links connect."""
     prefixes = written(_prefixes(sets, percent), "prefixes")
-    sets = written(sets.join(prefixes.select("id"), "id", "left_semi"), "token-sets")
-    groups, links = _groups(sets, percent)
-    rows = prefixes.select("id", "n", F.explode("prefix").alias("token"))
-    matrix = rows.select("id", "token").join(groups, "id").groupBy("token", "leader").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    queries = rows.join(groups.select("id", "leader").toDF("id", "own"), "id")
-    near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    cells = queries.join(matrix, "token").where((F.col("own") != F.col("leader")) & near)
-    asked = written(cells.groupBy("id", "leader").agg(F.first("own").alias("own")).select(F.col("id").alias("a"), F.col("leader").alias("b"), "own"), "asked")
-    direct = written(_verified(asked.select("a", "b"), sets, percent), "direct")
+    sets = written(sets.join(prefixes.select("id", "known"), "id"), "token-sets")
+    links = _stars(sets, percent)
+    groups = written(_labelled(sets.select("id", "n", "known"), links), "groups")
+    least = F.min(F.struct("n", "id"))
+    sizes = written(groups.groupBy("leader").agg(F.count("*").alias("size"), least["id"].alias("rep"), least["n"].alias("least"), F.max("n").alias("most"), F.max("known").alias("most_known")), "group-sizes")
+    rows = prefixes.select("id", F.explode("prefix").alias("token")).join(groups, "id")
+    tokens = join_counted(rows.select("token", "leader").distinct(), sizes.withColumn("rows", F.col("size") * 64), ["leader"], "rows", "inner")
+    # Of two groups the smaller one asks, row by row; the larger one answers as a whole.
+    queries = join_counted(rows.withColumnRenamed("leader", "own"), sizes.select(F.col("leader").alias("own"), F.col("size").alias("own_size"), (F.col("size") * 64).alias("rows")), ["own"], "rows", "inner")
+    near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & possible(F.col("n"), F.col("known"), F.col("least"), F.col("most_known"), percent)
+    asks = (F.col("own") != F.col("leader")) & (F.struct("own_size", "own") < F.struct("size", "leader"))
+    cells = queries.join(tokens, "token").where(near & asks)
+    asked = written(cells.groupBy("id", "leader").agg(F.first("size").alias("size"), F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("known").alias("known")), "asked")
+    direct = written(_verified(asked.select(F.col("id").alias("a"), F.col("rep").alias("b")), sets, percent), "direct")
     links = written(links.unionByName(direct), "links")
-    label = components(links)
-    of = lambda c, out: label.select(F.col("node").alias(c), F.col("label").alias(out))
-    larger = groups.groupBy("leader").agg(F.count("*").alias("size"))
-    still = asked.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    still = written(still.join(larger.where("size > 1").withColumnRenamed("leader", "b"), "b").select("a", F.col("b").alias("leader"), "size"), "still")
-    if still.isEmpty():
-        return links
-    # Chunks of the groups that are asked for: the union of all tokens of up to about CHUNK members.
-    chunks = still.select("leader", "size").distinct().join(groups, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)).alias("chunk"))
-    chunks = written(chunks, "chunks")
-    unions = chunks.join(sets, "id").select("leader", "chunk", F.explode("tokens").alias("token")).distinct().groupBy("leader", "chunk").agg(F.collect_list("token").alias("union"))
-    bound = F.size(F.array_intersect("tokens", "union")) * 100 >= F.col("n") * percent
-    opened = still.select(F.col("a").alias("id"), "leader").join(sets, "id").join(unions, "leader").where(bound).select(F.col("id").alias("a"), "leader", "chunk")
-    pairs = written(opened.join(chunks.withColumnRenamed("id", "b"), ["leader", "chunk"]).where("a <> b").select("a", "b"), "opened")
-    return written(links.unionByName(_verified(pairs, sets, percent)), "links")
+    still = _unconnected(asked.where("size > 1"), groups, links)
+    # Chunks of the groups that are asked for, of about CHUNK members of nearly one size, and the union of their tokens.
+    step = F.floor(F.log("n") / 0.02).cast("int")
+    members = written(still.select("leader").distinct().join(groups, "leader").select("leader", "id", "n", "known", step.alias("step")), "members")
+    counted = members.groupBy("leader", "step").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    chunks = written(members.join(counted, ["leader", "step"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts"), "chunks")
+    at = ["leader", "step", "chunk"]
+    bounds = chunks.groupBy(*at).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("known").alias("most_known"))
+    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & possible(F.col("n"), F.col("known"), F.col("least"), F.col("most_known"), percent)
+    looked = written(still.join(bounds, "leader").where(fits).select("id", "n", *at, "least"), "looked-at")
+    unions = chunks.join(looked.select(*at).distinct(), at, "left_semi").join(sets.select("id", "tokens"), "id").select(*at, F.explode("tokens").alias("token")).distinct().groupBy(*at).agg(F.collect_list("token").alias("union"))
+    common = F.size(F.array_intersect("tokens", "union"))
+    bounded = looked.join(sets.select("id", "tokens"), "id").join(unions, at).withColumn("common", common).where(F.col("common") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+    # The likeliest chunk first; then, for those that it doesn't connect, twice as many each time, until none is left.
+    turn = F.row_number().over(W.partitionBy("id", "leader").orderBy(F.desc("common"), "step", "chunk"))
+    todo = written(bounded.select("id", *at, F.floor(F.log2(turn)).cast("int").alias("turn")), "qualifying")
+    last = todo.agg(F.max("turn")).first()[0]
+    inside = groups.select("id", "n", "known")
+    for k in range(-1 if last is None else last + 1):
+        now = todo.where(F.col("turn") == k).select("id", *at)
+        now = (_unconnected(now, groups, links) if k else now).join(inside, "id")
+        far = chunks.select(F.col("id").alias("b"), *at, F.col("n").alias("m"), F.col("known").alias("known_m"))
+        pairs = now.join(far, at).where((F.col("id") != F.col("b")) & possible(F.col("n"), F.col("known"), F.col("m"), F.col("known_m"), percent))
+        pairs = written(pairs.select(F.col("id").alias("a"), "b"), "opened")
+        links = written(links.unionByName(_verified(pairs, sets, percent)), "links")
+    return links
+
+
+def _unconnected(asked: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of asked (id, leader, ...) whose two sides no links connect yet."""
+    at = written(_labelled(groups.select("id"), links), "labels")
+    of = lambda c, out: at.select(F.col("id").alias(c), F.col("leader").alias(out))
+    return written(asked.join(of("id", "la"), "id").join(of("leader", "lb"), "leader").where("la <> lb").select(*asked.columns), "still")
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,7 +47,7 @@ def format_phone(c: Column | str) -> Column:
 
 
 def split_phones(c: Column | str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[;,/]|\s{2,}"), F.trim), lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")) >= 8)
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[;,/]|\s{2,}"), lambda p: F.trim(p)), lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")) >= 8)
 
 
 def repair_mobile(c: Column | str) -> Column:

@@ -341,7 +341,7 @@ def people(t) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     base = lambda df, key, name, src, off: df.select(
         (F.col(key) * 2 + off).alias("idx"), F.lit(src).alias("source"), F.col(key).cast("string").alias("source_record_id"), F.concat(F.lit("Alpha "), F.regexp_extract(name, "([0-9]+)", 1)).alias("name"), none("string").alias("trade_name"),
-        F.when(F.col(key) % 5 == 0, F.lpad(F.col(key).cast("string"), 14, "1")).alias("cnpj"), F.when(F.col(key) % 4 == 0, F.concat(F.lit("www.site"), F.col(key).cast("string"), F.lit(".com"))).alias("website"),
+        F.when(F.col(key) % 5 == 0, F.lpad(F.col(key).cast("string"), 14, "0")).alias("cnpj"), F.when(F.col(key) % 4 == 0, F.concat(F.lit("www.site"), F.col(key).cast("string"), F.lit(".com"))).alias("website"),
         F.array(F.concat(F.lit("889"), F.lpad(F.col(key).cast("string"), 8, "0"))).alias("phones"), F.lit("").alias("city"), none("string").alias("street"), none("double").alias("lat"), none("double").alias("lon"), F.array().cast("array<string>").alias("linked_record_ids"),
     )
     a = base(t("customer"), "c_custkey", "c_name", "local_db", 0)

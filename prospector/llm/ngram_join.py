@@ -10,7 +10,8 @@ Documents are sets of word shingles, as 64-bit hashes; equal sets are one class
    A group is never gathered in one place, however large.
 3. Token-group matrix. Tokens are ordered from rare to frequent, and of each class only the first ones are kept that a
    link can't all miss. Each group stores the union of its members' such tokens: rows (token, group). A class is compared
-   only with the groups with which it shares a cell, first with the leader; of two groups the smaller one asks.
+   only with the groups with which it shares a cell, first with the leader; of two groups the smaller one asks. Parity
+   sketches of both sets, of a fixed size, bound their overlap before a pair is made.
 4. Open. Where the leader didn't link and the two aren't connected yet, the overlap of the class with the union of all
    tokens of each chunk of the group bounds its similarity with every member; only chunks whose bound reaches the
    threshold are opened, the likeliest first, and all their members verified.
@@ -44,11 +45,14 @@ BAND = 0.12
 CHUNK = 64
 #: Candidates' ids are broadcast up to so many bytes; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Longs of a set's parity sketch.
+SKETCH = 8
 
 
 def token_sets(docs: DataFrame, size: int, probe: float | None) -> DataFrame:
     """id, n, set (16-byte fingerprint of the sorted token set), tokens: all, or those in the first part `probe` of the hash space.
 
+    Without probe also sketch: whether an odd number of tokens falls on each of 64 * SKETCH bits.
     docs: id long, text string, and want (binary) if only rows whose fingerprint it is are asked for.
     """
     limit = np.uint64(int(probe * 2**64)) if probe else None
@@ -60,23 +64,29 @@ def token_sets(docs: DataFrame, size: int, probe: float | None) -> DataFrame:
             for a, b in slices(texts, 2 << 20):
                 w = words(texts.slice(a, b - a), NOT_SPACE)
                 all_, begin = shingles(w, size)
-                n, sets, tokens = [], [], []
+                n, sets, tokens, sketch = [], [], [], []
                 for k in range(b - a):
                     own = np.sort(all_[begin[k] : begin[k + 1]])
                     if len(own) > 1:
                         own = own[np.concatenate([[True], own[1:] != own[:-1]])]
                     n.append(len(own))
                     sets.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    if limit is None:
+                        odd = np.bincount((own % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                        sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     tokens.append((own if limit is None else own[: np.searchsorted(own, limit)]).view(np.int64))
                 at = np.zeros(len(tokens) + 1, np.int32)
                 np.cumsum([len(t) for t in tokens], out=at[1:])
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-                out = pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n, pa.int32()), pa.array(sets, pa.binary()), lists], names=["id", "n", "set", "tokens"])
+                columns = {"id": batch.column("id").slice(a, b - a), "n": pa.array(n, pa.int32()), "set": pa.array(sets, pa.binary()), "tokens": lists}
+                if limit is None:
+                    columns["sketch"] = pa.array(sketch, pa.list_(pa.int64()))
+                out = pa.RecordBatch.from_pydict(columns)
                 if wanted:
                     out = out.filter(pa.array([x == y for x, y in zip(sets, batch.column("want").slice(a, b - a).to_pylist(), strict=True)]))
                 yield out
 
-    return docs.mapInArrow(run, "id long, n int, set binary, tokens array<long>")
+    return docs.mapInArrow(run, "id long, n int, set binary, tokens array<long>" + (", sketch array<long>" if limit is None else ""))
 
 
 def reaches(common: Column, n: Column, m: Column, percent: int) -> Column:
@@ -88,6 +98,12 @@ def possible(n: Column, known: Column, m: Column, known_m: Column, percent: int)
     return F.least(known, known_m) * (100 + percent) >= (n + m) * percent
 
 
+def alike(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens can link by their sketches: every bit in which these differ is a token that only one set has."""
+    differ = reduce(Column.__add__, [F.bit_count(sketch[i].bitwiseXOR(other[i])) for i in range(SKETCH)])
+    return (n + m - differ) * (100 + percent) >= (n + m) * 2 * percent
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b of sets' ids, any more columns), those that link; the sizes let most others go unread."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
@@ -99,14 +115,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(base: DataFrame, classes: DataFrame, probes: DataFrame, size: int, percent: int) -> DataFrame:
-    """id, n, tokens of the classes that could link with another, by the unique tokens they have."""
+    """id, n, tokens, sketch of the classes that could link with another, by the unique tokens they have."""
     unique = probes.groupBy("token").agg(F.min("set").alias("set"), F.max("set").alias("other")).where("set = other").groupBy("set").agg(F.count("*").alias("unique"))
     open_ = classes.where("n > 0").join(unique, classes["key"] == unique["set"], "left").where((F.col("n") - F.coalesce("unique", F.lit(0))) * 100 >= F.col("n") * percent)
     open_ = written(open_.select(F.col("rep").alias("id"), classes["set"].alias("want")), "open-classes")
     if open_.count() * 48 <= BROADCAST_BYTES:
         open_ = F.broadcast(open_)
     sets = token_sets(base.join(open_, "id").select("id", "text", "want"), size, None).dropDuplicates(["set"])
-    return written(sets.select("id", "n", "tokens"), "token-sets")
+    return written(sets.select("id", "n", "tokens", "sketch"), "token-sets")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -143,23 +159,25 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     prefixes = written(_prefixes(sets, percent), "prefixes")
     sets = written(sets.join(prefixes.select("id", "known"), "id"), "token-sets")
     links = _stars(sets, percent)
-    groups = written(_labelled(sets.select("id", "n", "known"), links), "groups")
-    least = F.min(F.struct("n", "id"))
-    sizes = written(groups.groupBy("leader").agg(F.count("*").alias("size"), least["id"].alias("rep"), least["n"].alias("least"), F.max("n").alias("most"), F.max("known").alias("most_known")), "group-sizes")
+    groups = written(_labelled(sets.select("id", "n", "known", "sketch"), links), "groups")
+    least = F.min(F.struct("n", "id", "sketch"))
+    sizes = written(groups.groupBy("leader").agg(F.count("*").alias("size"), least["id"].alias("rep"), least["n"].alias("least"), least["sketch"].alias("rep_sketch"), F.max("n").alias("most"), F.max("known").alias("most_known")), "group-sizes")
     rows = prefixes.select("id", F.explode("prefix").alias("token")).join(groups, "id")
     tokens = join_counted(rows.select("token", "leader").distinct(), sizes.withColumn("rows", F.col("size") * 64), ["leader"], "rows", "inner")
     # Of two groups the smaller one asks, row by row; the larger one answers as a whole.
     queries = join_counted(rows.withColumnRenamed("leader", "own"), sizes.select(F.col("leader").alias("own"), F.col("size").alias("own_size"), (F.col("size") * 64).alias("rows")), ["own"], "rows", "inner")
     near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & possible(F.col("n"), F.col("known"), F.col("least"), F.col("most_known"), percent)
     asks = (F.col("own") != F.col("leader")) & (F.struct("own_size", "own") < F.struct("size", "leader"))
-    cells = queries.join(tokens, "token").where(near & asks)
-    asked = written(cells.groupBy("id", "leader").agg(F.first("size").alias("size"), F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("known").alias("known")), "asked")
-    direct = written(_verified(asked.select(F.col("id").alias("a"), F.col("rep").alias("b")), sets, percent), "direct")
+    by_rep = alike(F.col("n"), F.col("sketch"), F.col("least"), F.col("rep_sketch"), percent)
+    cells = queries.join(tokens, "token").where(near & asks & ((F.col("size") > 1) | by_rep))
+    own = ("n", "known", "sketch", "size", "rep")  # alike in all rows of an id and a leader
+    asked = written(cells.withColumn("by_rep", by_rep).groupBy("id", "leader").agg(*[F.first(c).alias(c) for c in (*own, "by_rep")]), "asked")
+    direct = written(_verified(asked.where("by_rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), sets, percent), "direct")
     links = written(links.unionByName(direct), "links")
     still = _unconnected(asked.where("size > 1"), groups, links)
     # Chunks of the groups that are asked for, of about CHUNK members of nearly one size, and the union of their tokens.
     step = F.floor(F.log("n") / 0.02).cast("int")
-    members = written(still.select("leader").distinct().join(groups, "leader").select("leader", "id", "n", "known", step.alias("step")), "members")
+    members = written(still.select("leader").distinct().join(groups, "leader").select("leader", "id", "n", "known", "sketch", step.alias("step")), "members")
     counted = members.groupBy("leader", "step").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     chunks = written(members.join(counted, ["leader", "step"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts"), "chunks")
     at = ["leader", "step", "chunk"]
@@ -173,12 +191,13 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     turn = F.row_number().over(W.partitionBy("id", "leader").orderBy(F.desc("common"), "step", "chunk"))
     todo = written(bounded.select("id", *at, F.floor(F.log2(turn)).cast("int").alias("turn")), "qualifying")
     last = todo.agg(F.max("turn")).first()[0]
-    inside = groups.select("id", "n", "known")
+    inside = groups.select("id", "n", "known", "sketch")
     for k in range(-1 if last is None else last + 1):
         now = todo.where(F.col("turn") == k).select("id", *at)
         now = (_unconnected(now, groups, links) if k else now).join(inside, "id")
-        far = chunks.select(F.col("id").alias("b"), *at, F.col("n").alias("m"), F.col("known").alias("known_m"))
-        pairs = now.join(far, at).where((F.col("id") != F.col("b")) & possible(F.col("n"), F.col("known"), F.col("m"), F.col("known_m"), percent))
+        far = chunks.select(F.col("id").alias("b"), *at, F.col("n").alias("m"), F.col("known").alias("known_m"), F.col("sketch").alias("other"))
+        can = possible(F.col("n"), F.col("known"), F.col("m"), F.col("known_m"), percent) & alike(F.col("n"), F.col("sketch"), F.col("m"), F.col("other"), percent)
+        pairs = now.join(far, at).where((F.col("id") != F.col("b")) & can)
         pairs = written(pairs.select(F.col("id").alias("a"), "b"), "opened")
         links = written(links.unionByName(_verified(pairs, sets, percent)), "links")
     return links

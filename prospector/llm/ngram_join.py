@@ -148,18 +148,23 @@ def _stars(sets: DataFrame, percent: int) -> DataFrame:
     return written(_verified(written(near, "leader-pairs"), sets, percent), "stars")
 
 
-def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """ids with leader: the smallest id that links connect them with."""
-    label = components(links)
-    return ids.join(label.select(F.col("node").alias("id"), F.col("label").alias("leader")), "id", "left").withColumn("leader", F.coalesce("leader", "id"))
-
-
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) enough to connect every two classes that any links connect."""
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) after more links (a, b): only the links between different labels are connected, the rest stays."""
+    of = lambda c, out: labels.select(F.col("id").alias(c), F.col("label").alias(out))
+    more = components(links.join(of("a", "la"), "a").join(of("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    if more.isEmpty():
+        return labels
+    upper = more.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+    return written(labels.join(upper, "label", "left").select("id", F.coalesce("upper", "label").alias("label")), "labels")
+
+
+def _labels(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, label) for every set that could link: label is the smallest id that links connect it with."""
     prefixes = written(_prefixes(sets, percent), "prefixes")
     sets = written(sets.join(prefixes.select("id", "known"), "id"), "token-sets")
-    links = _stars(sets, percent)
-    groups = written(_labelled(sets.select("id", "n", "known", "sketch"), links), "groups")
+    leader = components(_stars(sets, percent)).select(F.col("node").alias("id"), F.col("label").alias("leader"))
+    groups = written(sets.select("id", "n", "known", "sketch").join(leader, "id", "left").withColumn("leader", F.coalesce("leader", "id")), "groups")
+    labels = groups.select("id", F.col("leader").alias("label")).distinct()  # classes may repeat an id
     least = F.min(F.struct("n", "id", "sketch"))
     sizes = written(groups.groupBy("leader").agg(F.count("*").alias("size"), least["id"].alias("rep"), least["n"].alias("least"), least["sketch"].alias("rep_sketch"), F.max("n").alias("most"), F.max("known").alias("most_known")), "group-sizes")
     rows = prefixes.select("id", F.explode("prefix").alias("token")).join(groups, "id")
@@ -172,9 +177,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     cells = queries.join(tokens, "token").where(near & asks & ((F.col("size") > 1) | by_rep))
     own = ("n", "known", "sketch", "size", "rep")  # alike in all rows of an id and a leader
     asked = written(cells.withColumn("by_rep", by_rep).groupBy("id", "leader").agg(*[F.first(c).alias(c) for c in (*own, "by_rep")]), "asked")
-    direct = written(_verified(asked.where("by_rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), sets, percent), "direct")
-    links = written(links.unionByName(direct), "links")
-    still = _unconnected(asked.where("size > 1"), groups, links)
+    labels = _merged(labels, _verified(asked.where("by_rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), sets, percent))
+    still = _unconnected(asked.where("size > 1"), labels)
     # Chunks of the groups that are asked for, of about CHUNK members of nearly one size, and the union of their tokens.
     step = F.floor(F.log("n") / 0.02).cast("int")
     members = written(still.select("leader").distinct().join(groups, "leader").select("leader", "id", "n", "known", "sketch", step.alias("step")), "members")
@@ -193,20 +197,21 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     last = todo.agg(F.max("turn")).first()[0]
     inside = groups.select("id", "n", "known", "sketch")
     for k in range(-1 if last is None else last + 1):
-        now = todo.where(F.col("turn") == k).select("id", *at)
-        now = (_unconnected(now, groups, links) if k else now).join(inside, "id")
+        todo = _unconnected(todo.where(F.col("turn") >= k), labels) if k else todo
+        if k and todo.isEmpty():
+            break
+        now = todo.where(F.col("turn") == k).select("id", *at).join(inside, "id")
         far = chunks.select(F.col("id").alias("b"), *at, F.col("n").alias("m"), F.col("known").alias("known_m"), F.col("sketch").alias("other"))
         can = possible(F.col("n"), F.col("known"), F.col("m"), F.col("known_m"), percent) & alike(F.col("n"), F.col("sketch"), F.col("m"), F.col("other"), percent)
         pairs = now.join(far, at).where((F.col("id") != F.col("b")) & can)
         pairs = written(pairs.select(F.col("id").alias("a"), "b"), "opened")
-        links = written(links.unionByName(_verified(pairs, sets, percent)), "links")
-    return links
+        labels = _merged(labels, _verified(pairs, sets, percent))
+    return labels
 
 
-def _unconnected(asked: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+def _unconnected(asked: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of asked (id, leader, ...) whose two sides no links connect yet."""
-    at = written(_labelled(groups.select("id"), links), "labels")
-    of = lambda c, out: at.select(F.col("id").alias(c), F.col("leader").alias(out))
+    of = lambda c, out: labels.select(F.col("id").alias(c), F.col("label").alias(out))
     return written(asked.join(of("id", "la"), "id").join(of("leader", "lb"), "leader").where("la <> lb").select(*asked.columns), "still")
 
 
@@ -225,7 +230,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     classes = written(first.groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key")), "classes")
     probes = first.select(F.col("key").alias("set"), F.explode("tokens").alias("token"))
     sets = _candidates(base, classes, probes, size, percent)
-    label = components(_links(sets, percent))
+    label = _labels(sets, percent)
     named = written(classes.join(label.toDF("rep", "label"), "rep", "left").select("set", F.col("n").alias("size"), F.coalesce("label", "rep").alias("label")), "named")
     out = first.select("id", "n", "set").join(named, "set")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("label"))

@@ -58,6 +58,14 @@ def test_ngram_components_edges(spark):
     assert nj.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ngram_components_of_repeated_ids(spark):
+    """Two texts under one id are one document: what links with either is in one component, and no row is multiplied."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(20, a), (20, b), (21, [*a, "x"]), (22, [*b, "y"]), (23, [*b, "y", "z"]), (24, ["other", *a[:30]])]
+    got = sorted(map(tuple, nj.ngram_components(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string"), 4, 85).collect()))
+    assert got == [(20, 57, 20), (20, 57, 20), (21, 58, 20), (22, 58, 20), (23, 59, 20), (24, 28, 24)]
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     path = [(i, i + 1) for i in range(70)]
     random.Random(3).shuffle(path)

@@ -27,7 +27,7 @@ from .common import table
 
 UNKNOWN = "unknown"
 ANCHORS = r"licen[cs]|copyright|copyleft|spdx|warrant|redistribut|sublicens|permission|public domain|creative ?commons|(?<![a-z0-9])(?:cc[ -]?(?:by|0|zero)|[al]?gpl|(?:gnu|bsd|mpl|apache|mozilla|isc)(?![a-z0-9]))"
-SENTENCE = r"(?<=[.!?;:])[ \t\r]+"
+SENTENCE = r"(?<=[.!?])[ \t\r]+"
 WORD = "[a-z0-9]+"
 #: Part of a template's word pairs that a paragraph must have to confirm it.
 CONFIRMED = 0.75

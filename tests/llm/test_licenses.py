@@ -27,6 +27,15 @@ def test_known_and_unknown_statements():
     assert kind("nothing here") == []
 
 
+def test_name_after_a_colon_or_semicolon():
+    kind = lambda t: [(m[1], m[3]) for m in ls.brute_force(t)]
+    assert kind("SPDX-License-Identifier: MIT") == [("mit", True)]
+    assert kind("License: MIT") == [("mit", True)]
+    assert kind("// SPDX-License-Identifier: Apache-2.0") == [("apache", True)]
+    assert kind("See the license; MIT") == [("mit", True)]
+    assert kind("License: see the vendor.") == [("unknown", False)]
+
+
 def test_scan_matches_plain_python(spark):
     rng = random.Random(4)
     texts = [t for t, _ in rng.sample(ls.training_rows(rng, 1), 120)]

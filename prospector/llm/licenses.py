@@ -1,7 +1,9 @@
 """Operator 1, license scans: a trained paragraph classifier, and a comparison with templates that confirms it.
 
 DataFrame functions only over the documents; there is no shuffle. A paragraph (a line) is classified by its sentences that
-hold an anchor word (licence, copyright, warranty, ...); a paragraph without any is of the unknown class. Features are the
+hold an anchor word (licence, copyright, warranty, ...); a paragraph without any is of the unknown class. Lines between
+blank lines are also read joined, as a wrapped paragraph, where a sentence with an anchor word runs over a line break: the
+run as a whole and each such sentence; what that confirms is added to what the lines say. Features are the
 distinct word n-grams (one to three words) of these sentences; a multinomial logistic regression gives each licence
 family and the unknown class a probability. The temperature and the least probability of a family are calibrated on
 held-out paragraphs: below it, a paragraph is unknown. A family is confirmed when a template of it is found in the
@@ -28,6 +30,9 @@ from .common import table
 UNKNOWN = "unknown"
 ANCHORS = r"licen[cs]|copyright|copyleft|spdx|warrant|redistribut|sublicens|permission|public domain|creative ?commons|(?<![a-z0-9])(?:cc[ -]?(?:by|0|zero)|[al]?gpl|(?:gnu|bsd|mpl|apache|mozilla|isc)(?![a-z0-9]))"
 SENTENCE = r"(?<=[.!?])[ \t\r]+"
+#: Ends of sentences in wrapped lines, and lines that end a paragraph: blank, or nothing but the marks of a comment.
+WRAPPED_SENTENCE = r"(?<=[.!?])[ \t\r\n]+"
+BLANK = r"^[ \t\r*#/]*$"
 WORD = "[a-z0-9]+"
 #: Part of a template's word pairs that a paragraph must have to confirm it.
 CONFIRMED = 0.75
@@ -219,25 +224,61 @@ def _classified(paragraph: Column, model: Model) -> Column:
     return F.transform(F.transform(scored, judged), confirmed)[0]
 
 
+def _wrapped(lines: Column) -> Column:
+    """struct(paragraph, line, first, last) of runs of lines and of their sentences with an anchor word that run over a line break.
+
+    paragraph is where the run begins, first to last are its lines. Runs without such a sentence are left out.
+    """
+    blanks = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(BLANK), i)), lambda i: i.isNotNull())
+    bounds = F.concat(F.array(F.lit(-1)), blanks, F.array(F.size(lines)))
+
+    def runs(x: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(1), F.size(x["bounds"]) - 1), lambda k: F.struct((F.get(x["bounds"], k - 1) + 1).alias("first"), (F.get(x["bounds"], k) - 1).alias("last")))
+        return F.transform(F.filter(ends, lambda e: e["last"] > e["first"]), lambda e: F.struct(e.alias("e"), F.array_join(F.slice(x["lines"], e["first"] + 1, e["last"] - e["first"] + 1), "\n").alias("text")))
+
+    def units(r: Column) -> Column:
+        over = F.filter(F.split(r["text"], WRAPPED_SENTENCE), lambda s: F.contains(F.rtrim(s), F.lit("\n")) & F.lower(s).rlike(ANCHORS))
+        texts = F.transform(F.array(over), lambda o: F.when(F.size(o) > 0, F.array_distinct(F.concat(F.array(r["text"]), o))).otherwise(F.array().cast("array<string>")))[0]
+        return F.transform(texts, lambda u: F.struct(r["e"]["first"].alias("paragraph"), F.translate(u, "\n", " ").alias("line"), r["e"]["first"].alias("first"), r["e"]["last"].alias("last")))
+
+    found = F.transform(F.array(F.struct(lines.alias("lines"), bounds.alias("bounds"))), runs)[0]
+    return F.flatten(F.transform(F.filter(found, lambda r: F.lower(r["text"]).rlike(ANCHORS)), units))
+
+
 MATCH = "array<struct<paragraph:int,family:string,probability:double,confirmed:boolean,template:string>>"
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", out_col: str = "license_matches") -> DataFrame:
-    """docs with out_col: a struct (paragraph, family, probability, confirmed, template) for each paragraph that holds an anchor word.
+    """docs with out_col: a struct (paragraph, family, probability, confirmed, template) for each line that holds an anchor word,
+    and, after these, for each family that is confirmed only by reading the lines between two blank ones joined.
+
+    paragraph is the number of the line, or of the first of the joined lines.
 
     family is "unknown" where no family reaches the calibrated probability; template is the longest that confirms the
     family. Null or empty text, and text without anchor words: an empty array. Every row is judged on its own, repeated
     ones too; texts are read whole. A column of docs named like out_col is replaced. Empty table: no rows.
     """
     model = trained()
-    lines = F.transform(F.split(text_col, "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("line")))
-    some = F.filter(lines, lambda x: F.lower(x["line"]).rlike(ANCHORS))
+    one = lambda i, line: F.struct(i.alias("paragraph"), line.alias("line"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    read = lambda lines: F.concat(F.filter(F.transform(lines, lambda line, i: one(i, line)), lambda x: F.lower(x["line"]).rlike(ANCHORS)), _wrapped(lines))
+    some = F.transform(F.array(F.split(text_col, "\n")), read)[0]
 
     def scanned(x: Column) -> Column:
-        got = F.transform(F.array(_classified(x["line"], model)), lambda c: F.struct(x["paragraph"].alias("paragraph"), c["family"].alias("family"), c["probability"].alias("probability"), c["confirmed"].alias("confirmed"), c["template"].alias("template")))
+        got = F.transform(F.array(_classified(x["line"], model)), lambda c: F.struct(x["paragraph"].alias("paragraph"), c["family"].alias("family"), c["probability"].alias("probability"), c["confirmed"].alias("confirmed"), c["template"].alias("template"), x["first"].alias("first"), x["last"].alias("last")))
         return got[0]
 
-    matches = F.when(F.lower(text_col).rlike(ANCHORS), F.transform(some, scanned)).otherwise(F.array().cast(MATCH))
+    def kept(all_: Column) -> Column:
+        lines, runs = F.filter(all_, lambda x: x["first"].isNull()), F.filter(all_, lambda x: x["confirmed"] & x["first"].isNotNull())
+        both = F.transform(F.array(F.struct(lines.alias("lines"), runs.alias("runs"))), lambda b: F.concat(b["lines"], F.filter(b["runs"], lambda x, i: new(b, x, i))))
+        return F.transform(both[0], lambda x: F.struct(*[x[c].alias(c) for c in ("paragraph", "family", "probability", "confirmed", "template")]))
+
+    def new(b: Column, x: Column, i: Column) -> Column:
+        """No line of the run, and no reading of it before this one, confirms the family."""
+        said = F.exists(b["lines"], lambda y: y["confirmed"] & (y["family"] == x["family"]) & y["paragraph"].between(x["first"], x["last"]))
+        return ~said & ~F.exists(F.slice(b["runs"], 1, i), lambda y: (y["first"] == x["first"]) & (y["family"] == x["family"]))
+
+    found = F.transform(F.array(F.transform(some, scanned)), kept)[0]
+    matches = F.when(F.lower(text_col).rlike(ANCHORS), found).otherwise(F.array().cast(MATCH))
     return docs.withColumn(out_col, matches)
 
 
@@ -262,14 +303,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brute_force(text: str | None, model: Model | None = None) -> list[tuple]:
     """license_scan's matches of one text, by plain Python; for tests."""
     model = model or trained()
-    out = []
-    for i, line in enumerate((text or "").split("\n")):
-        if not re.search(ANCHORS, line.lower()):
-            continue
-        grams = grams_of(line)
+    lines = (text or "").split("\n")
+
+    def judged(paragraph: str) -> tuple:
+        grams = grams_of(paragraph)
         logits = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.bias)))
         p = _probabilities(logits[None], model.temperature)[0]
         family = model.classes[int(p.argmax())] if p.max() >= model.least else UNKNOWN
         fits = [(len(t["pairs"]), t["name"]) for t in templates().get(family, []) if len(set(t["pairs"]) & set(grams)) >= CONFIRMED * len(t["pairs"])]
-        out.append((i, family, float(p.max()), bool(fits), max(fits)[1] if fits else None))
+        return family, float(p.max()), bool(fits), max(fits)[1] if fits else None
+
+    out = [(i, *judged(line)) for i, line in enumerate(lines) if re.search(ANCHORS, line.lower())]
+    alone = {(m[0], m[1]) for m in out if m[3]}
+    bounds = [-1, *[i for i, line in enumerate(lines) if re.search(BLANK, line)], len(lines)]
+    for first, end in zip([b + 1 for b in bounds], bounds[1:], strict=False):
+        run = "\n".join(lines[first:end])
+        over = [s for s in re.split(WRAPPED_SENTENCE, run) if "\n" in s.rstrip(" ") and re.search(ANCHORS, s.lower())]
+        known = {f for i, f in alone if first <= i < end}
+        for unit in dict.fromkeys([run, *over] if over else []):
+            got = judged(unit.replace("\n", " "))
+            if got[2] and got[0] not in known:
+                known.add(got[0])
+                out.append((first, *got))
     return out

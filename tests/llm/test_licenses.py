@@ -36,6 +36,40 @@ def test_name_after_a_colon_or_semicolon():
     assert kind("License: see the vendor.") == [("unknown", False)]
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS."""
+WRAPPED = {
+    "mit": MIT, "bsd": BSD, "isc": ISC, "mit,": f"Copyright (c) 2020 The Authors\n\n{MIT}\n\n{DISCLAIMER}", "isc,": f"{ISC}\n{DISCLAIMER}", "bsd,": "\r\n".join(BSD.split("\n")),
+    "mit,,": "/*\n" + "\n".join(f" * {line}".rstrip() for line in f"{MIT}\n\n{DISCLAIMER}".split("\n")) + "\n */", "isc,,": f"Some words first.\n{ISC} More words.\nThe last line.",
+}
+
+
+def test_wrapped_texts(spark):
+    for key, text in WRAPPED.items():
+        assert {m[1] for m in ls.brute_force(text) if m[3]} == {key.strip(",")}, key
+    both = f"Some words.\n{BSD}\nA line.\n{ISC}\nReleased under the Apache License 2.0.\nOther words."
+    assert {m[1] for m in ls.brute_force(both) if m[3]} == {"bsd", "isc", "apache"}
+    assert [(m[0], m[1], m[3]) for m in ls.brute_force("Released under the MIT License.\nLicensed under CC BY-NC 4.0.")] == [(0, "mit", True), (1, "cc-by-nc", True)]
+    assert [m[3] for m in ls.brute_force("He asked for permission to\nspeak.\n\nThe licence\nplate.")] == [False, False]
+    texts = [*WRAPPED.values(), both, "\n".join(WRAPPED.values()), "\n\n".join(WRAPPED.values()), "\n \n*\n" + MIT + "\n\n\n", "a\n\nthe licence \n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in ls.license_scan(df).collect():
+        got = [(m["paragraph"], m["family"], round(m["probability"], 9), m["confirmed"], m["template"]) for m in r["license_matches"]]
+        assert got == [(i, f, round(p, 9), c, t) for i, f, p, c, t in ls.brute_force(r["text"])], r["doc_id"]
+
+
 def test_scan_matches_plain_python(spark):
     rng = random.Random(4)
     texts = [t for t, _ in rng.sample(ls.training_rows(rng, 1), 120)]

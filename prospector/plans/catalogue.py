@@ -336,6 +336,13 @@ def blocking_pairs(t):
     return resolve.candidate_pairs(keys)
 
 
+@query()
+def blocking_pairs_whole_text(t):
+    """blocking_pairs by all distinct words of the whole text, with the reference's rule of 2 to 400 only; tested by brute force."""
+    keys = t("documents").select(F.col("doc_id").alias("idx"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("key"))
+    return resolve.candidate_pairs(keys)
+
+
 def people(t) -> DataFrame:
     """customer and supplier as source records of one idx space."""
     none = lambda kind: F.lit(None).cast(kind)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüýÿçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÝÇÑ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
+# Combining marks, and the characters that canonical decomposition takes apart into an ASCII character and such marks.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+DECOMPOSED = {c: d[0] for c in map(chr, range(0x80, 0x10000)) if (d := unicodedata.normalize("NFD", c)) != c and d[0].isascii() and not d[1:].strip(MARKS)}
+ACCENTED = "".join(DECOMPOSED) + MARKS  # marks have no counterpart in PLAIN and are deleted
+PLAIN = "".join(DECOMPOSED.values())
 
 # Words that results depend on.
 LEGAL_SUFFIXES = r"\b(ltda|me|epp|eireli|s a|sa|mei|limitada|comercio|servicos|com|serv)\b"

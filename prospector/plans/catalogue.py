@@ -318,6 +318,12 @@ def fold_text(t):
     return t("documents").where("text is not null and lang in ('fr', 'es', 'en')").select("doc_id", F.sha2(text.fold_text("text"), 256).alias("folded"))
 
 
+@query()
+def fold_all_documents(t):
+    """fold_text of every document, of any language or none; a null text is empty. Tested by brute force."""
+    return t("documents").select("doc_id", F.sha2(text.fold_text("text"), 256).alias("folded"))
+
+
 TRIGRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
 
 
@@ -534,6 +540,12 @@ def link_nodes(t):
     return connected(e).agg(n("nodes"))
 
 
+@query()
+def link_components(t):
+    """(node, component) over all links of parts (even nodes) and suppliers (odd ones); tested by brute force."""
+    return connected(t("lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
+
+
 @query()
 def lead_qualification(t):
     """Seven dimensions, score, confidence and reasons of every company, its signals taken from its orders."""

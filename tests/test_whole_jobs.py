@@ -1,7 +1,10 @@
 """Queries without SQL that do a whole job, against brute force."""
 
+import hashlib
 import itertools
+import random
 import re
+import unicodedata
 from collections import defaultdict
 
 from prospector.plans.catalogue import QUERIES
@@ -21,3 +24,38 @@ def test_blocking_reads_whole_texts(spark, tmp_path):
     want = {p for ids in blocks.values() if 2 <= len(ids) <= 400 for p in itertools.combinations(sorted(ids), 2)}
     got = [tuple(r) for r in QUERIES["blocking_pairs_whole_text"](spark, str(tmp_path)).select("a", "b").collect()]
     assert (1, 2) in got and len(got) == len(want) and set(got) == want
+
+
+def test_every_document_is_folded(spark, tmp_path):
+    def fold(text):
+        bare = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", text or ""))
+        return hashlib.sha256(re.sub("[^a-z0-9]+", " ", bare.lower()).strip().encode()).hexdigest()
+
+    rows = [(1, "Größe über ÄÖÜ ẞ", "de"), (2, None, "de"), (3, "Šířka, ő ű ł ø", "cs"), (4, "e\u0301te\u0301 Ấn", None), (5, "", "fr"), (6, "日本 İI \u212a \u1e9b", "ja"), (7, "¡Qué!", "es")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, docs in ((str(tmp_path), rows), (DIR, [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()])):
+        got = sorted(map(tuple, QUERIES["fold_all_documents"](spark, folder).select("doc_id", "folded").collect()))
+        assert got == sorted((d[0], fold(d[1])) for d in docs)
+
+
+def test_components_of_all_links(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(300), rng.randrange(250)) for _ in range(260)] + [(400 + i // 2, 400 + (i + 1) // 2) for i in range(60)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    links = spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    for folder, pairs in ((str(tmp_path), rows), (DIR, links)):
+        near = defaultdict(set)
+        for p, s in pairs:
+            near[2 * p].add(2 * s + 1)
+            near[2 * s + 1].add(2 * p)
+        want = {}
+        for node in sorted(near):
+            open_ = [] if node in want else [node]
+            while open_:
+                at = open_.pop()
+                if at not in want:
+                    want[at] = node
+                    open_ += near[at]
+        got = [tuple(r) for r in QUERIES["link_components"](spark, folder).select("node", "component").collect()]
+        assert len(got) == len(want) and dict(got) == want
+        assert folder == DIR or len(set(want.values())) > 10

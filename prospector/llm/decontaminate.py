@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import slices, strings, table
 from .words import ALNUM, words
@@ -272,27 +273,56 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     return out.select("doc_id", "n_words", F.aggregate(F.array_sort("spans"), start, step)["n"].alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans")
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
+def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the hit words of every text, and what stands between them inside a span, taken out; other columns and texts as they were."""
-    for q in query_blocks(benchmark, window):
+    blocks = list(query_blocks(benchmark, window, block_bytes=block_bytes))
+    where, schema = docs.columns.index(text_col), docs.schema
+    # Every block is searched in the text as it was: what the blocks before it found goes along as a column, and the last cuts.
+    found, field = "_spans_found", pa.list_(pa.list_(pa.int32()))
+    for k, q in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(q)
-        where = docs.columns.index(text_col)
 
-        def run(batches, shared=shared, where=where):
+        def run(batches, shared=shared, first=k == 0, last=k == len(blocks) - 1):
             for batch in batches:
                 texts = strings(batch.column(where))
-                out = batch.column(where).to_pylist()
+                before = None if first else batch.column(batch.num_columns - 1).to_pylist()
+                out = batch.column(where).to_pylist() if last else [[] if first else before[i] for i in range(len(texts))]
                 for a, b in slices(texts, SHARD_BYTES):
                     w = words(texts.slice(a, b - a), ALNUM)
-                    for t, spans in search(w, shared.value).spans.items():
+                    hits = search(w, shared.value).spans
+                    for t in range(b - a):
+                        spans = hits.get(t, [])
+                        if not first:
+                            spans = _united([*map(tuple, before[a + t]), *spans])
+                        if not spans:
+                            continue
+                        if not last:
+                            out[a + t] = [list(s) for s in spans]
+                            continue
                         raw, base, at, kept = texts[a + t].as_py().encode(), w.offset[t], 0, []
                         for x, y in spans:
                             kept.append(raw[at : w.starts[w.first[t] + x] - base])
                             at = w.ends[w.first[t] + y - 1] - base
                         out[a + t] = b"".join([*kept, raw[at:]]).decode()
-                yield batch.set_column(where, batch.schema.field(where).with_type(pa.string()), pa.array(out, pa.string()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+                if not first:
+                    batch = batch.select(batch.schema.names[:-1])
+                if last:
+                    yield batch.set_column(where, batch.schema.field(where).with_type(pa.string()), pa.array(out, pa.string()))
+                else:
+                    yield batch.append_column(found, pa.array(out, field))
+
+        docs = docs.mapInArrow(run, schema if k == len(blocks) - 1 else StructType(list(schema.fields)).add(found, ArrayType(ArrayType(IntegerType()))))
     return docs
 
 

@@ -57,6 +57,22 @@ def test_cut_spans_takes_out_what_is_hit_and_nothing_else(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "before ÀÉ, ! after", "k"), (2, "clean text", None), (3, None, "k"), (4, "", "k")]
 
 
+def test_cut_spans_does_not_depend_on_the_blocks(spark):
+    part = lambda i: " ".join(f"p{j}" for j in range(i * 6, i * 6 + 14))
+    whole = " ".join(f"p{j}" for j in range(44))
+    items = [(i, part(i)) for i in range(6)] + [(6, "left one two three four right five six seven eight")]
+    docs = [(1, f"before {whole} after"), (2, "clean"), (3, None), (4, f"left one two three four {whole} right five six seven eight"), (5, whole)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [(1, "before  after"), (2, "clean"), (3, None), (4, "left one two three four  right five six seven eight"), (5, "")]
+    size = sum(len(t) + 32 for _, t in items)
+    for blocks in (1, 2, 4):
+        block_bytes = -(-size // blocks)
+        assert len(list(dc.query_blocks(bench, dc.WINDOW, block_bytes=block_bytes))) == blocks
+        got = dc.cut_spans(df, bench, block_bytes=block_bytes)
+        assert got.schema == df.schema and sorted(map(tuple, got.collect())) == want, blocks
+
+
 def test_index_against_naive_search():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 4, 3000)

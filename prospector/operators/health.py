@@ -28,6 +28,23 @@ def moving_latency(values: Column) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), step)
 
 
+def moving_latencies(log: DataFrame) -> DataFrame:
+    """(source, latency) of log (source, ts, id, value): moving_latency over the rows in order of ts and id, without gathering them.
+
+    An hour's rows are weighted among themselves; its sum then counts by OLD to the power of the number of later rows. So a
+    source with many rows is spread by hour, and only one row an hour is ordered per source.
+    """
+    hour = F.date_trunc("hour", F.col("ts"))
+    late = F.row_number().over(W.partitionBy("source", "_hour").orderBy(F.desc("ts"), F.desc("id"))) - 1
+    parts = log.withColumn("_hour", hour).withColumn("_late", late).groupBy("source", "_hour").agg(F.sum(F.lit(NEW) * F.col("value") * F.pow(F.lit(OLD), "_late")).alias("_sum"), F.count("*").alias("_n"), F.max_by("value", "_late").alias("_first"))
+    by_hour = W.partitionBy("source").orderBy(F.desc("_hour"))
+    after = F.coalesce(F.sum("_n").over(by_hour.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_after", after)
+    # The first value of all stands for itself: it lacks the share that OLD would give to a past.
+    first = F.min_by("_first", "_hour") * OLD * F.pow(F.lit(OLD), F.sum("_n") - 1)
+    return parts.groupBy("source").agg((F.sum(F.col("_sum") * F.pow(F.lit(OLD), "_after")) + first).alias("latency"))
+
+
 def breaker(events: Column) -> Column:
     """struct(state, failures, opened_at, trips) after an ordered array of (ts long seconds, ok): three failures open it, after the cool-down one trial closes or reopens it. Requests while it is open are not counted."""
     start = F.struct(F.lit("CLOSED").alias("state"), F.lit(0).alias("failures"), F.lit(None).cast("long").alias("opened_at"), F.lit(0).alias("trips"))

@@ -499,8 +499,7 @@ def breaker_fold(t):
 @query("""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT user_id AS source, round(sum(value * CASE WHEN r = 1 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - r) END), 6) AS latency FROM e GROUP BY 1""")
 def moving_latency(t):
-    e = t("events").groupBy(F.col("user_id").alias("source")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    return e.select("source", F.round(health.moving_latency(F.col("e")["value"]), 6).alias("latency"))
+    return health.moving_latencies(request_log(t)).select("source", F.round("latency", 6).alias("latency"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

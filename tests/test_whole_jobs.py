@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import defaultdict
 
+from prospector.operators import health
 from prospector.plans.catalogue import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -59,3 +60,16 @@ def test_components_of_all_links(spark, tmp_path):
         got = [tuple(r) for r in QUERIES["link_components"](spark, folder).select("node", "component").collect()]
         assert len(got) == len(want) and dict(got) == want
         assert folder == DIR or len(set(want.values())) > 10
+
+
+def test_moving_latency_gathers_no_history(spark):
+    rng = random.Random(8)
+    rows = [(u, 1_700_000_000 + rng.randrange(40_000), i, rng.random() * 100) for i in range(900) for u in [rng.choice([1, 1, 1, 2, 3])]] + [(9, 5, 1, 4.0)]
+    log = spark.createDataFrame(rows, "source long, s long, id long, value double").selectExpr("source", "timestamp_seconds(s) AS ts", "id", "value")
+    want = {}
+    for u, _, _, v in sorted(rows):
+        want[u] = want[u] * health.OLD + v * health.NEW if u in want else v
+    got = dict(map(tuple, health.moving_latencies(log).collect()))
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-9 for u in want)
+    plan = QUERIES["moving_latency"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import cell, haversine
 from ..functions.ids import email, phone_key, tax_id, website_domain
 from ..functions.text import fold_text, name_similarity, normalize_business_name, round_half_up, significant_tokens
-from .graph import connected
+from .graph import connected, stored
 
 BLOCK_CAP = 400
 # Source order, priorities by field group, and weights that results depend on.
@@ -106,10 +106,15 @@ def _fits(x: str, y: str) -> bool:
 
 
 def _guarded(links: pd.DataFrame) -> pd.DataFrame:
-    """Unions in order of level, then of the pair, but for those that would join two tax ids or cities that don't fit."""
+    """Unions in order of level, then of the pair, but for those that would join two tax ids or cities that don't fit.
+
+    A row per record with its cluster and the weakest rank that joined it, then a row (a, b) per refused link.
+    """
     root: dict[int, int] = {}
     tax: dict[int, set] = {}
     city: dict[int, set] = {}
+    weakest: dict[int, int] = {}
+    refused = []
     for s in ("a", "b"):
         for i, t, c in zip(links[s], links[f"{s}_tax"], links[f"{s}_city"], strict=True):
             root[i], tax[i], city[i] = i, {t} - {None}, {c} - {""}
@@ -122,16 +127,22 @@ def _guarded(links: pd.DataFrame) -> pd.DataFrame:
 
     for r in links.sort_values(["rank", "a", "b"], ascending=[False, True, True]).itertuples():
         x, y = sorted((find(r.a), find(r.b)))
-        if x == y or len(tax[x] | tax[y]) > 1 or (not r.same_record and not all(_fits(m, n) for m in city[x] for n in city[y])):
+        if x == y:
+            continue
+        cities = city[x] | city[y]
+        if len(tax[x] | tax[y]) > 1 or (not r.same_record and not all(_fits(m, n) for m in cities for n in cities)):
+            refused.append((r.a, r.b))
             continue
         root[y] = x
         tax[x] |= tax[y]
-        city[x] |= city[y]
-    return pd.DataFrame({"idx": list(root), "cluster": [find(i) for i in root]})
+        city[x] = cities
+        weakest[x] = min(weakest.get(x, r.rank), weakest.get(y, r.rank), r.rank)
+    rows = [(i, find(i), weakest.get(find(i)), None, None) for i in root] + [(None, None, None, x, y) for x, y in refused]
+    return pd.DataFrame(rows, columns=["idx", "cluster", "weakest", "a", "b"]).astype("Int64")
 
 
-def clusters(p: DataFrame, levels: DataFrame) -> DataFrame:
-    """(idx, cluster) of all prepared records: EXACT and HIGH links join, guards permitting; cluster is its smallest idx."""
+def _joined(p: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sure links, (idx, cluster) of components in which no guard can speak, and the rows of _guarded of the others."""
     rank = F.when(F.col("level") == "EXACT", 3).when(F.col("level") == "HIGH", 2)
     side = lambda s: p.select(F.col("idx").alias(s), F.col("tax").alias(f"{s}_tax"), F.col("city_key").alias(f"{s}_city"), F.col("identity").alias(f"{s}_identity"))
     sure = levels.where(rank.isNotNull()).select("a", "b", rank.alias("rank"))
@@ -141,11 +152,36 @@ def clusters(p: DataFrame, levels: DataFrame) -> DataFrame:
     easy = parts.join(open_, "component", "left_anti").select(F.col("node").alias("idx"), F.col("component").alias("cluster"))
     own = sure.join(parts.select(F.col("node").alias("a"), "component"), "a").join(open_, "component").join(side("a"), "a").join(side("b"), "b")
     own = own.select("component", "a", "b", "rank", "a_tax", "b_tax", "a_city", "b_city", F.arrays_overlap("a_identity", "b_identity").alias("same_record"))
-    hard = own.groupBy("component").applyInPandas(_guarded, "idx long, cluster long")
-    known = easy.unionByName(hard)
+    return sure, easy, own.groupBy("component").applyInPandas(_guarded, "idx long, cluster long, weakest long, a long, b long")
+
+
+def clusters(p: DataFrame, levels: DataFrame) -> DataFrame:
+    """(idx, cluster) of all prepared records: EXACT and HIGH links join, guards permitting; cluster is its smallest idx."""
+    _, easy, hard = _joined(p, levels)
+    known = easy.unionByName(hard.where("idx is not null").select("idx", "cluster"))
     return p.select("idx").join(known, "idx", "left").select("idx", F.coalesce("cluster", "idx").alias("cluster"))
 
 
+def merged(p: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(idx, cluster, confidence) of all records, and the pairs (a, b, level) to review.
+
+    confidence is the weakest level that joined the cluster, null for a record alone. Pairs are the links of MEDIUM and LOW
+    level and, as MEDIUM, the sure links that the guards refused, between records of different clusters.
+    """
+    sure, easy, hard = _joined(p, levels)
+    hard = stored(hard)
+    # Without guards, a cluster is as weak as HIGH unless its EXACT links alone connect it.
+    exact = connected(sure.where("rank = 3")).select(F.col("node").alias("idx"), F.col("component").alias("exact"))
+    whole = easy.join(exact, "idx", "left").groupBy("cluster").agg((F.countDistinct(F.coalesce("exact", -F.col("idx") - 1)) == 1).alias("whole"))
+    soft = easy.join(whole, "cluster").select("idx", "cluster", F.when(F.col("whole"), 3).otherwise(2).cast("long").alias("weakest"))
+    known = soft.unionByName(hard.where("idx is not null").select("idx", "cluster", "weakest"))
+    level = F.when(F.col("weakest") == 3, "EXACT").when(F.col("weakest") == 2, "HIGH")
+    members = p.select("idx").join(known, "idx", "left").select("idx", F.coalesce("cluster", "idx").alias("cluster"), level.alias("confidence"))
+    review = levels.where("level in ('MEDIUM', 'LOW')").select("a", "b", "level").unionByName(hard.where("a is not null").select("a", "b", F.lit("MEDIUM").alias("level")))
+    side = lambda s: members.select(F.col("idx").alias(s), F.col("cluster").alias(f"_{s}"))
+    return members, review.join(side("a"), "a").join(side("b"), "b").where("_a <> _b").select("a", "b", "level")
+
+
 def compare_key(field: str, c: Column) -> Column:
     if field in ("phone", "whatsapp"):
         return F.coalesce(phone_key(c), F.regexp_replace(c, "[^0-9]", ""))

@@ -375,6 +375,49 @@ def guarded_clusters(t):
     return resolve.clusters(p, resolve.classify(p, resolve.candidate_pairs(keys)))
 
 
+def rivals(t) -> DataFrame:
+    """customer and supplier as groups of four keys each with names, tax ids, cities, phones, sites and coordinates that agree in part and conflict in part."""
+    none = F.lit(None).cast("string")
+
+    def base(df, key, src, off):
+        k, m = F.col(key), F.col(key) % 4
+        g = F.floor(k / 4)
+        name = F.concat(F.lit("Alpha zor"), F.translate(g.cast("string"), "0123456789", "bcdfghjklm"), F.when(m == 3, " sul").when((m == 2) & (g % 2 == 0), " 2").otherwise(""))
+        place = lambda start, step: F.when(m != 1, F.lit(start) + (g % 1000) * 0.01 + m * step)
+        return df.select(
+            (k * 2 + off).alias("idx"), F.lit(src).alias("source"), k.cast("string").alias("source_record_id"), name.alias("name"), none.alias("trade_name"),
+            F.when(m == off, F.lpad((k * 2 + off).cast("string"), 14, "0")).alias("cnpj"), F.when((m == 3) & (g % 3 == 0), F.concat(F.lit("www.site"), g.cast("string"), F.lit(".com"))).alias("website"),
+            F.array(F.concat(F.lit("889"), F.lpad(F.when(m.isin(1, 2), g).otherwise(k * 2 + off + 20_000_000).cast("string"), 8, "0"))).alias("phones"),
+            F.element_at(F.array(F.lit(""), F.lit("Sobral"), F.lit("Fortaleza")), ((k + off) % 3 + 1).cast("int")).alias("city"), none.alias("street"), place(-3.6, 0.0005).alias("lat"), place(-40.3, 0.0005).alias("lon"),
+            F.when((m == 3) & (g % 5 == 0), F.array(F.concat(F.lit("local_db:"), (k - 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("linked_record_ids"),
+        )
+
+    return base(t("customer"), "c_custkey", "local_db", 0).unionByName(base(t("supplier"), "s_suppkey", "places_overture", 1))
+
+
+def rival_levels(t) -> tuple[DataFrame, DataFrame]:
+    p = resolve.prepare(rivals(t))
+    return p, resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p)))
+
+
+@query()
+def pair_evidence(t):
+    """Levels of all pairs that any of the six kinds of block keys makes; tested by brute force."""
+    return rival_levels(t)[1]
+
+
+@query()
+def conflicting_clusters(t):
+    """Clusters with their confidence where tax ids and cities conflict; tested by brute force."""
+    return resolve.merged(*rival_levels(t))[0]
+
+
+@query()
+def merge_reviews(t):
+    """Pairs to review: MEDIUM and LOW ones, and those that the guards refused; tested by brute force."""
+    return resolve.merged(*rival_levels(t))[1]
+
+
 FUSED_SQL = """WITH r AS (SELECT c_custkey AS k, 'local_db' AS source, c_name AS name, '88' || lpad(CAST(c_custkey AS VARCHAR), 9, '9') AS phone FROM customer UNION ALL SELECT s_suppkey, 'places_overture', s_name, '88' || lpad(CAST(s_suppkey * 3 AS VARCHAR), 9, '9') FROM supplier),
 b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN source = 'places_overture' THEN 2 ELSE 1 END DESC) AS r FROM r)"""
 

@@ -2,13 +2,14 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import unicodedata
 from collections import defaultdict
 
-from prospector.operators import health
-from prospector.plans.catalogue import QUERIES
+from prospector.operators import health, resolve
+from prospector.plans.catalogue import QUERIES, rivals, table
 
 DIR = "/root/testdata/sf0.001"
 
@@ -73,3 +74,87 @@ def test_moving_latency_gathers_no_history(spark):
     assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-9 for u in want)
     plan = QUERIES["moving_latency"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def level_of(a, b):
+    """The level of two prepared records, by plain Python."""
+
+    def grams(s):
+        return {f"  {s} "[i : i + 3] for i in range(len(s) + 1)}
+
+    x, y = a["norm"], b["norm"]
+    sim = 0.0 if not x or not y else 1.0 if x == y else len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+    shared = set(a["tokens"]) & set(b["tokens"])
+    if set(a["identity"]) & set(b["identity"]):
+        return "EXACT"
+    if a["tax"] and b["tax"]:
+        return "EXACT" if a["tax"] == b["tax"] else None
+    if not fits(a["city_key"], b["city_key"]):
+        return None
+    if a["domain"] and a["domain"] == b["domain"]:
+        return "HIGH" if sim >= 0.3 or shared else "MEDIUM"
+    if set(a["phone_keys"]) & set(b["phone_keys"]):
+        return "HIGH" if sim >= 0.35 or shared else "MEDIUM"
+    meters = None
+    if None not in (a["lat"], b["lat"], a["lon"], b["lon"]):
+        la, lb = math.radians(a["lat"]), math.radians(b["lat"])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2
+        meters = 2 * 6_371_000 * math.asin(math.sqrt(h))
+    if x == y and a["tokens"]:
+        return "LOW" if meters is not None and meters > 1500 else "HIGH"
+    if not shared:
+        return None
+    if re.findall("[0-9]+", x) != re.findall("[0-9]+", y):
+        return "LOW"
+    near = lambda m: meters is not None and meters <= m
+    if set(a["tokens"]) == set(b["tokens"]) and sim >= 0.8 and near(150):
+        return "HIGH"
+    return "MEDIUM" if sim >= 0.6 and near(300) else "LOW" if sim >= 0.7 else None
+
+
+def fits(x, y):
+    return not x or not y or x in y or y in x
+
+
+def merged_by_force(rows):
+    """levels, (cluster, confidence) by record, and review pairs, by plain Python."""
+    blocks = defaultdict(set)
+    for i, r in rows.items():
+        keys = [("id", k) for k in r["identity"]] + [("cnpj", r["tax"])] * bool(r["tax"]) + [("dom", r["domain"])] * bool(r["domain"]) + [("ph", k) for k in r["phone_keys"]] + [("tok", k) for k in r["tokens"]]
+        if r["lat"] is not None and r["lon"] is not None:
+            keys.append(("geo", math.floor(r["lat"] / 0.002 + 0.5), math.floor(r["lon"] / 0.002 + 0.5), r["norm"][:1]))
+        for k in keys:
+            blocks[k].add(i)
+    pairs = sorted({p for ids in blocks.values() if 2 <= len(ids) <= 400 for p in itertools.combinations(sorted(ids), 2)})
+    levels = {(a, b): v for a, b in pairs if (v := level_of(rows[a], rows[b]))}
+    group = {i: {i} for i in rows}
+    weakest, review = {}, {k: v for k, v in levels.items() if v in ("MEDIUM", "LOW")}
+    for level in ("EXACT", "HIGH"):
+        for a, b in sorted(k for k, v in levels.items() if v == level):
+            if group[a] is group[b]:
+                continue
+            both = group[a] | group[b]
+            taxes, cities = {rows[i]["tax"] for i in both} - {None}, {rows[i]["city_key"] for i in both}
+            same = set(rows[a]["identity"]) & set(rows[b]["identity"])
+            if len(taxes) > 1 or (not same and not all(fits(x, y) for x in cities for y in cities)):
+                review[a, b] = "MEDIUM"
+                continue
+            for i in both:
+                group[i], weakest[i] = both, level
+    clusters = {i: (min(g), weakest.get(i)) for i, g in group.items()}
+    return levels, clusters, {(a, b): v for (a, b), v in review.items() if clusters[a][0] != clusters[b][0]}
+
+
+def test_pairs_clusters_and_reviews_against_a_plain_merge(spark):
+    p = resolve.prepare(rivals(lambda name: table(spark, DIR, name)))
+    rows = {r["idx"]: r.asDict() for r in p.collect()}
+    levels, clusters, review = merged_by_force(rows)
+    got = [tuple(r) for r in QUERIES["pair_evidence"](spark, DIR).select("a", "b", "level").collect()]
+    assert sorted(got) == sorted((a, b, v) for (a, b), v in levels.items())
+    assert set(levels.values()) == {"EXACT", "HIGH", "MEDIUM", "LOW"}
+    got = sorted(tuple(r) for r in QUERIES["conflicting_clusters"](spark, DIR).select("idx", "cluster", "confidence").collect())
+    assert got == sorted((i, *c) for i, c in clusters.items())
+    assert {c[1] for c in clusters.values()} == {"EXACT", "HIGH", None}
+    got = sorted(tuple(r) for r in QUERIES["merge_reviews"](spark, DIR).select("a", "b", "level").collect())
+    assert got == sorted((a, b, v) for (a, b), v in review.items())
+    assert any(levels[k] in ("EXACT", "HIGH") for k in review)

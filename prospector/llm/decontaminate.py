@@ -4,7 +4,8 @@ The benchmark is small and stated, the corpus is not: so the index is built over
 size at a time inside the task that read it (no shuffle), and all windows are searched in it at once. Each shard's words
 become symbols (words that no benchmark item has are one separator); a wavelet matrix over the Burrows-Wheeler transform
 answers the ranks of the backward search; occurrences are located by walking back to sampled suffix positions, and their
-word ranges merge into removal spans. The benchmark goes to the tasks in blocks of bounded bytes, one pass a block.
+word ranges merge into removal spans. The benchmark goes to the tasks in blocks of bounded bytes, one pass a block, and
+every block is searched in the text as it was.
 """
 
 from __future__ import annotations
@@ -17,28 +18,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import slices, strings, table
-from .words import ALNUM, words
+from .common import join_counted, slices, strings, table, written
+from .words import ALNUM, parts, words
 
 WINDOW = 10
-#: Bytes of text that one index covers; a longer document has an index of its own.
-SHARD_BYTES = 4 << 20
-#: Bytes of benchmark text that are sent to the tasks at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text that one index covers, about; a longer document has several, which overlap by a window less one word.
+SHARD_BYTES = 1 << 20
+#: Bytes of benchmark text that are sent to the tasks at once; its queries take some 24 bytes a word.
+BLOCK_BYTES = 4 << 20
 #: Every so many text positions have their suffix position kept.
 SAMPLE = 32
 
 
 @dataclass
 class Queries:
-    """vocabulary: sorted word hashes; symbols are places there plus 1. patterns: a row per window, right-aligned, with its length."""
+    """vocabulary: sorted word hashes; symbols are places there plus 1. A window is its last place in `text` and its length."""
 
     vocabulary: np.ndarray
-    patterns: np.ndarray
+    text: np.ndarray
+    last: np.ndarray
     lengths: np.ndarray
-    window: np.ndarray  # pairs (window, item)
+    window: np.ndarray  # pairs (window, item), sorted
     item: np.ndarray
     ids: list[str]
 
@@ -46,22 +47,22 @@ class Queries:
 def queries_of(items: list[tuple[str, str]], size: int) -> Queries:
     w = words(strings(pa.array([t for _, t in items], pa.string())), ALNUM)
     vocabulary, symbol = np.unique(w.hashes, return_inverse=True)
-    ids, number = [], {}
-    found: dict[tuple, int] = {}
-    pairs = set()
-    for k, (item, _) in enumerate(items):
-        own = symbol[w.first[k] : w.first[k + 1]] + 1
-        if item not in number:
-            number[item] = len(ids)
-            ids.append(item)
-        for i in range(max(1, len(own) - size + 1) if len(own) else 0):
-            pairs.add((found.setdefault(tuple(own[i : i + size].tolist()), len(found)), number[item]))
-    patterns = np.zeros((len(found), size), np.int64)
-    lengths = np.array([len(p) for p in found], np.int64)
-    for p, k in found.items():
-        patterns[k, size - len(p) :] = p
-    pair = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-    return Queries(vocabulary, patterns, lengths, pair[:, 0], pair[:, 1], ids)
+    text = (symbol + 1).astype(np.int32)
+    number: dict[str, int] = {}
+    item = np.array([number.setdefault(i, len(number)) for i, _ in items], np.int64)
+    counts = w.counts
+    windows = np.where(counts >= size, counts - size + 1, counts > 0).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(windows)])
+    of = np.repeat(np.arange(len(items)), windows)
+    first = w.first[:-1][of] + np.arange(begin[-1]) - begin[:-1][of]
+    length = np.minimum(counts[of], size)
+    rows = np.zeros((len(first), size), np.int32)
+    for j in range(size):
+        own = length > j
+        rows[own, j] = text[first[own] + j]
+    _, at, same = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    pair = np.unique(np.stack([same.reshape(-1), item[of]], 1), axis=0).reshape(-1, 2)
+    return Queries(vocabulary, text, (first + length - 1)[at], length[at], pair[:, 0], pair[:, 1], list(number))
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -131,13 +132,16 @@ class FMIndex:
         return self.below[symbol] + i - start
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row ranges [low, high) of the patterns that occur, and which they are."""
-        which = np.arange(len(patterns))
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.kept))
-        size = patterns.shape[1]
-        for j in range(size - 1, -1, -1):
-            now = lengths[which] > size - 1 - j
-            c = patterns[which, j]
+        """Row ranges [low, high) of the patterns that occur, and which they are; a row of patterns holds one at its end."""
+        return self.search_in(patterns.reshape(-1), np.arange(1, len(patterns) + 1) * patterns.shape[1] - 1, lengths)
+
+    def search_in(self, text: np.ndarray, last: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for patterns that are stretches of one text: each ends at its place `last`."""
+        which = np.arange(len(last))
+        low, high = np.zeros(len(last), np.int64), np.full(len(last), len(self.kept))
+        for j in range(int(lengths.max(initial=0))):
+            now = lengths[which] > j
+            c = text[np.maximum(last[which] - j, 0)].astype(np.int64)
             low = np.where(now, self.below[c] + self.rank(c, low), low)
             high = np.where(now, self.below[c] + self.rank(c, high), high)
             live = low < high
@@ -162,7 +166,7 @@ class FMIndex:
 def occurrences(w, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     """(word number, window) of every occurrence in a shard."""
     none = np.zeros(0, np.int64)
-    if not len(w.hashes) or not len(q.patterns):
+    if not len(w.hashes) or not len(q.last):
         return none, none
     place = np.minimum(np.searchsorted(q.vocabulary, w.hashes), len(q.vocabulary) - 1)
     known = q.vocabulary[place] == w.hashes
@@ -182,7 +186,7 @@ def occurrences(w, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     word = np.zeros(len(text), np.int64)
     word[at] = kept
     index = FMIndex(text, len(q.vocabulary))
-    which, low, high = index.search(q.patterns, q.lengths)
+    which, low, high = index.search_in(q.text, q.last, q.lengths)
     count = high - low
     rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
     return word[index.locate(rows)], np.repeat(which, count)
@@ -190,9 +194,9 @@ def occurrences(w, q: Queries) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Found:
-    """Per text: words hit, the merged spans of hit words (first, last + 1) and the items."""
+    """Per text: its words, the merged spans of hit words (first, last + 1) and the items; for texts with hits only."""
 
-    hit: np.ndarray
+    counts: np.ndarray
     spans: dict[int, list[tuple[int, int]]]
     items: dict[int, list[str]]
 
@@ -203,12 +207,10 @@ def search(w, q: Queries) -> Found:
     np.add.at(cover, word, 1)
     np.add.at(cover, word + q.lengths[window], -1)
     inside = np.cumsum(cover[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(inside)])
-    hit = total[w.first[1:]] - total[w.first[:-1]]
     text_of = np.searchsorted(w.first, word, "right") - 1
     spans: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, list[str]] = {}
-    for t in np.flatnonzero(hit):
+    for t in np.unique(text_of):
         own = np.flatnonzero(np.diff(np.concatenate([[0], inside[w.first[t] : w.first[t + 1]].astype(np.int8), [0]])))
         spans[int(t)] = list(zip(own[::2].tolist(), own[1::2].tolist(), strict=True))
     if len(word):
@@ -216,114 +218,165 @@ def search(w, q: Queries) -> Found:
         begin, end = np.searchsorted(q.window, pair[:, 1]), np.searchsorted(q.window, pair[:, 1], "right")
         for t, a, b in zip(pair[:, 0].tolist(), begin.tolist(), end.tolist(), strict=True):
             items.setdefault(t, []).extend(q.ids[i] for i in q.item[a:b])
-    return Found(hit, spans, {t: sorted(set(x)) for t, x in items.items()})
+    return Found(w.counts, spans, {t: sorted(set(x)) for t, x in items.items()})
+
+
+def search_texts(texts: pa.StringArray, q: Queries, window: int, shard_bytes: int = SHARD_BYTES):
+    """(first, last, Found) of row ranges of texts; a text longer than a shard is searched in overlapping parts."""
+    for a, b in slices(texts, shard_bytes):
+        if b - a > 1 or pa.compute.binary_length(texts[a]).as_py() <= shard_bytes:
+            yield a, b, search(words(texts.slice(a, b - a), ALNUM), q)
+            continue
+        n, spans, items = 0, [], set()
+        for part, again in parts(texts[a].as_py().encode(), ALNUM, shard_bytes, window - 1):
+            found = search(words(pa.array([part]), ALNUM), q)
+            n -= again
+            spans += [(x + n, y + n) for x, y in found.spans.get(0, [])]
+            items |= set(found.items.get(0, []))
+            n += int(found.counts[0])
+        yield a, b, Found(np.array([n]), {0: united(spans)} if spans else {}, {0: sorted(items)} if items else {})
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
 
 
 def query_blocks(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
-    """Queries of the whole benchmark, in as many blocks as its size asks for. Items without a text have no words; those without an id have the empty one."""
+    """Queries of the whole benchmark, one block after another, in as many as its size asks for: the driver holds one at a time.
+
+    Items without a text have no words; those without an id have the empty one.
+    """
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        yield queries_of([(r["id"], r["text"]) for r in part.collect()], window)
+        yield queries_of([(r["id"], r["text"]) for r in part.collect()], window)  # about block_bytes of text
 
 
-RESULT = "doc_id long, text_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+SPANS = "array<struct<first:int,last:int>>"
+SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (word numbers, first to last + 1, merged).
+def _spans(found: Found, n: int) -> pa.Array:
+    return pa.array([[{"first": x, "last": y} for x, y in found.spans.get(t, [])] for t in range(n)], SPAN_TYPE)
 
-    Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z; a window is `window` words of an item in a row,
-    or a shorter item whole. Null or empty text: no words, nothing hit. Empty benchmark: nothing hit. Rows that repeat are
-    judged each on its own; items that share an id are one item. Other columns are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_id", F.xxhash64("text"))
-    blocks = list(query_blocks(benchmark, window, block_bytes=block_bytes))
-    span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
-    def find(q: Queries):
-        shared = docs.sparkSession.sparkContext.broadcast(q)  # at most block_bytes of text
+def _text_key(text_col: str, asked: bool = True) -> list:
+    """128 bits that stand for a text; zeros where they aren't asked for."""
+    keys = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)] if asked else [F.lit(0).cast("long")] * 2
+    return [keys[0].alias("_h1"), keys[1].alias("_h2")]
 
+
+def _merged_hits(docs: DataFrame, blocks, window: int, text_col: str) -> DataFrame:
+    """_h1, _h2, spans, items, copies: a row per text with hits of any of the blocks (broadcast queries), as a written table.
+
+    Texts without hits leave no row, and what blocks find in one text is merged by its hash, whatever the row.
+    """
+
+    def find(shared):
         def run(batches):
             for batch in batches:
-                texts = strings(batch.column(1))
-                for a, b in slices(texts, SHARD_BYTES):
-                    w = words(texts.slice(a, b - a), ALNUM)
-                    found = search(w, shared.value)
-                    spans = [[{"first": x, "last": y} for x, y in found.spans.get(t, [])] for t in range(b - a)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(w.counts), pa.array(spans, span_type), pa.array([found.items.get(t, []) for t in range(b - a)], pa.list_(pa.string()))],
-                        names=["doc_id", "text_id", "n_words", "spans", "items"],
-                    )
+                for a, b, found in search_texts(strings(batch.column(2)), shared.value, window):
+                    some = sorted(found.spans)
+                    if some:
+                        keys = [batch.column(k).slice(a, b - a).take(pa.array(some)) for k in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([*keys, _spans(found, b - a).take(pa.array(some)), pa.array([found.items[t] for t in some], pa.list_(pa.string()))], names=["_h1", "_h2", "spans", "items"])
 
         return run
 
-    if len(blocks) == 1:
-        out = rows.mapInArrow(find(blocks[0]), RESULT)
-    else:
-        parts = [rows.mapInArrow(find(q), RESULT).withColumn("_block", F.lit(k)) for k, q in enumerate(blocks)]
-        out = reduce(DataFrame.unionByName, parts)
-        merged = out.groupBy("doc_id", "text_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.count_if(F.col("_block") == 0).alias("_rows"))
-        out = merged.withColumn("_row", F.explode(F.expr("sequence(1L, _rows)"))).drop("_row", "_rows", "text_id")
+    rows = docs.select(*_text_key(text_col), F.col(text_col).alias("_t"))
+    hits = [rows.mapInArrow(find(shared), f"_h1 long, _h2 long, spans {SPANS}, items array<string>").withColumn("_block", F.lit(k)) for k, shared in enumerate(blocks)]
+    each = reduce(DataFrame.unionByName, hits).groupBy("_h1", "_h2", "_block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count("*").alias("_n"))
+    return written(each.groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max("_n").alias("copies")), "benchmark-hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (word numbers, first to last + 1).
+
+    Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z; a window is `window` words of an item in a row,
+    or a shorter item whole. Null or empty text: no words, nothing hit. Empty benchmark: nothing hit. Rows that repeat are
+    judged each on its own; items that share an id are one item. Other columns are not read.
+    """
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(q) for q in query_blocks(benchmark, window, block_bytes=block_bytes)]  # each of a bounded size
+    first = blocks[0]
+
+    def run(batches):
+        for batch in batches:
+            for a, b, found in search_texts(strings(batch.column(1)), first.value, window):
+                own = [batch.column(k).slice(a, b - a) for k in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found.counts), _spans(found, b - a), pa.array([found.items.get(t, []) for t in range(b - a)], pa.list_(pa.string()))], names=["doc_id", "_h1", "_h2", "n_words", "spans", "items"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *_text_key(text_col, len(blocks) > 1))
+    out = rows.mapInArrow(run, f"doc_id long, _h1 long, _h2 long, n_words long, spans {SPANS}, items array<string>")
+    if len(blocks) > 1:
+        more = _merged_hits(docs, blocks[1:], window, text_col).withColumnsRenamed({"spans": "_s", "items": "_i"})
+        out = join_counted(out, more, ["_h1", "_h2"], "copies")
+        both = lambda a, b, kind: F.concat(F.col(a), F.coalesce(F.col(b), F.array().cast(kind)))
+        out = out.withColumns({"spans": both("spans", "_s", SPANS), "items": both("items", "_i", "array<string>")})
     # Spans of one block are merged; those of several may overlap.
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("reach"))
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(s["first"], acc["reach"]))).cast("long").alias("n"), F.greatest(acc["reach"], s["last"]).alias("reach"))
     return out.select("doc_id", "n_words", F.aggregate(F.array_sort("spans"), start, step)["n"].alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans")
 
 
-def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans in order, those that touch or overlap as one."""
-    out: list[tuple[int, int]] = []
-    for x, y in sorted(spans):
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the words of the spans and what stands between them inside one."""
+    raw = text.encode()
+    w = words(pa.array([text]), ALNUM, hashed=False)
+    kept, at = [], 0
+    for x, y in united(spans):
+        kept.append(raw[at : w.starts[x]])
+        at = w.ends[y - 1]
+    return b"".join([*kept, raw[at:]]).decode()
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the hit words of every text, and what stands between them inside a span, taken out; other columns and texts as they were."""
-    blocks = list(query_blocks(benchmark, window, block_bytes=block_bytes))
+    """docs with the hit words of every text, and what stands between them inside a span, taken out; other columns and texts as they were.
+
+    Words and windows are those of `contamination`. Null and empty texts, and all rows where the benchmark is empty, stay as
+    they are. Rows that repeat are cut each on its own, alike. The number of blocks changes nothing: each is searched in the
+    text as it was, their spans are merged, and the text is cut once. Empty docs: no rows. Any other columns pass through.
+    """
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(q) for q in query_blocks(benchmark, window, block_bytes=block_bytes)]
     where, schema = docs.columns.index(text_col), docs.schema
-    # Every block is searched in the text as it was: what the blocks before it found goes along as a column, and the last cuts.
-    found, field = "_spans_found", pa.list_(pa.list_(pa.int32()))
-    for k, q in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(q)
+    first = blocks[0]
+
+    def changed(part: pa.RecordBatch, spans: dict[int, list[tuple[int, int]]]) -> pa.RecordBatch:
+        if not spans:
+            return part
+        texts = part.column(where).to_pylist()
+        for t, own in spans.items():
+            texts[t] = _without(texts[t], own)
+        return part.set_column(where, part.schema.field(where).with_type(pa.string()), pa.array(texts, pa.string()))
+
+    def run(batches):
+        for batch in batches:
+            for a, b, found in search_texts(strings(batch.column(where)), first.value, window):
+                yield changed(batch.slice(a, b - a), found.spans)
+
+    def run_found(batches):
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=schema.names)
+            for a, b in slices(strings(rows.column(where)), SHARD_BYTES):
+                spans = batch.column(1).slice(a, b - a).to_pylist()
+                yield changed(rows.slice(a, b - a), {t: [(x["first"], x["last"]) for x in s] for t, s in enumerate(spans) if s})
 
-        def run(batches, shared=shared, first=k == 0, last=k == len(blocks) - 1):
-            for batch in batches:
-                texts = strings(batch.column(where))
-                before = None if first else batch.column(batch.num_columns - 1).to_pylist()
-                out = batch.column(where).to_pylist() if last else [[] if first else before[i] for i in range(len(texts))]
-                for a, b in slices(texts, SHARD_BYTES):
-                    w = words(texts.slice(a, b - a), ALNUM)
-                    hits = search(w, shared.value).spans
-                    for t in range(b - a):
-                        spans = hits.get(t, [])
-                        if not first:
-                            spans = _united([*map(tuple, before[a + t]), *spans])
-                        if not spans:
-                            continue
-                        if not last:
-                            out[a + t] = [list(s) for s in spans]
-                            continue
-                        raw, base, at, kept = texts[a + t].as_py().encode(), w.offset[t], 0, []
-                        for x, y in spans:
-                            kept.append(raw[at : w.starts[w.first[t] + x] - base])
-                            at = w.ends[w.first[t] + y - 1] - base
-                        out[a + t] = b"".join([*kept, raw[at:]]).decode()
-                if not first:
-                    batch = batch.select(batch.schema.names[:-1])
-                if last:
-                    yield batch.set_column(where, batch.schema.field(where).with_type(pa.string()), pa.array(out, pa.string()))
-                else:
-                    yield batch.append_column(found, pa.array(out, field))
-
-        docs = docs.mapInArrow(run, schema if k == len(blocks) - 1 else StructType(list(schema.fields)).add(found, ArrayType(ArrayType(IntegerType()))))
-    return docs
+    if len(blocks) == 1:
+        return docs.mapInArrow(run, schema)
+    hits = _merged_hits(docs, blocks, window, text_col).select("_h1", "_h2", F.col("spans").alias("_spans_found"), "copies")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *_text_key(text_col))
+    found = join_counted(rows, hits, ["_h1", "_h2"], "copies").select("_row", "_spans_found")
+    return found.mapInArrow(run_found, schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

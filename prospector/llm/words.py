@@ -6,6 +6,7 @@ below hold ASCII characters and treat every byte from 0x80 alike, so runs of byt
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _K1, _K2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _POWERS = np.ones(1, np.uint64)
+#: Bytes hashed at once.
+HASH_BYTES = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,6 +43,35 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def _sums(letters: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The polynomial of each word's bytes, the words standing one after another in letters."""
+    at = np.zeros(len(length), np.int32)
+    np.cumsum(length[:-1], out=at[1:])
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(at, length)
+    return np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[place], at)
+
+
+def _hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words, a block of about HASH_BYTES at a time: what is as long as the text is one byte a byte."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, "right")))
+        length = (ends[i:j] - starts[i:j]).astype(np.int32)
+        if j == i + 1 and length[0] > HASH_BYTES:  # a long word, by parts
+            total, power = np.uint64(0), np.ones(1, np.uint64)
+            for a in range(int(starts[i]), int(ends[i]), HASH_BYTES):
+                part = data[a : min(a + HASH_BYTES, int(ends[i]))]
+                total = total + power * _sums(part, np.array([len(part)], np.int32))
+                power = power * _powers(HASH_BYTES)[-1:] * _BASE
+            out[i] = total[0]
+        else:
+            span = slice(starts[i], ends[j - 1])
+            out[i:j] = _sums(data[span][inside[span]], length)
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64) * _K2)
+
+
 @dataclass
 class Words:
     """starts, ends: byte positions in `data`; first[i]:first[i + 1] are the words of text i; offset: where each text begins."""
@@ -79,18 +111,36 @@ def words(texts: pa.StringArray, kind: bytes = NOT_SPACE, lower: bool = True, ha
     closes[heads[1:] - 1] = inside[heads[1:] - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
     first = np.searchsorted(starts, offset)
-    hashes = np.zeros(0, np.uint64)
-    if hashed and len(starts):
-        length = ends - starts
-        total = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(length, out=total[1:])
-        letters = np.frombuffer(data, np.uint8)[inside]
-        at = np.arange(len(letters)) - np.repeat(total[:-1], length)
-        value = (letters.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[at]
-        hashes = mix(np.add.reduceat(value, total[:-1]) + length.astype(np.uint64) * _K2)
+    hashes = _hashes(np.frombuffer(data, np.uint8), inside, starts, ends) if hashed else np.zeros(0, np.uint64)
     return Words(data, offset, starts, ends, first, hashes)
 
 
+def parts(text: bytes, kind: bytes, limit: int, overlap: int):
+    """(part, number of its first words that the part before ends with) of a text: about `limit` bytes each, cut between words.
+
+    Parts overlap by `overlap` words, so that every run of overlap + 1 words is in one of them. A part ends after a word, and
+    where `overlap` words are longer than limit, it is as long as they are and one word more.
+    """
+    between = bytes(b for b in range(256) if not kind[LOWER[b]])
+    stop = re.compile(b"[" + re.escape(between) + b"]")
+    begin, again = 0, 0
+    while True:
+        end = begin + limit
+        while True:
+            found = stop.search(text, end)
+            end = found.start() if found else len(text)
+            part = text[begin:end].decode()
+            w = words(pa.array([part]), kind, hashed=False)
+            if end == len(text) or len(w.starts) > overlap:
+                break
+            end += limit
+        yield part, again
+        if end == len(text):
+            return
+        again = min(overlap, len(w.starts))
+        begin = begin + int(w.starts[len(w.starts) - again]) if again else end
+
+
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of `size` words, and where each text's begin. A text of fewer words, but not none, has its whole sequence as one."""
     counts = w.counts

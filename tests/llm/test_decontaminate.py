@@ -41,6 +41,24 @@ def test_driver_tables(spark):
     assert as_rows(dc.contamination(df, bench)) == sorted(dc.brute_force(docs, items), key=str)
 
 
+def test_long_texts_are_searched_in_overlapping_parts():
+    rng = random.Random(3)
+    vocabulary = ["alpha", "Beta", "été", "x1", "delta", "w" * 400]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([2, 10, 12, 30])))) for i in range(12)]
+    own = rng.choices([*vocabulary, *"pqrs"], k=1500)
+    for at in range(0, 1500, 60):
+        own.insert(at, rng.choice(items)[1])
+    text = rng.choice([", ", " "]).join(own)
+    q = dc.queries_of([(str(i), t) for i, t in items], dc.WINDOW)
+    whole = next(dc.search_texts(dc.strings(dc.pa.array([text])), q, dc.WINDOW, 1 << 30))[2]
+    for shard in (100, 1000, 5000):
+        (a, b, found), *rest = dc.search_texts(dc.strings(dc.pa.array([text])), q, dc.WINDOW, shard)
+        assert (a, b, rest) == (0, 1, [])
+        assert found.counts.tolist() == whole.counts.tolist() and found.items == whole.items
+        covered = lambda f: {w for x, y in f.spans[0] for w in range(x, y)}
+        assert covered(found) == covered(whole), shard
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -73,6 +91,19 @@ def test_cut_spans_does_not_depend_on_the_blocks(spark):
         assert got.schema == df.schema and sorted(map(tuple, got.collect())) == want, blocks
 
 
+@pytest.mark.parametrize("block", [dc.BLOCK_BYTES, 60])
+def test_cut_spans_edges(spark, block):
+    """Repeated rows, null ids, clashing names, short items, an empty benchmark and no documents."""
+    rows = [(1, "k", "x alpha beta gamma y", 3, "s"), (1, "k", "x alpha beta gamma y", 3, "s"), (None, None, "alpha beta", 4, None), (2, "k", None, 5, "s"), (3, "k", "", 6, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, _h1 string, text string, copies int, _spans_found string")
+    bench = spark.createDataFrame([(1, "alpha BETA"), (1, "gamma"), (2, None), (3, "x alpha")], "item_id long, text string")
+    key = lambda r: str(tuple(r))
+    want = [(d, h, t if t is None else t.replace("x alpha beta gamma ", " ").replace("alpha beta", ""), c, s) for d, h, t, c, s in rows]
+    assert sorted(map(tuple, dc.cut_spans(df, bench, block_bytes=block).collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, dc.cut_spans(df, bench.limit(0), block_bytes=block).collect()), key=key) == sorted(rows, key=key)
+    assert dc.cut_spans(df.limit(0), bench, block_bytes=block).count() == 0
+
+
 def test_index_against_naive_search():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 4, 3000)

@@ -10,7 +10,8 @@ Documents are sets of word shingles, as 64-bit hashes; equal sets are one class
    A group is never gathered in one place, however large.
 3. Token-group matrix. Tokens are ordered from rare to frequent, and of each class only the first ones are kept that a
    link can't all miss. Each group stores the union of its members' such tokens: rows (token, group). A class is compared
-   only with the groups with which it shares a cell, first with the leader; of two groups the smaller one asks. Parity
+   only with the groups with which it shares a cell, first with the leader; of two groups the smaller one asks. A cell
+   tells how many tokens a member has from this one on: no more can be common where it is the first common one. Parity
    sketches of both sets, of a fixed size, bound their overlap before a pair is made.
 4. Open. Where the leader didn't link and the two aren't connected yet, the overlap of the class with the union of all
    tokens of each chunk of the group bounds its similarity with every member; only chunks whose bound reaches the
@@ -41,8 +42,8 @@ PROBE = 0.3
 ROUNDS = 5
 #: Sets of a bucket differ in size by a factor of exp(BAND) at most.
 BAND = 0.12
-#: Members of a group whose tokens are united and opened together.
-CHUNK = 64
+#: Members of a group whose tokens are united and opened together, and the tokens that they have together; fewer of long texts.
+CHUNK, CHUNK_TOKENS = 64, 1 << 20
 #: Candidates' ids are broadcast up to so many bytes; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: Longs of a set's parity sketch.
@@ -161,20 +162,23 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _labels(sets: DataFrame, percent: int) -> DataFrame:
     """(id, label) for every set that could link: label is the smallest id that links connect it with."""
     prefixes = written(_prefixes(sets, percent), "prefixes")
-    sets = written(sets.join(prefixes.select("id", "known"), "id"), "token-sets")
+    sets = written(sets.join(prefixes.select("id", "known", F.size("prefix").alias("cells")), "id"), "token-sets")
     leader = components(_stars(sets, percent)).select(F.col("node").alias("id"), F.col("label").alias("leader"))
-    groups = written(sets.select("id", "n", "known", "sketch").join(leader, "id", "left").withColumn("leader", F.coalesce("leader", "id")), "groups")
+    groups = written(sets.select("id", "n", "known", "cells", "sketch").join(leader, "id", "left").withColumn("leader", F.coalesce("leader", "id")), "groups")
     labels = groups.select("id", F.col("leader").alias("label")).distinct()  # classes may repeat an id
     least = F.min(F.struct("n", "id", "sketch"))
-    sizes = written(groups.groupBy("leader").agg(F.count("*").alias("size"), least["id"].alias("rep"), least["n"].alias("least"), least["sketch"].alias("rep_sketch"), F.max("n").alias("most"), F.max("known").alias("most_known")), "group-sizes")
-    rows = prefixes.select("id", F.explode("prefix").alias("token")).join(groups, "id")
-    tokens = join_counted(rows.select("token", "leader").distinct(), sizes.withColumn("rows", F.col("size") * 64), ["leader"], "rows", "inner")
+    sizes = written(groups.groupBy("leader").agg(F.count("*").alias("size"), least["id"].alias("rep"), least["n"].alias("least"), least["sketch"].alias("rep_sketch"), F.max("n").alias("most"), F.max("known").alias("most_known"), F.sum("cells").alias("cells")), "group-sizes")
+    # left: the known tokens from this one on, in the order of all prefixes.
+    rows = prefixes.select("id", F.posexplode("prefix").alias("pos", "token")).join(groups.drop("cells"), "id").withColumn("left", F.col("known") - F.col("pos")).drop("pos")
+    matrix = rows.groupBy("token", "leader").agg(F.max("left").alias("most_left"))
+    tokens = join_counted(matrix, sizes, ["leader"], "cells", "inner")
     # Of two groups the smaller one asks, row by row; the larger one answers as a whole.
-    queries = join_counted(rows.withColumnRenamed("leader", "own"), sizes.select(F.col("leader").alias("own"), F.col("size").alias("own_size"), (F.col("size") * 64).alias("rows")), ["own"], "rows", "inner")
+    queries = join_counted(rows.withColumnRenamed("leader", "own"), sizes.select(F.col("leader").alias("own"), F.col("size").alias("own_size"), "cells"), ["own"], "cells", "inner")
     near = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & possible(F.col("n"), F.col("known"), F.col("least"), F.col("most_known"), percent)
     asks = (F.col("own") != F.col("leader")) & (F.struct("own_size", "own") < F.struct("size", "leader"))
     by_rep = alike(F.col("n"), F.col("sketch"), F.col("least"), F.col("rep_sketch"), percent)
-    cells = queries.join(tokens, "token").where(near & asks & ((F.col("size") > 1) | by_rep))
+    first = possible(F.col("n"), F.col("left"), F.col("least"), F.col("most_left"), percent)
+    cells = queries.join(tokens, "token").where(near & asks & first & ((F.col("size") > 1) | by_rep))
     own = ("n", "known", "sketch", "size", "rep")  # alike in all rows of an id and a leader
     asked = written(cells.withColumn("by_rep", by_rep).groupBy("id", "leader").agg(*[F.first(c).alias(c) for c in (*own, "by_rep")]), "asked")
     labels = _merged(labels, _verified(asked.where("by_rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), sets, percent))
@@ -182,7 +186,7 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     # Chunks of the groups that are asked for, of about CHUNK members of nearly one size, and the union of their tokens.
     step = F.floor(F.log("n") / 0.02).cast("int")
     members = written(still.select("leader").distinct().join(groups, "leader").select("leader", "id", "n", "known", "sketch", step.alias("step")), "members")
-    counted = members.groupBy("leader", "step").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    counted = members.groupBy("leader", "step").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_TOKENS)).alias("parts"))
     chunks = written(members.join(counted, ["leader", "step"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts"), "chunks")
     at = ["leader", "step", "chunk"]
     bounds = chunks.groupBy(*at).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("known").alias("most_known"))

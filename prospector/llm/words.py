@@ -154,9 +154,10 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(out_counts, out=begin[1:])
     pos = np.repeat(w.first[:-1] - begin[:-1], out_counts) + np.arange(begin[-1])
     out = folded[pos]
-    for i in np.flatnonzero((counts > 0) & (counts < size)):
-        whole = np.uint64(counts[i])
-        for x in h[w.first[i] : w.first[i + 1]]:
-            whole = mix(np.array([whole * step + x], np.uint64))[0]
-        out[begin[i]] = whole
+    for n in range(1, size):
+        short = np.flatnonzero(counts == n)
+        whole = np.full(len(short), n, np.uint64)
+        for j in range(n):
+            whole = mix(whole * step + h[w.first[short] + j])
+        out[begin[short]] = whole
     return out, begin

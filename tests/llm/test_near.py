@@ -75,6 +75,19 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("chunk_links", [7, 10_000])
+def test_components_of_random_links_in_chunks(spark, chunk_links):
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(400 + i, 401 + i) for i in range(40)] * 2
+    root = {n: n for link in links for n in link}
+    for _ in range(len(root)):
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    got = [tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), chunk_links).collect()]
+    joined = {n for x, y in links if x != y for n in (x, y)}
+    assert sorted(got) == sorted((n, root[n]) for n in joined)
+
+
 def exact_links(rows, cosine):
     n = {}
     for i, (_, v, label) in enumerate(rows):

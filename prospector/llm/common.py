@@ -79,7 +79,7 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.StringArray:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def slices(texts: pa.StringArray, limit: int = 4 << 20):
+def slices(texts: pa.StringArray, limit: int = 1 << 20):
     """(first, last) row ranges with about `limit` bytes of text each; a longer text is one range of its own."""
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     first, total = 0, 0

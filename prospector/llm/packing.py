@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import strings, table, written
+from .common import slices, strings, table, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that one task ranks.
 RANK_ROWS = 50_000
 #: Words kept with their ids in a Python worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -107,18 +107,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     def cut(batches):
         code = encoder(path)
         for batch in batches:
-            columns: list[list] = [[] for _ in fields]
-            for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)).to_pylist(), strict=True):
-                ids = code.ids(text) + end
-                n = len(ids) // 4
-                at, piece = 0, 0
-                while at < n:
-                    size = (n - at) % capacity or min(capacity, n - at)
-                    part = ids[4 * at : 4 * (at + size)]
-                    for c, v in zip(columns, (doc, piece, at, size, zlib.crc32(part), part), strict=False):
-                        c.append(v)
-                    at, piece = at + size, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+            texts = strings(batch.column(1))
+            for first, last in slices(texts):
+                columns: list[list] = [[] for _ in fields]
+                for doc, text in zip(batch.column(0).slice(first, last - first).to_pylist(), texts.slice(first, last - first).to_pylist(), strict=True):
+                    ids = code.ids(text) + end
+                    n = len(ids) // 4
+                    at, piece = 0, 0
+                    while at < n:
+                        size = (n - at) % capacity or min(capacity, n - at)
+                        part = ids[4 * at : 4 * (at + size)]
+                        for c, v in zip(columns, (doc, piece, at, size, zlib.crc32(part), part), strict=False):
+                            c.append(v)
+                        at, piece = at + size, piece + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, strings, table, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length that one task ranks.
-RANK_ROWS = 50_000
+#: Pieces of one length that one task ranks: an even share of all pieces, between these bounds.
+RANK_ROWS = (256, 50_000)
 #: Words kept with their ids in a Python worker.
 CACHE_WORDS = 120_000
 
@@ -190,34 +191,40 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, li
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """parts (doc_id, piece, length, ...) with sequence_id and offset. parts is written to the shared folder first."""
+    """parts (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset. parts is written to the shared folder first.
+
+    Every row is a piece, repeated rows too, and its place is its own; pieces alike in all of doc_id, piece and ids_crc32 take
+    their places in any order. Lengths are 1 to capacity. Null ids rank first. Columns named sequence_id or offset are
+    replaced; any others pass through. Empty table: no rows.
+    """
+    parts = parts.drop("sequence_id", "offset")
     parts = written(parts, "pieces")
     # Any length has at most `capacity` values: the histogram is bounded, and so is the plan made of it.
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places, _ = plan(counts, capacity)
-    salts = max(1, -(-max(counts.values(), default=1) // RANK_ROWS))
-    parts = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    tally = parts.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = written(tally.select("length", "_salt", before.alias("_before")), "ranks")
-    rank = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = parts.withColumn("_row", rank).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1).drop("_salt", "_row", "_before")
-    kept = [c for c in ranked.columns if c != "_rank"]
+    share = sum(counts.values()) // int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-max(counts.values(), default=1) // min(max(share, RANK_ROWS[0]), RANK_ROWS[1])))
+    rows = parts.select(F.struct(*[parts[c] for c in parts.columns]).alias("_piece"), F.col("length").cast("long").alias("_length"), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).alias("_salt"))
+    tally = rows.groupBy("_length", "_salt").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = written(tally.select("_length", "_salt", before.alias("_before")), "ranks")
+    own = F.row_number().over(W.partitionBy("_length", "_salt").orderBy(*[F.col("_piece")[c] for c in ("doc_id", "piece", "ids_crc32")]))
+    ranked = rows.withColumn("_own", own).join(offsets, ["_length", "_salt"]).select("_piece", "_length", (F.col("_before") + F.col("_own") - 1).alias("_rank"))
     table_of = {n: tuple(np.array(x, np.int64) for x in zip(*p, strict=True)) for n, p in places.items() if p}
+    names = [*parts.columns, "sequence_id", "offset"]
 
     def place(batches):
         for batch in batches:
-            length, r = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            length, r = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             sequence, offset = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
             for n in np.unique(length):
-                own = length == n
+                same = length == n
                 first, seq, off = table_of[int(n)]
-                k = np.searchsorted(first, r[own], "right") - 1
-                sequence[own], offset[own] = seq[k] + r[own] - first[k], off[k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
+                k = np.searchsorted(first, r[same], "right") - 1
+                sequence[same], offset[same] = seq[k] + r[same] - first[k], off[k]
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), pa.array(sequence), pa.array(offset)], names=names)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Operator 5, quality classifier: importance resampling with hashed n-gram models, sampled by Gumbel top-k.
 
 Two generative models over hashed n-grams (words and runs of punctuation, one and two in a row): one of the target, the
-labelled good documents, one of the raw text, which is every document. A document's weight is the mean log ratio of the
-two over its n-grams; the mean, as sums would choose by length. Gumbel noise added to the scaled weights and the k largest
-taken is sampling without replacement in proportion to the weights. k is not guessed: it is the number of documents whose
-weight reaches the threshold that parts held-out good and bad labels best.
+labelled good documents, one of the raw text, which is every document. A document's importance weight has as its logarithm
+the sum, over its n-grams, of the log ratio of the two models less a constant: the mean log ratio that parts held-out good and
+bad labels best. Without it, sums would choose by length, as the raw text holds the target. Gumbel noise added to the log
+weights and the k largest taken is sampling without replacement in proportion to the weights (temperature 1). k is not
+guessed: it is the number of documents whose log weight is not negative.
 
 Three passes over the texts, none of which shuffles them: count n-grams (a bounded table of sums leaves each task), weigh,
 and decide. The k-th largest key comes from histograms, each of a bounded size, so nothing is sorted or gathered.
@@ -28,15 +29,13 @@ BUCKETS = 1 << 14
 LABELLED_ROWS = 20_000
 #: Part of them held out for the threshold.
 HELD_OUT = 0.3
-#: Noise in parts of the distance between the medians of good and bad: 1 / SHARPNESS.
-SHARPNESS = 40.0
 SEED = 11
 _DIGITS, _ROUNDS = 12, 4
 
 
 @dataclass
 class Weigher:
-    """log_ratio: per bucket; temperature: what weights are divided by before the noise is added."""
+    """log_ratio: per bucket; threshold: the mean log ratio taken off; temperature: what log weights are divided by before the noise is added."""
 
     log_ratio: np.ndarray
     threshold: float = -np.inf
@@ -83,11 +82,17 @@ def threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float((points[best] + points[best - 1]) / 2) if best else float(points[0])
 
 
-def sample_keys(weight: np.ndarray, n: np.ndarray, draw: np.ndarray, model: Weigher) -> np.ndarray:
-    """Order-preserving whole numbers of 48 bits for weight / temperature + Gumbel noise; texts without n-grams come last, with 0."""
+def log_weights(mean: np.ndarray, n: np.ndarray, model: Weigher) -> np.ndarray:
+    """Logarithms of the importance weights of texts of n n-grams with these mean log ratios."""
+    return n * (mean - (model.threshold if np.isfinite(model.threshold) else 0.0))
+
+
+def sample_keys(mean: np.ndarray, n: np.ndarray, draw: np.ndarray, model: Weigher) -> np.ndarray:
+    """Order-preserving whole numbers of 48 bits for log weight / temperature + Gumbel noise; texts without n-grams come last, with 0."""
     u = ((draw.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-    key = weight / model.temperature - np.log(-np.log(u))
-    whole = np.clip((key + 1e6) / 2e6, 1e-9, 1 - 1e-9) * 2.0 ** (_DIGITS * _ROUNDS)
+    key = log_weights(mean, n, model) / model.temperature - np.log(-np.log(u))
+    # The logarithm of the size holds all numbers there are in 48 bits, and the most digits where keys are close.
+    whole = np.clip((np.sign(key) * np.log1p(np.abs(key)) + 64) / 128, 1e-9, 1 - 1e-9) * 2.0 ** (_DIGITS * _ROUNDS)
     return np.where(n > 0, whole.astype(np.int64), 0)
 
 
@@ -132,8 +137,8 @@ def _counts(buckets: int):
     return run
 
 
-def fit_models(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS, id_col: str = "doc_id", text_col: str = "text", sharpness: float = SHARPNESS) -> tuple[Weigher, DataFrame]:
-    """The fitted models and threshold, and the table (key, n, weight) of all documents."""
+def fit_models(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0) -> tuple[Weigher, DataFrame]:
+    """The fitted models and threshold, and the table (held, doc, draw, n, mean) of all documents."""
     rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(_labelled(labels, labelled_rows)), "_doc", "left")  # bounded by labelled_rows
     target = F.coalesce(F.col("_good") & ~F.col("_held"), F.lit(False))
@@ -147,16 +152,17 @@ def fit_models(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, label
         for batch in batches:
             texts = strings(batch.column("text"))
             for a, b in slices(texts):
-                n, weight = weigh(texts.slice(a, b - a), log_ratio)
-                yield pa.RecordBatch.from_arrays([batch.column("held").slice(a, b - a), batch.column("draw").slice(a, b - a), pa.array(n), pa.array(weight)], names=["held", "draw", "n", "weight"])
+                n, mean = weigh(texts.slice(a, b - a), log_ratio)
+                own = [batch.column(c).slice(a, b - a) for c in ("held", "doc", "draw")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(mean)], names=["held", "doc", "draw", "n", "mean"])
 
     held = F.when(F.col("_held"), F.col("_good"))
-    scored = written(rows.select("text", held.alias("held"), _draw("_doc", "text").alias("draw")).mapInArrow(run, "held boolean, draw long, n long, weight double"), "weights")
-    marks = [(r["held"], r["weight"]) for r in scored.where("held is not null and n > 0").select("held", "weight").collect()]  # bounded by labelled_rows
-    good, bad = (np.array([w for h, w in marks if h is x]) for x in (True, False))
-    model = Weigher(log_ratio, threshold(good, bad))
-    if np.isfinite(model.threshold):
-        model.temperature = max(float(np.median(good) - np.median(bad)), 1e-3) / sharpness
+    named = rows.select("text", held.alias("held"), F.when(F.col("_held"), F.col("_doc")).alias("doc"), _draw("_doc", "text").alias("draw"))
+    scored = written(named.mapInArrow(run, "held boolean, doc long, draw long, n long, mean double"), "weights")
+    # One row per held-out label, however often its id is repeated: bounded by labelled_rows.
+    marks = [(r["held"], r["mean"]) for r in scored.where("held is not null and n > 0").groupBy("doc", "held").agg(F.min("mean").alias("mean")).collect()]
+    good, bad = (np.array([m for h, m in marks if h is x]) for x in (True, False))
+    model = Weigher(log_ratio, threshold(good, bad), temperature)
     return model, scored
 
 
@@ -165,17 +171,18 @@ def _draw(doc: str, text: str):
 
 
 def quality_select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rejected: bool = False, **options) -> DataFrame:
-    """docs with _n_grams, _weight (mean log ratio) and _selected; rows that aren't selected are left out unless rejected is True.
+    """docs with _n_grams, _weight (the logarithm of the importance weight) and _selected; rows that aren't selected are left out unless rejected is True.
 
     labels: doc_id, quality (above 0: good). Null or empty text has no n-grams, weight 0, and is never selected. Rows that
-    repeat id and text fare alike; other ties at the k-th key are all selected. Without good or without bad labels there
+    repeat id and text fare alike; other ties at the k-th key are all selected. temperature: below 1, the draw keeps closer to
+    the weights. Without good or without bad labels there
     is nothing to tell apart: all documents with n-grams are selected. Columns of docs with the three names are replaced.
     Empty docs: no rows.
     """
     docs = docs.drop("_n_grams", "_weight", "_selected")
     model, scored = fit_models(docs, labels, id_col=id_col, text_col=text_col, **options)
-    k = scored.where((F.col("n") > 0) & (F.col("weight") >= model.threshold)).count()
-    keyed = scored.select("draw", "n", "weight").mapInArrow(_keys(model), "key long")
+    k = scored.where((F.col("n") > 0) & (F.col("mean") >= model.threshold)).count()
+    keyed = scored.select("draw", "n", "mean").mapInArrow(_keys(model), "key long")
     least = max(1, kth_largest(written(keyed, "keys"), k)) if k else 2**62
     where = docs.columns.index(text_col)
     out = T.StructType([*docs.schema.fields, T.StructField("_n_grams", T.LongType()), T.StructField("_weight", T.DoubleType()), T.StructField("_selected", T.BooleanType())])
@@ -184,9 +191,9 @@ def quality_select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             texts, draw = strings(batch.column(where)), batch.column(batch.num_columns - 1).to_numpy()
             for a, b in slices(texts):
-                n, weight = weigh(texts.slice(a, b - a), model.log_ratio)
-                chosen = sample_keys(weight, n, draw[a:b], model) >= least
-                part = pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(n), pa.array(weight), pa.array(chosen)], names=out.names)
+                n, mean = weigh(texts.slice(a, b - a), model.log_ratio)
+                chosen = sample_keys(mean, n, draw[a:b], model) >= least
+                part = pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(n), pa.array(log_weights(mean, n, model)), pa.array(chosen)], names=out.names)
                 yield part if rejected else part.filter(pa.array(chosen))
 
     return docs.select("*", F.xxhash64(F.lit(SEED), F.col(id_col).cast("long"), F.col(text_col)).alias("_draw")).mapInArrow(decide, out)
@@ -195,8 +202,8 @@ def quality_select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def _keys(model: Weigher):
     def run(batches):
         for batch in batches:
-            c = {x: batch.column(x).to_numpy() for x in ("draw", "n", "weight")}
-            yield pa.RecordBatch.from_arrays([pa.array(sample_keys(c["weight"], c["n"], c["draw"], model))], names=["key"])
+            c = {x: batch.column(x).to_numpy() for x in ("draw", "n", "mean")}
+            yield pa.RecordBatch.from_arrays([pa.array(sample_keys(c["mean"], c["n"], c["draw"], model))], names=["key"])
 
     return run
 

@@ -83,6 +83,48 @@ def test_quality_held_out_accuracy(spark):
     assert ql.quality_select(frame(spark, [(1, "a b", "s"), (2, None, "s"), (2, "", "s")]), labels.limit(0)).count() == 1
 
 
+def test_quality_sample_is_nearer_the_target_than_the_raw_text(spark):
+    """The n-grams of what is selected diverge less from those of unseen good documents than the n-grams of all documents."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = ql.quality_select(docs, labels.where("doc_id % 2 = 0"), rejected=True).select("doc_id", "text", "_selected", "_weight").collect()
+    good = {r["doc_id"] for r in labels.where("doc_id % 2 = 1 and quality = 1").collect()}
+
+    def spread(rows):
+        bucket, _ = ql.features(strings(pa.array([r["text"] for r in rows], pa.string())), 1 << 12)
+        n = np.bincount(bucket, minlength=1 << 12) + 0.5
+        return n / n.sum()
+
+    target = spread([r for r in out if r["doc_id"] in good])
+    far = lambda p: float((target * np.log(target / p)).sum())
+    chosen = [r for r in out if r["_selected"]]
+    assert far(spread(chosen)) < 0.9 * far(spread(out))
+
+
+def test_sample_keys_draw_in_proportion_to_the_weights():
+    """Of two texts, the heavier comes first as often as its weight says (Gumbel noise at temperature 1)."""
+    rng = np.random.default_rng(6)
+    draws = rng.integers(-(2**63), 2**63 - 1, (2, 40_000))
+    model = ql.Weigher(np.zeros(4), 0.25)
+    one = np.ones(40_000, np.int64)
+    a = ql.sample_keys(np.full(40_000, 0.25 + np.log(3)), one, draws[0], model)
+    b = ql.sample_keys(np.full(40_000, 0.25), one, draws[1], model)
+    assert abs((a > b).mean() - 0.75) < 0.01
+
+
+def test_quality_edges(spark):
+    """A repeated id with many texts, a very long text, clashing names, null ids and labels."""
+    rows = [(1, f"good words here number {i}", "s") for i in range(50)] + [(2, "bad bad bad", "s"), (None, "good words here", "s"), (3, "good words " * 40_000, "s"), (4, None, None)]
+    df = frame(spark, rows).withColumn("_doc", F.lit("x")).withColumn("draw", F.lit(1)).withColumn("_held", F.lit(2))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    out = ql.quality_select(df, labels, rejected=True)
+    assert out.columns == [*df.columns, "_n_grams", "_weight", "_selected"]
+    got = out.collect()
+    assert len(got) == len(rows) and not [r for r in got if r["doc_id"] == 4][0]["_selected"]
+    assert {r["doc_id"]: r["_n_grams"] for r in got if r["doc_id"] in (3, 4)} == {3: 159_999, 4: 0}
+
+
 def test_pieces_are_the_tokenizer_s_ids(spark):
     import tokenizers
 
@@ -98,6 +140,50 @@ def test_pieces_are_the_tokenizer_s_ids(spark):
         assert all(r["length"] == 2048 for r in own[1:]) and all(r["ids_crc32"] == zlib.crc32(r["ids"]) for r in own)
 
 
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every place for every item, longest first."""
+    best = len(lengths)
+
+    def put(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lengths):
+            best = len(room)
+            return
+        for r in {*room}:
+            if r >= lengths[i]:
+                k = room.index(r)
+                put(i + 1, [*room[:k], r - lengths[i], *room[k + 1 :]])
+        put(i + 1, [*room, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_plan_against_the_optimum():
+    """Never more than one sequence above the optimum on small inputs, and mostly at it."""
+    rng = random.Random(12)
+    cases = [sorted((rng.randrange(1, 25) for _ in range(rng.randrange(1, 10))), reverse=True) for _ in range(300)]
+    over = [pk.plan(Counter(c), 24)[1] - fewest(c, 24) for c in cases]
+    assert set(over) <= {0, 1} and over.count(0) >= 0.95 * len(over)
+
+
+def test_pack_edges(spark):
+    """Repeated pieces, null ids and clashing names take places of their own; others stay as they are."""
+    rows = [(1, 0, 0, 3, 9), (1, 0, 0, 3, 9), (None, 0, 0, 8, 1), (2, 0, 0, 8, 1), (3, 0, 0, 5, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    odd = df.withColumns({c: F.lit("x") for c in ("_salt", "_rank", "_row", "_before", "_n", "_piece", "_length", "offset")})
+    got = pk.pack(odd, 8)
+    assert got.columns == [c for c in odd.columns if c != "offset"] + ["sequence_id", "offset"]
+    places = defaultdict(list)
+    for r in got.collect():
+        assert r["_salt"] == r["_row"] == "x"
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(sorted(p) for p in places.values()) == [[(0, 3)], [(0, 5), (5, 3)], [(0, 8)], [(0, 8)]]
+    assert pk.pack(odd.limit(0), 8).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)

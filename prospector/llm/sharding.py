@@ -9,16 +9,17 @@ again. Row (partition p, place i) alone decides shard and bucket, so bucket size
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Rows per bucket of the second permutation: what one task sorts.
-BUCKET_ROWS = 20_000
-#: Most partitions the matrix is drawn for (times 24 shards: a few MB); more are coalesced, without a shuffle.
-MAX_PARTITIONS = 65_536
+#: Bytes per bucket of the second permutation, about: what one task sorts.
+BUCKET_BYTES = 4 << 20
+#: Most partitions the matrix is drawn for (times 24 shards: some 50 MB); more are coalesced, without a shuffle: at 100 TB a task then reads some 400 MB.
+MAX_PARTITIONS = 1 << 18
 
 
 def communication_matrix(rows: list[int], sizes: list[int], seed: int) -> np.ndarray:
@@ -35,7 +36,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17, stable: bool = True)
     """df with shard (int) and slot (long, gapless from 0 in each shard); shard sizes differ by one at most.
 
     Every row counts, whatever it holds: nulls, repeated rows and ties are rows like others. Columns of df named shard
-    or slot are replaced. Empty table: no rows. The rows of a partition must be the same in each run over df, as they
+    or slot are replaced, all others pass through, whatever their names. Empty table: no rows. The rows of a partition must be the same in each run over df, as they
     are for a scan of files; for other inputs give stable=False, and df is written to the shared folder first.
     """
     df = df.drop("shard", "slot")
@@ -44,29 +45,32 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17, stable: bool = True)
     spark = df.sparkSession
     if df.rdd.getNumPartitions() > MAX_PARTITIONS:
         df = df.coalesce(MAX_PARTITIONS)
-    place = F.monotonically_increasing_id()
-    here, index = F.shiftright("_place", 33).cast("int"), F.col("_place").bitwiseAND(2**33 - 1)
-    counts = {r["p"]: r["n"] for r in df.select(place.alias("_place")).groupBy(here.alias("p")).agg(F.count("*").alias("n")).collect()}
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"))
+    place = F.monotonically_increasing_id().alias("_place")
+    here, index = F.shiftright("_place", 33).cast("int").alias("_p"), F.col("_place").bitwiseAND(2**33 - 1).alias("_i")
+    wide = sum((F.coalesce(F.octet_length(df[c]), F.lit(0)).cast("long") if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes), F.lit(0))
+    sums = df.select(place, wide.alias("_bytes")).groupBy(here).agg(F.count("*").alias("n"), F.sum("_bytes").alias("bytes")).toPandas()  # a row per partition
+    counts = dict(zip(sums["_p"].tolist(), sums["n"].tolist(), strict=True))
     total, parts = sum(counts.values()), sorted(counts)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
-    bounds = spark.createDataFrame([(p, [int(x) for x in np.cumsum(matrix[k])]) for k, p in enumerate(parts)], "_p int, _bounds array<long>")
-    buckets = max(1, -(-total // (shards * BUCKET_ROWS)))
+    bounds = spark.createDataFrame(pa.table({"_p": pa.array(parts, pa.int32()), "_bounds": pa.array(list(np.cumsum(matrix, axis=1)), pa.list_(pa.int64()))}))
+    buckets = max(1, -(-int(sums["bytes"].sum()) // (shards * BUCKET_BYTES)))
 
     def labelled(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumns({"_p": here, "_i": index}).join(F.broadcast(bounds), "_p")
+        """rows with _place, and by it alone _p, _i, _shard, _bucket and _draw."""
+        rows = rows.withColumns({"_p": here, "_i": index}).join(F.broadcast(bounds), "_p")  # a row per partition
         draw = F.xxhash64(F.lit(seed + 1), "_p", "_i")
-        return rows.withColumns({"shard": F.size(F.filter("_bounds", lambda b: b <= F.col("_i"))), "_draw": draw}).withColumn("_bucket", F.pmod(F.shiftright("_draw", 17), F.lit(buckets)))
+        return rows.withColumns({"_shard": F.size(F.filter("_bounds", lambda b: b <= F.col("_i"))), "_draw": draw}).withColumn("_bucket", F.pmod(F.shiftright("_draw", 17), F.lit(buckets))).drop("_bounds")
 
-    tally = labelled(df.select(place.alias("_place"))).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = written(tally.select("shard", "_bucket", before.alias("_before")), "shard-offsets")  # shards x buckets rows
+    tally = labelled(df.select(place)).groupBy("_shard", "_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = written(tally.select("_shard", "_bucket", before.alias("_before")), "shard-offsets")  # shards x buckets rows
 
-    local = df.withColumn("_key", F.xxhash64(F.lit(seed), *df.columns)).sortWithinPartitions("_key").withColumn("_place", place)
-    dealt = labelled(local).drop("_bounds", "_place", "_key")
-    rank = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy("_draw", "_p", "_i"))
-    placed = dealt.withColumn("_rank", rank).join(offsets, ["shard", "_bucket"])
-    return placed.select(*df.columns, "shard", (F.col("_before") + F.col("_rank") - 1).alias("slot"))
+    local = rows.withColumn("_key", F.xxhash64(F.lit(seed), "_row")).sortWithinPartitions("_key").select("_row", place)
+    rank = F.row_number().over(W.partitionBy("_shard", "_bucket").orderBy("_draw", "_p", "_i"))
+    placed = labelled(local).withColumn("_rank", rank).join(offsets, ["_shard", "_bucket"])
+    return placed.select(*[F.col("_row")[c].alias(c) for c in df.columns], F.col("_shard").alias("shard"), (F.col("_before") + F.col("_rank") - 1).alias("slot"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,34 @@ def test_packing_of_documents(spark):
     assert pk.pack(pk.pieces(df.limit(0), pk.vocabulary())).count() == 0
 
 
+def test_op10_rows_against_plain_python(spark, tmp_path):
+    """Sizes, checksums and laws of all rows, null and repeated texts included."""
+    texts = [None, "", "é" * 700, *["same text"] * 60, *[f"text {i} " * i for i in range(130)]]
+    frame(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sh.op10(spark, str(tmp_path)).collect()
+    want = {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == want and len(got) == len(texts)
+    own = defaultdict(list)
+    for r in got:
+        own[r["shard"]].append(r["slot"])
+        assert (r["law"], r["grown_shard"]) == ("rows", None)
+    assert sorted(own) == list(range(24)) and all(sorted(v) == list(range(len(v))) for v in own.values())
+    assert max(map(len, own.values())) - min(map(len, own.values())) <= 1
+
+
+def test_shard_rows_edges(spark):
+    """Clashing names keep their values; many buckets, null rows and an empty table."""
+    names = "_key _place _before _bounds _p _i _bucket _rank _draw _shard _row shard slot".split()
+    df = spark.range(0, 500, 1, 5).select("id", *[F.lit("v").alias(c) for c in names], F.when(F.col("id") % 3 > 0, F.repeat(F.lit("y"), 100_000)).alias("text"))
+    out = sh.shard_rows(df, 3)
+    assert out.columns == ["id", *names[:-2], "text", "shard", "slot"]
+    got = out.drop("text").collect()
+    assert all(r[c] == "v" for r in got for c in names[:-2])
+    assert sorted(r["id"] for r in got) == list(range(500))
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s, n in enumerate((167, 167, 166)) for i in range(n)]
+    assert sh.shard_rows(df.limit(0), 3, stable=False).count() == 0
+
+
 @pytest.mark.parametrize("rows", [0, 1, 23, 1000])
 def test_shards_are_exact(spark, rows):
     df = spark.range(0, rows, 1, 7).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.lit(9).alias("shard"))

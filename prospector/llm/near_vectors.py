@@ -2,7 +2,7 @@
 
 Equal vectors are one class. A class has a code of sign bits in each table; classes with equal label and code meet in a
 bucket, and there every pair gets its exact cosine in double precision by blocks of a matrix product. A pair counts in the
-first table in which it meets. Buckets beyond a block's size are cut into chunks, and every two chunks meet in a task of
+first table in which it meets; a bucket all of whose classes met in an earlier table is left out. Buckets beyond a block's size are cut into chunks, and every two chunks meet in a task of
 their own, so no bucket is gathered whole and none is capped. What leaves a block is a row per class, never a row per pair:
 the copies it links with, and the smallest class that links inside the block connect it with.
 """
@@ -24,7 +24,7 @@ COSINE = 0.98
 #: Recall at the threshold itself that the number of tables is chosen for; closer pairs are found more often.
 RECALL = 0.997
 #: Classes in a block.
-BLOCK = 1024
+BLOCK = 384
 
 
 def tables_for(rows: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
@@ -48,7 +48,8 @@ def _signed(bits: int, tables: int, seed: int):
                 x = np.array([vectors[i] for i in own], np.float64)
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), tables * bits))
-                up = (x @ planes[d] > 0).reshape(len(own), tables, bits)
+                scaled = x / np.maximum(np.abs(x).max(1, initial=0)[:, None], np.finfo(np.float64).tiny)
+                up = (scaled @ planes[d] > 0).reshape(len(own), tables, bits)
                 codes[own] = up @ (np.int64(1) << np.arange(bits, dtype=np.int64))
                 for i, v in zip(own, x + 0.0, strict=True):
                     prints[i] = xxhash.xxh3_128_digest(v.tobytes())
@@ -66,17 +67,21 @@ def _blocks(cosine: float):
         b = a if first == second else np.flatnonzero(chunk == second)
         if not len(a) or not len(b):
             return None
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        near = (x[a] @ x[b].T) / np.outer(norm[a], norm[b]) >= cosine
+        # A pair that met in an earlier table was judged there, for its links and its component.
+        new = np.ones((len(a), len(b)), np.bool_)
+        for t in range(k):
+            new &= codes[a, t][:, None] != codes[b, t][None, :]
         if first == second:
-            np.fill_diagonal(near, False)
+            np.fill_diagonal(new, False)
+        if not new.any():
+            return None
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # powers of two: exact, and no square overflows or vanishes
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        near = new & ((x[a] @ x[b].T) / np.outer(norm[a], norm[b]) >= cosine)
         if not near.any():
             return None
-        new = near.copy()
-        for t in range(k):
-            new &= codes[a, t][:, None] != codes[b, t][None, :]
         linked = np.zeros(len(ids), np.int64)
-        linked[a] += new @ copies[b]
+        linked[a] += near @ copies[b]
         root = ids.copy()
         while True:
             before = root.copy()
@@ -88,7 +93,7 @@ def _blocks(cosine: float):
             if (root == before).all():
                 break
         if first != second:
-            linked[b] += copies[a] @ new
+            linked[b] += copies[a] @ near
         some = (linked > 0) | (root != ids)
         return ids[some], linked[some], root[some]
 
@@ -139,7 +144,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, seed: int = 5, bloc
     classes = written(signed.groupBy(*group).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
     reps = written(signed.join(classes, group).where("id = rep").dropDuplicates(group).select("id", "label", "copies", "codes", "embedding"), "vectors")
     each = reps.select("id", "label", "copies", "codes", "embedding", F.posexplode("codes").alias("k", "code"))
-    full = written(reps.select("label", F.size("embedding").alias("dim"), F.posexplode("codes").alias("k", "code")).groupBy("label", "dim", "k", "code").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    codes = reps.select("label", F.size("embedding").alias("dim"), "codes", F.posexplode("codes").alias("k", "code")).withColumn("before", F.xxhash64(F.slice("codes", F.lit(1), F.col("k"))))
+    # Classes whose earlier codes are all equal have met each other.
+    some = (F.col("size") > 1) & ((F.col("k") == 0) | (F.col("least") != F.col("most")))
+    full = written(codes.groupBy("label", "dim", "k", "code").agg(F.count("*").alias("size"), F.min("before").alias("least"), F.max("before").alias("most")).where(some).drop("least", "most"), "buckets")
     chunks = F.ceil(F.col("size") / block).cast("int")
     met = each.withColumn("dim", F.size("embedding")).join(full, ["label", "dim", "k", "code"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
     spread = met.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))

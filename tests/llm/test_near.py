@@ -115,6 +115,21 @@ def test_near_vectors_against_all_pairs(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     one_block = {r["vec_id"]: r for r in nv.near_vectors(df, block=4096).collect()}
     assert got == one_block
+    # Components against those of all links (a hot group of 50 and pairs near the threshold among them).
+    root = list(range(len(rows)))
+    for _ in root:
+        for (i, j), near in links.items():
+            if near:
+                root[i] = root[j] = min(root[i], root[j])
+    same = sum(got[i]["component_id"] == root[i] for i in got)
+    assert same >= 0.97 * len(rows) and all(root[r["component_id"]] == root[i] for i, r in got.items())
+
+
+def test_near_vectors_of_extreme_sizes(spark):
+    """Squares of these components overflow or vanish; cosines don't depend on the size."""
+    rows = [(i, [x * s for x in v], 1) for i, (v, s) in enumerate([([1.0, 2.0], 1e200), ([1.0, 2.0], 1e-200), ([1.0, 2.001], 1.0), ([2.0, -1.0], 1e300), ([2.0, -1.0], 1e-300)])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nv.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3)}
 
 
 def test_near_vectors_recall_on_driver_data(spark):

@@ -6,10 +6,75 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .ids import is_profile, social_network
-from .text import col, fold_text
-
-VIDEO = {"youtube": r"youtube\.com/embed|youtu\.be/", "vimeo": r"player\.vimeo\.com", "html5": r"<video[\s>]", "tiktok": r"tiktok\.com/embed", "wistia": r"wistia", "dailymotion": r"dailymotion\.com/embed"}
-HINTS = ["promocao", "lancamento", "evento", "delivery", "agende", "novidade", "cardapio", "inauguracao", "orcamento", "desconto"]
+from .text import col, strip_accents
+
+# Patterns, words and area codes that results depend on.
+VIDEO = {
+    "YouTube": r"youtube(?:-nocookie)?\.com/(?:embed|watch|shorts)|youtu\.be/",
+    "Vimeo": r"player\.vimeo\.com|vimeo\.com/\d+",
+    "vídeo HTML5": r"<video[\s>]",
+    "Instagram Reels": r"instagram\.com/reels?/",
+    "TikTok": r"tiktok\.com/@[\w.]+/video/|tiktok\.com/embed",
+    "Wistia/Vidyard": r"wistia\.(?:com|net)|vidyard\.com",
+}
+HINTS = [
+    "lançamento", "lançamentos", "inauguração", "inauguramos", "nova unidade", "novas unidades", "em breve", "eventos", "evento", "reserve", "reservas", "agende",
+    "agendamento", "cardápio", "franquia", "franquias", "nossas unidades", "casamentos", "festas", "pré-lançamento", "empreendimento", "decorado",
+]
+AREAS = (
+    "11 12 13 14 15 16 17 18 19 21 22 24 27 28 31 32 33 34 35 37 38 41 42 43 44 45 46 47 48 49 51 53 54 55 61 62 63 64 65 66 67 68 69 "
+    "71 73 74 75 77 79 81 82 83 84 85 86 87 88 89 91 92 93 94 95 96 97 98 99"
+).split()
+FILES = "png|jpe?g|gif|svg|webp|avif|ico|css|js|mjs|json|woff2?|ttf|mp4|webm"
+NO_DOMAINS = (
+    r"example\.(?:com|org|net)|exemplo\.com(?:\.br)?|domain\.com|dominio\.com(?:\.br)?|seudominio|yourdomain|email\.com|mail\.com|test\.com|teste\.com|"
+    r"sentry\.io|sentry-next\.wixpress\.com|wixpress\.com|wix\.com|godaddy\.com|schema\.org|w3\.org"
+)
+NO_NAMES = "nome|seunome|seuemail|email|e-mail|usuario|user|exemplo|example|fulano|contato@contato|your|you|name|noreply|no-reply|donotreply"
+SHOWN_MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+SHOWN_PHONE = r"(?<![\d/.-])(?:\+?55[\s.-]?)?\(?0?(\d{2})\)?[\s.-]?(9?\d{4})[\s.-](\d{4})(?![\d/-])"
+
+
+def plausible_email(c: Column) -> Column:
+    """The address in lower case, if it is neither a file's name, a placeholder nor a hash; else null."""
+    e = F.lower(F.trim(c))
+    name, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
+    fine = e.rlike(r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$") & ~domain.rlike(rf"\.(?:{FILES})$") & ~e.rlike(r"@\d+x\.") & ~domain.rlike(rf"(?:^|\.)(?:{NO_DOMAINS})$") & ~name.rlike(f"^(?:{NO_NAMES})$") & ~name.rlike("^[0-9a-f]{16,}$")
+    return F.when(fine, e)
+
+
+def plausible_phone(c: Column) -> Column:
+    """10 or 11 digits with a known area, a mobile number of nine that begins with 9 or another of eight that begins with 2 to 5; else null."""
+    d = F.regexp_replace(c, "[^0-9]", "")
+    local = F.regexp_replace(F.regexp_replace(d, "^55(?=[0-9]{10})", ""), "^0(?=[0-9]{10})", "")
+    number = F.substring(local, 3, 20)
+    fine = local.rlike("^[0-9]{2}(?:9[0-9]{8}|[2-5][0-9]{7})$") & F.substring(local, 1, 2).isin(*AREAS) & ~number.rlike(r"^(\d)\1+$")
+    return F.when(fine, local)
+
+
+def _decoded(c: Column) -> Column:
+    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def _first(found: Column) -> Column:
+    return F.get(F.array_compact(found), F.lit(0))
+
+
+def contacts(html: Column | str) -> Column:
+    """struct(email, phone, whatsapp, email_origin, phone_origin): the first plausible one of links, else of the visible text."""
+    h = col(html)
+    every = lambda text, pattern, group=1: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    text = visible_text(h)
+    mail_link = _first(F.transform(every(h, r"""(?i)href=["']mailto:([^"'?]+)"""), lambda x: plausible_email(_decoded(x))))
+    mail_text = _first(F.transform(every(text, SHOWN_MAIL, 0), plausible_email))
+    whatsapp = _first(F.transform(every(h, r"(?i)(?:wa\.me/|whatsapp\.com/send/?\?phone=)\+?(\d{10,13})"), plausible_phone))
+    phone_link = _first(F.transform(every(h, r"""(?i)href=["']tel:([^"']+)"""), lambda x: plausible_phone(_decoded(x))))
+    parts = F.arrays_zip(*[every(text, SHOWN_PHONE, g).alias(f"p{g}") for g in (1, 2, 3)])
+    phone_text = _first(F.transform(parts, lambda p: plausible_phone(F.concat(p["p1"], p["p2"], p["p3"]))))
+    origin = lambda link, shown: F.when(link.isNotNull(), "link").when(shown.isNotNull(), "text")
+    found = F.struct(mail_link.alias("ml"), mail_text.alias("mt"), whatsapp.alias("w"), phone_link.alias("pl"), phone_text.alias("pt"))
+    named = lambda x: F.struct(F.coalesce(x["ml"], x["mt"]).alias("email"), F.coalesce(x["pl"], x["pt"]).alias("phone"), x["w"].alias("whatsapp"), origin(x["ml"], x["mt"]).alias("email_origin"), origin(x["pl"], x["pt"]).alias("phone_origin"))
+    return F.transform(F.array(found), named)[0]
 
 
 def title(html: Column | str) -> Column:
@@ -32,19 +97,17 @@ def links(html: Column | str) -> Column:
 
 
 def emails(html: Column | str) -> Column:
-    """Addresses of mailto links first, then of the visible text; files, placeholders and hashes are not addresses."""
-    linked = F.regexp_extract_all(col(html), F.lit(r"(?i)mailto:([^\"'?>\s]+)"), F.lit(1))
-    shown = F.regexp_extract_all(visible_text(html), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))
-    fine = lambda e: ~e.rlike(r"\.(?:png|jpe?g|gif|svg|webp|css|js)$") & ~e.rlike(r"@(?:example|sentry|domain|email)\.") & ~e.rlike(r"^[0-9a-f]{24,}@")
-    return F.array_distinct(F.filter(F.transform(F.concat(linked, shown), F.lower), fine))
+    """All plausible addresses: of mailto links first, then of the visible text."""
+    linked = F.regexp_extract_all(col(html), F.lit(r"""(?i)href=["']mailto:([^"'?]+)"""), F.lit(1))
+    shown = F.regexp_extract_all(visible_text(html), F.lit(SHOWN_MAIL), F.lit(0))
+    return F.array_distinct(F.array_compact(F.transform(F.concat(F.transform(linked, _decoded), shown), plausible_email)))
 
 
 def phones(html: Column | str) -> Column:
-    """Digits of tel links first, then of numbers shaped like telephone numbers that no digit touches; one repeated digit is none."""
-    linked = F.regexp_extract_all(col(html), F.lit(r"(?i)tel:([+0-9() .-]{8,})"), F.lit(1))
-    shown = F.regexp_extract_all(visible_text(html), F.lit(r"(?<![0-9])\(?[0-9]{2}\)?[ -]?9?[0-9]{4}[ -]?[0-9]{4}(?![0-9])"), F.lit(0))
-    bare = F.transform(F.concat(linked, shown), lambda p: F.regexp_replace(F.regexp_replace(p, "[^0-9]", ""), "^(?:0|55(?=[0-9]{10,11}$))", ""))
-    return F.array_distinct(F.filter(bare, lambda p: p.rlike("^[1-9][1-9][2-9][0-9]{7,8}$") & ~p.rlike(r"([0-9])\1{7}")))
+    """Digits of all plausible numbers: of tel links first, then of the visible text."""
+    linked = F.regexp_extract_all(col(html), F.lit(r"""(?i)href=["']tel:([^"']+)"""), F.lit(1))
+    shown = F.regexp_extract_all(visible_text(html), F.lit(SHOWN_PHONE), F.lit(0))
+    return F.array_distinct(F.array_compact(F.transform(F.concat(F.transform(linked, _decoded), shown), plausible_phone)))
 
 
 def profiles(html: Column | str) -> Column:
@@ -59,8 +122,10 @@ def videos(html: Column | str) -> Column:
 
 
 def hints(html: Column | str, words: list[str] = HINTS) -> Column:
-    text = fold_text(visible_text(html))
-    return F.slice(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])), 1, 10)
+    """The first ten of the words that the visible text has, whatever the accents and the case."""
+    text = F.lower(strip_accents(visible_text(html)))
+    found = lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lower(strip_accents(F.lit(w)))), F.lit(w)) for w in words]))
+    return F.slice(F.transform(F.array(text), found)[0], 1, 10)
 
 
 def content_hash(html: Column | str) -> Column:
@@ -75,6 +140,7 @@ def page_features(html: Column | str) -> Column:
         meta_description(h).alias("description"),
         emails(h).alias("emails"),
         phones(h).alias("phones"),
+        contacts(h).alias("contact"),
         profiles(h).alias("profiles"),
         videos(h).alias("videos"),
         hints(h).alias("hints"),

@@ -60,17 +60,21 @@ def tax_id(c: Column | str) -> Column:
     return F.when(F.length(d) == 14, d)
 
 
-def _check_digit(d: Column, weights: list[int]) -> Column:
-    total = sum((F.substring(d, i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
-    rest = total % 11
-    return F.when(rest < 2, 0).otherwise(11 - rest)
+def _check_digit(numbers: Column, weights: list[int]) -> Column:
+    total = F.aggregate(F.zip_with(numbers, F.array(*map(F.lit, weights)), lambda n, w: n * w), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return F.transform(F.array(total % 11), lambda rest: F.when(rest < 2, 0).otherwise(11 - rest))[0]
 
 
 def is_valid_tax_id(c: Column | str) -> Column:
     """14 digits, not one repeated, both check digits right."""
-    d = tax_id(c)
-    ok = (_check_digit(d, FIRST_WEIGHTS) == F.substring(d, 13, 1).cast("int")) & (_check_digit(d, [6, *FIRST_WEIGHTS]) == F.substring(d, 14, 1).cast("int"))
-    return F.coalesce(F.when(d.rlike(r"^(\d)\1{13}$"), False).otherwise(ok), F.lit(False))
+
+    def valid(d: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(d, F.lit("[0-9]"), F.lit(0)), lambda x: x.cast("int"))
+        right = lambda n: (_check_digit(n, FIRST_WEIGHTS) == F.get(n, F.lit(12))) & (_check_digit(n, [6, *FIRST_WEIGHTS]) == F.get(n, F.lit(13)))
+        return ~d.rlike(r"^(\d)\1{13}$") & F.transform(F.array(numbers), right)[0]
+
+    # A one-element array names the digits: they would else be computed for each use.
+    return F.coalesce(F.transform(F.array(tax_id(c)), lambda d: F.when(d.isNotNull(), valid(d)))[0], F.lit(False))
 
 
 def format_tax_id(c: Column | str) -> Column:
@@ -81,6 +85,11 @@ def format_activity(c: Column | str) -> Column:
     return F.regexp_replace(F.lpad(digits(c), 7, "0"), r"^(\d{4})(\d)(\d{2})$", "$1-$2/$3")
 
 
+def import_domain(c: Column | str) -> Column:
+    """The looser domain of imports: platforms are not left out."""
+    return host(c)
+
+
 def email(c: Column | str) -> Column:
     e = F.lower(F.trim(col(c)))
     return F.when(e.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), e)

@@ -14,11 +14,13 @@ ACCENTED = "".join(DECOMPOSED) + MARKS  # marks have no counterpart in PLAIN and
 PLAIN = "".join(DECOMPOSED.values())
 
 # Words that results depend on.
-LEGAL_SUFFIXES = r"\b(ltda|me|epp|eireli|s a|sa|mei|limitada|comercio|servicos|com|serv)\b"
+LEGAL_SUFFIXES = r"\b(ltda|me|epp|eireli|sa|mei|limitada|comercio|servicos|com|serv)\b"
 GENERIC_WORDS = (
     "restaurante restaurant lanchonete lanches bar pizzaria pizza cafe cafeteria padaria comida casa ponto espaco centro clinica loja salao "
     "studio estudio academia hotel pousada oficina auto pet shop do da de dos das e o a the grill churrascaria hamburgueria burger sorveteria delivery food"
 ).split()
+STOP_WORDS = ["de", "da", "do", "das", "dos", "e", "a", "o", "the", "and"]
+JUNK_NAMES = "sem nome|nome|desconhecido|unknown|teste?|test|xxx+|null|undefined"
 SMALL_WORDS = ["de", "da", "do", "das", "dos", "e"]
 STATES = {
     "AC": "Acre", "AL": "Alagoas", "AP": "Amapá", "AM": "Amazonas", "BA": "Bahia", "CE": "Ceará", "DF": "Distrito Federal", "ES": "Espírito Santo", "GO": "Goiás",
@@ -113,10 +115,11 @@ def name_similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def is_generic_name(c: Column | str) -> Column:
-    """Shorter than 3, digits only, or one or two words that are all generic."""
+    """Shorter than 3, digits only, a name for none, or but for stop words one or two words that are all generic."""
     n = fold_text(c)
-    parts = F.split(n, " ")
-    return (F.length(n) < 3) | n.rlike("^[0-9 ]+$") | ((F.size(parts) <= 2) & F.forall(parts, lambda t: F.array_contains(words_in(GENERIC_WORDS), t)))
+    parts = F.filter(F.split(n, " "), lambda t: ~F.array_contains(words_in(STOP_WORDS), t))
+    generic = F.size(parts).between(1, 2) & F.forall(parts, lambda t: F.array_contains(words_in(GENERIC_WORDS), t))
+    return (F.length(n) < 3) | n.rlike(f"^(?:[0-9 ]+|{JUNK_NAMES})$") | generic
 
 
 def slug(c: Column | str) -> Column:

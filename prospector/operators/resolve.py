@@ -66,13 +66,16 @@ def numbers_in(c: Column) -> Column:
     return F.array_join(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), " ")
 
 
-def pair_level(a: dict[str, Column], b: dict[str, Column]) -> Column:
+def pair_terms(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """What several rules of pair_level ask of two records, each computed once: similarity of names, a shared token, distance."""
+    return {"_sim": name_similarity(a["norm"], b["norm"]), "_shared": F.arrays_overlap(a["tokens"], b["tokens"]), "_meters": haversine(a["lat"], a["lon"], b["lat"], b["lon"])}
+
+
+def pair_level(a: dict[str, Column], b: dict[str, Column], terms: dict[str, Column] | None = None) -> Column:
     """EXACT, HIGH, MEDIUM, LOW or null for two prepared records given by their columns."""
-    sim = name_similarity(a["norm"], b["norm"])
-    shared = F.arrays_overlap(a["tokens"], b["tokens"])
+    sim, shared, meters = (terms or pair_terms(a, b)).values()
     no = F.lit(None).cast("string")
     fits = (a["city_key"] == "") | (b["city_key"] == "") | F.contains(a["city_key"], b["city_key"]) | F.contains(b["city_key"], a["city_key"])
-    meters = haversine(a["lat"], a["lon"], b["lat"], b["lon"])
     street = (a["street_key"] != "") & (a["street_key"] == b["street_key"])
     near = lambda m: F.coalesce(meters <= m, F.lit(False)) | street
     same_set = (F.size(F.array_except(a["tokens"], b["tokens"])) == 0) & (F.size(F.array_except(b["tokens"], a["tokens"])) == 0)
@@ -97,8 +100,10 @@ def classify(p: DataFrame, pairs: DataFrame) -> DataFrame:
     names = [c for c in p.columns if c != "idx"]
     side = lambda s: p.select(F.col("idx").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    level = pair_level({c: F.col(f"a_{c}") for c in names}, {c: F.col(f"b_{c}") for c in names})
-    return both.select("a", "b", level.alias("level")).where("level is not null")
+    sides = [{c: F.col(f"{s}_{c}") for c in names} for s in ("a", "b")]
+    terms = pair_terms(*sides)
+    level = pair_level(*sides, {c: F.col(c) for c in terms})
+    return both.withColumns(terms).select("a", "b", level.alias("level")).where("level is not null")
 
 
 def _fits(x: str, y: str) -> bool:

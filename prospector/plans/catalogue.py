@@ -305,11 +305,12 @@ GENERIC_SQL = "[" + ", ".join(f"'{w}'" for w in text.GENERIC_WORDS) + "]"
 FOLD = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"""WITH f AS (SELECT c_custkey, {FOLD.format("x")} AS n FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Restaurante' WHEN 1 THEN 'Bar & Grill' WHEN 2 THEN '12 34' WHEN 3 THEN 'Pizzaria do Zé' ELSE c_name END AS x FROM customer))
-SELECT c_custkey, n AS folded, length(n) < 3 OR regexp_full_match(n, '[0-9 ]+') OR (len(string_split(n, ' ')) <= 2 AND len(list_filter(string_split(n, ' '), lambda w: NOT list_contains({GENERIC_SQL}, w))) = 0) AS generic FROM f""")
+@query(f"""WITH f AS (SELECT c_custkey, {FOLD.format("x")} AS n FROM (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'Restaurante' WHEN 1 THEN 'Bar & Grill' WHEN 2 THEN '12 34' WHEN 3 THEN 'Pizzaria do Zé' WHEN 4 THEN 'Sem Nome' WHEN 5 THEN 'Bar e Pizzaria da Casa' ELSE c_name END AS x FROM customer))
+SELECT c_custkey, n AS folded, length(n) < 3 OR regexp_full_match(n, '[0-9 ]+|sem nome|nome|desconhecido|unknown|teste?|test|xxx+|null|undefined') OR (len(w) BETWEEN 1 AND 2 AND len(list_filter(w, lambda x: NOT list_contains({GENERIC_SQL}, x))) = 0) AS generic
+FROM (SELECT *, list_filter(string_split(n, ' '), lambda x: NOT list_contains(['de', 'da', 'do', 'das', 'dos', 'e', 'a', 'o', 'the', 'and'], x)) AS w FROM f)""")
 def generic_name_flag(t):
-    k = F.col("c_custkey") % 5
-    name = F.when(k == 0, "Restaurante").when(k == 1, "Bar & Grill").when(k == 2, "12 34").when(k == 3, "Pizzaria do Zé").otherwise(F.col("c_name"))
+    k = F.col("c_custkey") % 7
+    name = F.when(k == 0, "Restaurante").when(k == 1, "Bar & Grill").when(k == 2, "12 34").when(k == 3, "Pizzaria do Zé").when(k == 4, "Sem Nome").when(k == 5, "Bar e Pizzaria da Casa").otherwise(F.col("c_name"))
     return t("customer").select("c_custkey", text.fold_text(name).alias("folded"), text.is_generic_name(name).alias("generic"))
 
 
@@ -486,7 +487,7 @@ def url_domain(t):
 
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, substr(sha256(substr(html, 1, 5000)), 1, 16) AS content_hash, regexp_matches(html, '(?i)<video[\\s>]') AS has_video, regexp_matches(html, '(?i)<form') AS has_form FROM pages")
 def html_features(t):
-    return t("pages").select("page_id", html.title("html").alias("title"), html.content_hash("html").alias("content_hash"), F.array_contains(html.videos("html"), "html5").alias("has_video"), F.col("html").rlike("(?i)<form").alias("has_form"))
+    return t("pages").select("page_id", html.title("html").alias("title"), html.content_hash("html").alias("content_hash"), F.array_contains(html.videos("html"), "vídeo HTML5").alias("has_video"), F.col("html").rlike("(?i)<form").alias("has_form"))
 
 
 @query("""SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda e: lower(e))).list_sort() AS emails FROM documents WHERE contains(text, '@')""")
@@ -539,7 +540,7 @@ def breaker_fold(t):
     return e.select("source", b.alias("b")).select("source", "b.state", "b.failures", "b.trips")
 
 
-@query("""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+@query("""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type <> 'error')
 SELECT user_id AS source, round(sum(value * CASE WHEN r = 1 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - r) END), 6) AS latency FROM e GROUP BY 1""")
 def moving_latency(t):
     return health.moving_latencies(request_log(t)).select("source", F.round("latency", 6).alias("latency"))

@@ -21,11 +21,11 @@ SIZE = {"01": "ME", "03": "EPP", "05": "DEMAIS"}
 MOST_PARTNERS = 10
 
 
-def read_raw(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
-    """`;`-separated, quoted, latin-1 text without a header; short rows are left out, blanks are null."""
+def read_raw(spark: SparkSession, path: str | list[str], columns: list[str], ordered: bool = False) -> DataFrame:
+    """`;`-separated, quoted, latin-1 text without a header; short rows are left out, blanks are null. ordered adds row_id, in file order."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad"]])
     raw = spark.read.schema(schema).option("sep", ";").option("quote", '"').option("escape", '"').option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    return raw.where(F.col("_bad").isNull()).select(*[present(c).alias(c) for c in columns])
+    return raw.where(F.col("_bad").isNull()).select(*[present(c).alias(c) for c in columns], *([F.monotonically_increasing_id().alias("row_id")] if ordered else []))
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
@@ -36,13 +36,13 @@ def code_map(codes: dict[str, str], c: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), c)
 
 
-def filter_establishments(rows: DataFrame, uf: str | None = None, municipality: str | None = None, statuses: list[str] | None = None, activities: list[str] | None = None) -> DataFrame:
-    """By state, municipality code, status codes, and activity codes (primary or one of the secondary ones)."""
+def filter_establishments(rows: DataFrame, uf: str | list[str] | None = None, municipality: str | list[str] | None = None, statuses: list[str] | None = None, activities: list[str] | None = None) -> DataFrame:
+    """By states, municipality codes, status codes, and activity codes (primary or one of the secondary ones)."""
     keep = F.lit(True)
     if uf:
-        keep = keep & (F.col("uf") == uf.upper())
+        keep = keep & F.col("uf").isin(*[u.upper() for u in ([uf] if isinstance(uf, str) else uf)])
     if municipality:
-        keep = keep & (F.col("municipality") == municipality)
+        keep = keep & F.col("municipality").isin(*([municipality] if isinstance(municipality, str) else municipality))
     if statuses:
         keep = keep & F.col("status_code").isin(*statuses)
     if activities:
@@ -56,9 +56,9 @@ def municipality_code(lookup: DataFrame, city: str) -> DataFrame:
 
 
 def businesses(establishments: DataFrame, companies: DataFrame, partners: DataFrame | None = None, simples: DataFrame | None = None, municipalities: DataFrame | None = None) -> DataFrame:
-    """One record per establishment. The big files are reduced by a semi-join on the roots before they are joined; of repeated roots the last name in order counts; at most ten partners are kept."""
+    """One record per establishment. The big files are reduced by a semi-join on the roots before they are joined; of repeated roots the last row counts (by row_id where companies have it, else by name); at most ten partners are kept."""
     roots = establishments.select("root").distinct()
-    own = companies.join(roots, "root", "left_semi").groupBy("root").agg(F.max_by(F.struct("legal_name", "size_code", "capital"), "legal_name").alias("c"))
+    own = companies.join(roots, "root", "left_semi").groupBy("root").agg(F.max_by(F.struct("legal_name", "size_code", "capital"), "row_id" if "row_id" in companies.columns else "legal_name").alias("c"))
     out = establishments.join(own, "root", "left")
     if simples is not None:
         out = out.join(simples.join(roots, "root", "left_semi").groupBy("root").agg(F.max(F.col("mei") == "S").alias("is_mei")), "root", "left")

@@ -57,7 +57,49 @@ def test_geo_and_dates(spark):
 
 def test_pages(spark):
     page = """<html><head><title> A &amp; B </title><script>x@script.com</script></head><body><a href="mailto:Info@a.com.br">m</a> logo@2x.png me@a.com.br
-    (88) 3611-0000 1288361100001 <a href="https://instagram.com/p/1">p</a><a href="https://instagram.com/abc">i</a><a href="/contato">c</a><video src=x></video> Promoção</body></html>"""
+    (88) 3611-0000 1288361100001 <a href="https://instagram.com/p/1">p</a><a href="https://instagram.com/abc">i</a><a href="/contato">c</a><video src=x></video> Promoção CARDAPIO Em breve</body></html>"""
     f = values(spark, html.page_features(F.lit(page)))[0]
     assert f["title"] == "A &amp; B" and f["emails"] == ["info@a.com.br", "me@a.com.br"] and f["phones"] == ["8836110000"]
-    assert f["profiles"] == {"instagram": "https://instagram.com/abc"} and f["videos"] == ["html5"] and f["contact_page"] and f["hints"] == ["promocao"]
+    assert f["profiles"] == {"instagram": "https://instagram.com/abc"} and f["videos"] == ["vídeo HTML5"] and f["contact_page"] and f["hints"] == ["em breve", "cardápio"]
+    assert f["contact"].asDict() == {"email": "info@a.com.br", "phone": "8836110000", "whatsapp": None, "email_origin": "link", "phone_origin": "text"}
+
+
+def contacts_by_hand(page):
+    import re
+    from urllib.parse import unquote
+
+    def mail(x):
+        e = x.strip().lower()
+        m = re.fullmatch(r"([a-z0-9._%+-]+)@([a-z0-9.-]+\.[a-z]{2,})", e)
+        bad = not m or re.search(rf"\.({html.FILES})$", m[2]) or re.search(r"@\d+x\.", e) or re.search(rf"(^|\.)({html.NO_DOMAINS})$", m[2]) or re.fullmatch(html.NO_NAMES, m[1]) or re.fullmatch("[0-9a-f]{16,}", m[1])
+        return None if bad else e
+
+    def number(x):
+        d = re.sub("[^0-9]", "", x)
+        d = d[2:] if d.startswith("55") and len(d) >= 12 else d
+        d = d[1:] if d.startswith("0") and len(d) >= 11 else d
+        n = d[2:]
+        right = len(d) in (10, 11) and d[:2] in html.AREAS and (n[0] == "9" if len(n) == 9 else n[0] in "2345") and len(set(n)) > 1
+        return d if right else None
+
+    first = lambda xs: next((x for x in xs if x), None)
+    text = re.sub(r"(?is)<(script|style|noscript)\b.*?</\1>", " ", page)
+    text = re.sub(r"(?s)<[^>]+>", " ", text).replace("&nbsp;", " ").replace("&amp;", "&")
+    text = re.sub(r"\s+", " ", text)
+    link = first(mail(unquote(x)) for x in re.findall(r"(?i)href=[\"']mailto:([^\"'?]+)", page))
+    tel = first(number(unquote(x)) for x in re.findall(r"(?i)href=[\"']tel:([^\"']+)", page))
+    shown = first(mail(x) for x in re.findall(html.SHOWN_MAIL, text))
+    phone = first(number("".join(x)) for x in re.findall(html.SHOWN_PHONE, text, re.ASCII))
+    whatsapp = first(number(x) for x in re.findall(r"(?i)(?:wa\.me/|whatsapp\.com/send/?\?phone=)\+?(\d{10,13})", page))
+    return link or shown, tel or phone, whatsapp, "link" if link else "text" if shown else None, "link" if tel else "text" if phone else None
+
+
+def test_contacts_by_hand(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    pages += [
+        None, "", '<a href="tel:+55%20(88)%203611-0000">x</a> <a href="mailto:a%40b.com.br?x">m</a>', "call 088 99999-1234 or (88) 3611 2222", "5588991234567 +55 88 99123-4567", "x@2x.png noreply@a.com deadbeefdeadbeef@a.com ok@b.co",
+        "https://wa.me/5588991234567 api.whatsapp.com/send?phone=8836110000", "(20) 3611-0000 (88) 99999-9999 (88) 1611-0000 88 2611-0000-1", '<script>a@b.com</script> 11 5555-5555',
+    ]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i long, html string").select("i", html.contacts("html").alias("c")).collect()
+    got = {r["i"]: tuple(r["c"]) for r in rows}
+    assert [got[i] for i in range(len(pages))] == [contacts_by_hand(p or "") for p in pages]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -31,3 +31,22 @@ def in_polygon(x: Column, y: Column, rings: Column) -> Column:
         return F.size(F.filter(edges, hit))
 
     return F.aggregate(rings, F.lit(0), lambda acc, r: acc + crossings(r)) % 2 == 1
+
+
+def box_around(lat: Column, lon: Column, radius_km: float) -> Column:
+    """struct(south, north, west, east) of a box that holds the circle."""
+    d_lat = F.lit(radius_km / 111.32)
+    d_lon = radius_km / (111.32 * F.cos(F.radians(lat)))
+    return F.struct((lat - d_lat).alias("south"), (lat + d_lat).alias("north"), (lon - d_lon).alias("west"), (lon + d_lon).alias("east"))
+
+
+def in_areas(points: DataFrame, areas: DataFrame, key: str, area: str, margin: float = 0.003, size: float = 0.05) -> DataFrame:
+    """(key, area) of points (key, lat, lon) in the boxes of areas (area, south, north, west, east), with a margin.
+
+    An equi-join on cells of a grid: an area lies in the cells that it touches, a point in one; then the box decides.
+    """
+    at = lambda c: F.floor(c / size).cast("long")
+    wide = areas.select(area, *[(F.col(c) + s * margin).alias(f"_{c}") for c, s in (("south", -1), ("north", 1), ("west", -1), ("east", 1))])
+    cells = wide.withColumn("_y", F.explode(F.sequence(at(F.col("_south")), at(F.col("_north"))))).withColumn("_x", F.explode(F.sequence(at(F.col("_west")), at(F.col("_east")))))
+    own = points.where("lat is not null and lon is not null").select(key, "lat", "lon", at(F.col("lat")).alias("_y"), at(F.col("lon")).alias("_x"))
+    return own.join(cells, ["_y", "_x"]).where("lat between _south and _north and lon between _west and _east").select(key, area)

@@ -1 +1,3 @@
 """The catalogue of queries over the driver tables, with the SQL that checks each."""
+
+from . import catalogue, leads  # noqa: F401  (both register their queries)

@@ -262,6 +262,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), tokens AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 3), ' ') AS token FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS k FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id
+), sets AS (
+  SELECT doc_id, md5(string_agg(token, chr(10) ORDER BY token)) AS print FROM tokens GROUP BY doc_id
+), classes AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY print) AS rep FROM sets
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM tokens x JOIN tokens y ON x.token = y.token AND x.doc_id < y.doc_id
+  WHERE x.doc_id IN (SELECT rep FROM classes) AND y.doc_id IN (SELECT rep FROM classes) GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes m ON m.doc_id = a JOIN sizes k ON k.doc_id = b WHERE 100 * c >= 85 * (m.n + k.n - c)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a, b FROM ways UNION SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a
+), lowest AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN rep IS NULL THEN d.doc_id ELSE least(rep, coalesce(lowest.b, rep)) END AS component_id
+FROM d LEFT JOIN sizes ON d.doc_id = sizes.doc_id LEFT JOIN classes ON d.doc_id = classes.doc_id LEFT JOIN lowest ON lowest.a = rep
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], size: int = 4, percent: int = 85) -> list[tuple]:
     """The same rows by comparing every two documents; for tests."""
     import re

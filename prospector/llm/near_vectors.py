@@ -38,14 +38,14 @@ def _signed(bits: int, tables: int, seed: int):
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            n = len(vectors)
+            lists, n = batch.column("embedding"), batch.num_rows
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, begin = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(size)])
             codes = np.zeros((n, tables), np.int64)
             prints: list[bytes] = [b""] * n
-            size = np.array([len(v) for v in vectors], np.int64)
             for d in np.unique(size):
                 own = np.flatnonzero(size == d)
-                x = np.array([vectors[i] for i in own], np.float64)
+                x = flat[begin[own][:, None] + np.arange(d)]
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), tables * bits))
                 scaled = x / np.maximum(np.abs(x).max(1, initial=0)[:, None], np.finfo(np.float64).tiny)
@@ -103,8 +103,7 @@ def _blocks(cosine: float):
         def flush():
             t = pa.Table.from_batches(held)
             c = [t.column(n).to_numpy() for n in ("chunk", "id", "copies")]
-            codes = np.array(t.column("codes").to_pylist(), np.int64)
-            x = np.array(t.column("embedding").to_pylist(), np.float64)
+            codes, x = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(t), -1) for c in ("codes", "embedding"))  # all of one length
             return unit(t.column("k")[0].as_py(), t.column("first")[0].as_py(), t.column("second")[0].as_py(), *c, codes, x)
 
         def out(found):
@@ -164,5 +163,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, seed: int = 5, bloc
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), fine AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.98
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), n AS (SELECT a, count(*) AS n FROM links GROUP BY a), lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(lowest.b, vec_id)) AS component_id, vec_id <= coalesce(lowest.b, vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN lowest ON lowest.a = vec_id
+"""
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))

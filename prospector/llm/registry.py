@@ -6,7 +6,7 @@ from .chat import OP7_SQL, op7
 from .decontaminate import OP4_SQL, op4
 from .licenses import op1
 from .line_dedup import OP3_SQL, op3
-from .near_vectors import op9
+from .near_vectors import OP9_SQL, op9
 from .ngram_join import OP6_SQL, op6
 from .packing import op8
 from .quality import op5
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_sharding": op10,
 }
 
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_chat_formatting": OP7_SQL, "op9_embedding_near_dedup": OP9_SQL}

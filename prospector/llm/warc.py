@@ -4,9 +4,10 @@ Writing: records are laid out by column expressions (headers, HTTP head, payload
 the empty line that ends a record, so Spark's own commit protocol covers lost executors and any file system Spark knows.
 Equal payloads are stored once, in the record of the smallest id; the others are `revisit` records that name it.
 
-Reading: the data source plans partitions of whole files, by size; it takes over predicates on the record type and on the
-headers, parses the head of a record first, and seeks over the block of a record that they refuse. A block is read only
-where a payload is asked for by the schema.
+Reading: the data source plans partitions of whole files, by size; it takes over predicates on the columns that are headers
+(record_type, target_uri and so on), parses the head of a record first, and seeks over the block of a record that they
+refuse. A block is read only where a payload is asked for by the schema. Spark hands no predicates on elements of a map
+to a source, so those on headers['name'] are Spark's own. Records leave a task as Arrow batches of a bounded size.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import join_counted, scratch_path, table, written
 
@@ -26,7 +29,8 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 HEADER = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 #: Bytes of files that one task reads; larger files have a task each.
 TASK_BYTES = 128 << 20
-MAX_HEAD = 1 << 20
+#: Records and bytes of payload in a batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 class Files(InputPartition):
@@ -38,12 +42,13 @@ class Files(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, schema, options):
         self.names = [f.name for f in schema.fields]
+        self.arrow = to_arrow_schema(schema)
         self.paths = json.loads(options["files"]) if "files" in options else _listed(options["path"])
         self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Takes over equality, membership and prefixes on header columns and on headers; all others stay with Spark."""
+        """Takes over equality, membership and prefixes on header columns, and on headers; all others stay with Spark."""
         for f in filters:
             kind = {EqualTo: "is", In: "in", StringStartsWith: "begins"}.get(type(f))
             where = f.attribute if kind else ()
@@ -71,10 +76,24 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for path in partition.paths:
             with _opened(path) as f:
-                yield from self.records(f)
+                for row in self.records(f):
+                    rows.append(row)
+                    size += len(row[self.names.index("payload")] or b"") if "payload" in self.names else 0
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield self._batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        values = [[list(v.items()) if isinstance(v, dict) else v for v in column] for column in zip(*rows, strict=True)] if self.names else []
+        if not self.names:
+            return pa.RecordBatch.from_struct_array(pa.array([{}] * len(rows), pa.struct([])))
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, self.arrow, strict=True)], schema=self.arrow)
 
     def records(self, f) -> Iterator[tuple]:
         payload = "payload" in self.names
@@ -137,17 +156,17 @@ def _opened(path: str):
 
 
 def _head(f) -> dict[str, str] | None:
-    """Headers by lower-case name, the file standing at the block; None at the end. Continued lines are joined."""
-    line = f.readline(MAX_HEAD)
+    """Headers by lower-case name, the file standing at the block; None at the end. Lines may have any length; continued ones are joined."""
+    line = f.readline(-1)
     while line in (b"\r\n", b"\n"):
-        line = f.readline(MAX_HEAD)
+        line = f.readline(-1)
     if not line:
         return None
     if not line.startswith(b"WARC/"):
         raise ValueError(f"no record begins with {line[:40]!r}")
     head: dict[str, str] = {}
     name = ""
-    while (line := f.readline(MAX_HEAD).rstrip(b"\r\n")) or not name:
+    while (line := f.readline(-1).rstrip(b"\r\n")) or not name:
         if not line:
             raise ValueError("a record without headers")
         if line[:1] in b" \t" and name:
@@ -213,7 +232,7 @@ def archive_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 
 def read_archives(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The records of the archives in a folder. Predicates on record_type, the other header columns and headers['name'] are pushed down."""
+    """The records of the archives in a folder. Predicates on record_type and the other header columns are pushed down."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("warc").option("files", json.dumps(archive_files(spark, path)))

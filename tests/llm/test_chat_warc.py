@@ -108,3 +108,14 @@ def test_no_pages(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_headers_of_any_length_and_many_records(spark, tmp_path):
+    """A header line beyond a megabyte stays one line; more records than a batch holds; counting needs no column."""
+    path = f"file://{tmp_path}/long"
+    pages = [(1, "http://" + "a" * 1_300_000, "x"), (2, "http://b", None), *[(i, f"u{i}", f"text {i}") for i in range(3, 2600)]]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read_archives(spark, path).collect()
+    assert {(r["target_uri"], bytes(r["payload"])) for r in got} == {(u, (h or "").encode()) for _, u, h in pages}
+    assert warc.read_archives(spark, path).count() == len(pages)
+    assert warc.read_archives(spark, path, "record_type string").where("record_type = 'revisit'").count() == 0

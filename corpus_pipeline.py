@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospector.llm.common import table, written
+from prospector.llm.common import MADE, drop_tables, table, written
 from prospector.llm.decontaminate import cut_spans
 from prospector.llm.line_dedup import drop_lines
 from prospector.llm.ngram_join import keep_one
@@ -21,23 +21,28 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier selects, with the columns they had. Null and empty texts are not selected; without labels of both kinds all with words are. Repeated rows fare alike."""
     out = quality_select(docs, table(spark, sf_dir, "labels"))
     return out.select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that recur in documents of larger ids. Null texts stay null; repeated rows are cut alike; ties have no say, as the largest id holding a line keeps it."""
     return _recounted(drop_lines(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones, that of the smallest id. Rows without words, and null ids, stay; of rows that repeat id and text one stays."""
     return keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of the benchmark. Null and empty texts, and all where the benchmark is empty, stay; repeated rows are cut alike."""
     return _recounted(cut_spans(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents. A null or empty text is its end token alone; a text longer than a sequence is cut; each repeated row is packed. Empty table: no rows."""
     return pack(pieces(docs, vocabulary()))
 
 
@@ -54,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Tables that a stage made on its way are removed once it is written, and its input with them."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
+        mark = len(MADE)
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(spark, [*before, *MADE[mark:-1]])
+        before = [MADE[-1]]
     return docs

@@ -8,11 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; else, as in tests, a folder of our own."""
+    """spark.checkpoint.dir where it is set; else, if all runs on this machine (tests), a folder of our own, one an application."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return given.rstrip("/") if given else "file://" + tempfile.mkdtemp(prefix="prospector-")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="prospector-")
+    return _LOCAL[app]
 
 
 def stored(df: DataFrame) -> DataFrame:

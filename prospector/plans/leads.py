@@ -12,11 +12,14 @@ from ..functions.ids import phone_key
 from ..operators import business, imports, ledger, niches, score, search, tables
 from .catalogue import AS_OF, companies, n, query
 
-NOW = F.expr(f"timestamp_ntz'{AS_OF}'")
 NOW_SQL = f"TIMESTAMP '{AS_OF}'"
 TEXT = "array<string>"
 
 
+def now():
+    return F.expr(f"timestamp_ntz'{AS_OF}'")
+
+
 def none(kind: str = "string"):
     return F.lit(None).cast(kind)
 
@@ -322,12 +325,12 @@ def suppression_append(t):
 @query(f"SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '1990-01-01 00:00:00' WHEN c_custkey IN (SELECT s_suppkey FROM supplier) THEN {NOW_SQL} END AS deleted_at FROM customer")
 def soft_deleted(t):
     rows = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.expr("timestamp_ntz'1990-01-01 00:00:00'")).alias("deleted_at"))
-    return ledger.soft_delete(rows, t("supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey", "deleted_at", NOW)
+    return ledger.soft_delete(rows, t("supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey", "deleted_at", now())
 
 
 @query(f"SELECT 'user' AS actor, 'IMPORT' AS action, 'company' AS entity, CAST(s_suppkey AS VARCHAR) AS entity_id, '{{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\"}}' AS metadata, {NOW_SQL} AS created_at FROM supplier")
 def audit_rows(t):
-    return ledger.audit(t("supplier"), "user", "IMPORT", "company", "s_suppkey", ["s_suppkey", "s_name"], NOW)
+    return ledger.audit(t("supplier"), "user", "IMPORT", "company", "s_suppkey", ["s_suppkey", "s_name"], now())
 
 
 @query("""WITH r AS (SELECT p_partkey AS id, p_type AS activity, p_brand AS cat, p_name FROM part),
@@ -385,7 +388,7 @@ def personalisation_level(t):
 u AS (SELECT o_orderkey, CASE WHEN abs(mi) < 60 THEN mi WHEN abs(ho) < 24 THEN ho WHEN abs(da) < 30 THEN da WHEN abs(mo) < 12 THEN mo ELSE ye END AS v, CASE WHEN abs(mi) < 60 THEN 'minuto' WHEN abs(ho) < 24 THEN 'hora' WHEN abs(da) < 30 THEN 'dia' WHEN abs(mo) < 12 THEN 'mês' ELSE 'ano' END AS unit, mi FROM y)
 SELECT o_orderkey, CASE WHEN abs(mi) < 1 THEN 'agora' ELSE CASE WHEN v >= 0 THEN 'há ' ELSE 'em ' END || CAST(abs(v) AS BIGINT) || ' ' || CASE WHEN abs(v) = 1 THEN unit WHEN unit = 'mês' THEN 'meses' ELSE unit || 's' END END AS said FROM u""")
 def relative_times(t):
-    return t("orders").select("o_orderkey", links.relative_time(F.col("o_orderdate"), NOW).alias("said"))
+    return t("orders").select("o_orderkey", links.relative_time(F.col("o_orderdate"), now()).alias("said"))
 
 
 @query("SELECT page_id, NOT (page_id % 2 = 0 AND regexp_matches(url, '^https?://[^/]*/en')) AS allowed FROM pages")
@@ -493,7 +496,7 @@ def rule_evaluators(t):
         "c_custkey", F.when(F.col("c_acctbal") >= 0, "w").alias("website"), none().alias("phone"), none().alias("email"), none().alias("whatsapp"), F.when(k % 10 == 0, F.expr("timestamp_ntz'1998-01-01 00:00:00'")).alias("opened_at"), none().alias("estimated_size"),
         F.lit("i").alias("industry_id"), none().alias("city"), none().alias("state"), F.array().cast(TEXT).alias("tags"), (k % 3).cast("int").alias("socials"), F.array().cast("array<boolean>").alias("website_flags"), F.lit(False).alias("visual"), F.lit(False).alias("recurring"), (k % 2 == 0).alias("has_offer"),
     )
-    e = score.evaluators(NOW)
+    e = score.evaluators(now())
     names = ["no_website", "weak_social_presence", "new_business", "high_offer_fit"]
     return rows.select("c_custkey", *[F.coalesce(e[x], F.lit(False)).alias(x) for x in names])
 

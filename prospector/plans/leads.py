@@ -139,7 +139,7 @@ def search_outcome(t):
 LOCAL_SQL = "(SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'sao joao' WHEN c_custkey % 3 = 1 THEN 'São João' ELSE 'Sobral' END AS city, CASE WHEN c_custkey % 2 = 0 THEN 'CE' ELSE 'PI' END AS state FROM customer)"
 
 
-@query(f"SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 OR c_acctbal > 9000 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, c_custkey % 9 = 0 AS official FROM {LOCAL_SQL} WHERE city <> 'Sobral' AND state = 'CE' AND (c_mktsegment = 'BUILDING' OR c_nationkey = 3 OR contains(lower(c_name), '77'))")
+@query(f"SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 OR c_acctbal > 9000 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, c_custkey % 9 = 0 AS official FROM {LOCAL_SQL} WHERE city <> 'Sobral' AND state = 'CE' AND (c_mktsegment = 'BUILDING' OR c_nationkey = 3 OR contains(lower(c_name), '077'))")
 def local_base_scan(t):
     """The own base by city (with accents or without), state and niche, as source records."""
     k = F.col("c_custkey")
@@ -147,7 +147,7 @@ def local_base_scan(t):
         k.alias("id"), F.col("c_name").alias("trade_name"), none().alias("legal_name"), pick(k, "sao joao", "São João", "Sobral").alias("city"), pick(k, "CE", "PI").alias("state"), F.col("c_mktsegment").alias("industry_id"), F.col("c_nationkey").cast("string").alias("activity"),
         F.array().cast(TEXT).alias("secondary_activities"), F.when(F.col("c_acctbal") > 9000, "1").alias("cnpj"),
     )
-    own = search.local_scan(base, "São João", "CE", search.niche_match("BUILDING", ["3"], ["x", "77 "]))
+    own = search.local_scan(base, "São João", "CE", search.niche_match("BUILDING", ["3"], ["x", "077 "]))
     origins = t("customer").where("c_custkey % 9 = 0").select(k.alias("id"), F.lit("OFFICIAL").alias("kind"), k.cast("string").alias("record_id"))
     socials = t("customer").select(k.alias("id"), F.lit("instagram").alias("network"), F.lit("u").alias("url"), (k % 2 == 0).alias("found"))
     contacts = t("customer").select(k.alias("id"), F.lit("OWNER").alias("role"))

@@ -31,14 +31,15 @@ def moving_latency(values: Column) -> Column:
 def moving_latencies(log: DataFrame) -> DataFrame:
     """(source, latency) of log (source, ts, id, ok, value): moving_latency over the successes in order of ts and id, without gathering them.
 
-    Failures leave the latency as it is; a source without a success has none. Steps are not rounded.
+    Failures leave the latency as it is; a source without a success has none. Without a column ok all are
+    successes. Steps are not rounded.
 
     An hour's rows are weighted among themselves; its sum then counts by OLD to the power of the number of later rows. So a
     source with many rows is spread by hour, and only one row an hour is ordered per source.
     """
     hour = F.date_trunc("hour", F.col("ts"))
     late = F.row_number().over(W.partitionBy("source", "_hour").orderBy(F.desc("ts"), F.desc("id"))) - 1
-    parts = log.where("ok").withColumn("_hour", hour).withColumn("_late", late).groupBy("source", "_hour").agg(F.sum(F.lit(NEW) * F.col("value") * F.pow(F.lit(OLD), "_late")).alias("_sum"), F.count("*").alias("_n"), F.max_by("value", "_late").alias("_first"))
+    parts = (log.where("ok") if "ok" in log.columns else log).withColumn("_hour", hour).withColumn("_late", late).groupBy("source", "_hour").agg(F.sum(F.lit(NEW) * F.col("value") * F.pow(F.lit(OLD), "_late")).alias("_sum"), F.count("*").alias("_n"), F.max_by("value", "_late").alias("_first"))
     by_hour = W.partitionBy("source").orderBy(F.desc("_hour"))
     after = F.coalesce(F.sum("_n").over(by_hour.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("_after", after)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,5 +71,88 @@ def breaker(events: Column) -> Column:
     return F.aggregate(events, start, step)
 
 
+END = "open boolean, failures long, carried boolean, opened_at long, trips long"
+CHUNK = f"source {{kind}}, ts timestamp, id long, first long, ends array<struct<{END.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def _next(lane: tuple, ts: int, ok: bool) -> tuple[tuple, bool]:
+    """breaker's step for a lane (opened_at or None if closed, failures, whether these add to the start's): the lane after it, and if it tripped."""
+    opened_at, failures, carried = lane
+    if opened_at is not None and ts - opened_at < COOL_DOWN_S:
+        return lane, False
+    if ok:
+        return (None, 0, False), False
+    opens = opened_at is not None or failures + 1 >= FAILURES
+    return (ts if opens else opened_at, failures + 1, carried), opens
+
+
+def _chunk_maps(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One row per source of a sorted partition: where its events lead from each state that the breaker may be in before them.
+
+    Starts are FAILURES closed states, then open ones by the seconds left of the cool-down (0: a trial is due). Starts
+    that have come to the same state go on as one, so memory and time hardly depend on their number.
+    """
+    starts = FAILURES + COOL_DOWN_S + 1
+    source = head = lanes = None
+    trips: list[int] = []
+
+    def ended() -> pa.RecordBatch:
+        ends: list = [None] * starts
+        for (opened_at, failures, carried), members in lanes.items():
+            for m in members:
+                ends[m] = {"open": opened_at is not None, "failures": failures, "carried": carried, "opened_at": opened_at, "trips": trips[m]}
+        return pa.RecordBatch.from_pylist([{"source": source, "ts": head[0], "id": head[1], "first": head[2], "ends": ends}], schema)
+
+    for batch in batches:
+        for key, at, i, ts, ok in zip(*(batch.column(c).to_pylist() for c in ("source", "ts", "id", "s", "ok")), strict=True):
+            if lanes is None or key != source:
+                if lanes is not None:
+                    yield ended()
+                source, head, trips = key, (at, i, ts), [0] * starts
+                lanes = {(None, f, False): [f] for f in range(FAILURES)} | {(ts - COOL_DOWN_S + left, 0, True): [FAILURES + left] for left in range(COOL_DOWN_S + 1)}
+            after: dict = {}
+            for lane, members in lanes.items():
+                new, opened = _next(lane, ts, ok)
+                if opened:
+                    for m in members:
+                        trips[m] += 1
+                if new in after:
+                    after[new] += members
+                else:
+                    after[new] = members
+            lanes = after
+    if lanes is not None:
+        yield ended()
+
+
+def breakers(log: DataFrame) -> DataFrame:
+    """(source, state, failures, trips): breaker over each source's rows of log (source, ts, id, ok) in order of ts and id, without gathering them.
+
+    Rows are dealt by ranges of (source, ts, id), so a source with many rows is spread over many tasks. Each task reads its
+    rows as a stream and gives, per source, one row of 124 states: where they lead from each state before them. A source has
+    one such row per partition at most; these are folded in order. Rows without ok count as failures, rows without ts are left
+    out; rows alike in source, ts and id lie in one task and failures come first. Empty log: no rows.
+    """
+    rows = log.where("ts is not null").select("source", F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    dealt = rows.repartitionByRange("source", "ts", "id").sortWithinPartitions("source", "ts", "id", "ok")
+    kind = CHUNK.format(kind=log.schema["source"].dataType.simpleString())
+    schema = log.sparkSession.createDataFrame([], kind)
+    chunks = dealt.mapInArrow(_mapper(pa.schema(schema.toArrow().schema)), kind)
+    start = F.expr("struct(false AS open, 0L AS failures, CAST(NULL AS BIGINT) AS opened_at, 0L AS trips)")
+
+    def step(s: Column, c: Column) -> Column:
+        left = F.greatest(F.lit(0), s["opened_at"] + COOL_DOWN_S - c["first"])
+        at = F.when(s["open"], left + FAILURES).otherwise(s["failures"]).cast("int")
+        named = F.transform(F.array(F.get(c["ends"], at)), lambda e: F.struct(e["open"].alias("open"), (e["failures"] + F.when(e["carried"], s["failures"]).otherwise(0)).alias("failures"), e["opened_at"].alias("opened_at"), (s["trips"] + e["trips"]).alias("trips")))
+        return named[0]
+
+    folded = chunks.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "first", "ends"))).alias("c")).select("source", F.aggregate("c", start, step).alias("b"))
+    return folded.select("source", F.when(F.col("b.open"), "OPEN").otherwise("CLOSED").alias("state"), F.col("b.failures").cast("int").alias("failures"), F.col("b.trips").cast("int").alias("trips"))
+
+
+def _mapper(schema: pa.Schema):
+    return lambda batches: _chunk_maps(batches, schema)
+
+
 def status(enabled: Column, configured: Column, state: Column, success_rate: Column) -> Column:
     return F.when(~enabled, "DISABLED").when(~configured, "NOT_CONFIGURED").when(state == "OPEN", "DOWN").when((state == "HALF_OPEN") | (success_rate < 0.8), "DEGRADED").otherwise("HEALTHY")

@@ -158,3 +158,47 @@ def test_pairs_clusters_and_reviews_against_a_plain_merge(spark):
     got = sorted(tuple(r) for r in QUERIES["merge_reviews"](spark, DIR).select("a", "b", "level").collect())
     assert got == sorted((a, b, v) for (a, b), v in review.items())
     assert any(levels[k] in ("EXACT", "HIGH") for k in review)
+
+
+def test_breaker_carries_its_state_over_partitions(spark):
+    def fold(events):
+        state, failures, opened, trips = "CLOSED", 0, None, 0
+        for ts, ok in events:
+            if state == "OPEN" and ts - opened < health.COOL_DOWN_S:
+                continue
+            if ok:
+                state, failures, opened = "CLOSED", 0, None
+                continue
+            failures += 1
+            if state == "OPEN" or failures >= health.FAILURES:
+                state, opened, trips = "OPEN", ts, trips + 1
+        return state, failures, trips
+
+    rng = random.Random(4)
+    rows, at = [], 1_700_000_000
+    for i in range(6000):
+        at += rng.choice([0, 1, 5, 30, 119, 120, 121, 400]) if rng.random() < 0.5 else 0
+        rows.append((rng.choice([1, 1, 1, 1, 2, None]), at, i, rng.random() < 0.35))
+    rows += [(3, at, 1, False), (3, at, 2, False), (3, at, 3, False), (4, at, 1, None), (5, None, 1, False), (6, at, 7, True), (6, at, 7, True)]
+    log = spark.createDataFrame(rows, "source long, s long, id long, ok boolean").selectExpr("source", "timestamp_seconds(s) AS ts", "id", "ok")
+    by = defaultdict(list)
+    for u, ts, i, ok in rows:
+        if ts is not None:
+            by[u].append((ts, i, bool(ok)))
+    want = {u: fold([(ts, ok) for ts, _, ok in sorted(v)]) for u, v in by.items()}
+    for parts in ("1", "8", "50"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r["source"]: (r["state"], r["failures"], r["trips"]) for r in health.breakers(log).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == want
+    assert health.breakers(log.limit(0)).isEmpty()
+    events = spark.read.parquet(f"{DIR}/events.parquet").selectExpr("user_id", "unix_seconds(cast(ts as timestamp)) AS s", "event_id", "event_type <> 'error' AS ok").collect()
+    by = defaultdict(list)
+    for u, ts, i, ok in events:
+        by[u].append((ts, i, ok))
+    got = {r["source"]: (r["state"], r["failures"], r["trips"]) for r in QUERIES["breaker_fold"](spark, DIR).collect()}
+    assert got == {u: fold([(ts, ok) for ts, _, ok in sorted(v)]) for u, v in by.items()}

@@ -314,14 +314,9 @@ def generic_name_flag(t):
     return t("customer").select("c_custkey", text.fold_text(name).alias("folded"), text.is_generic_name(name).alias("generic"))
 
 
-@query(f"SELECT doc_id, sha256({FOLD.format('text')}) AS folded FROM documents WHERE text IS NOT NULL AND lang IN ('fr', 'es', 'en')")
+@query(f"SELECT doc_id, sha256({FOLD.format("coalesce(text, '')")}) AS folded FROM documents")
 def fold_text(t):
-    return t("documents").where("text is not null and lang in ('fr', 'es', 'en')").select("doc_id", F.sha2(text.fold_text("text"), 256).alias("folded"))
-
-
-@query()
-def fold_all_documents(t):
-    """fold_text of every document, of any language or none; a null text is empty. Tested by brute force."""
+    """Every document, of any language or none; a null text is empty."""
     return t("documents").select("doc_id", F.sha2(text.fold_text("text"), 256).alias("folded"))
 
 
@@ -335,17 +330,10 @@ def name_trigram_similarity(t):
     return both.select("s_suppkey", F.round(text.name_similarity(F.lower("s_name"), F.lower(F.replace("c_name", F.lit("#"), F.lit("")))), 9).alias("similarity"))
 
 
-@query("""WITH k AS (SELECT DISTINCT doc_id, unnest(list_slice(regexp_extract_all(lower(text), '[a-z]{3,}'), 1, 5)) AS key FROM documents), b AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 400)
+@query("""WITH k AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS key FROM documents), b AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 400)
 SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN b ON x.key = b.key JOIN k y ON y.key = x.key AND x.doc_id < y.doc_id""")
 def blocking_pairs(t):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), 1, 5)
-    keys = t("documents").select(F.col("doc_id").alias("idx"), F.explode(F.array_distinct(words)).alias("key"))
-    return resolve.candidate_pairs(keys)
-
-
-@query()
-def blocking_pairs_whole_text(t):
-    """blocking_pairs by all distinct words of the whole text, with the reference's rule of 2 to 400 only; tested by brute force."""
+    """Pairs by all distinct words of the whole text, with the method's own rule of 2 to 400 records a block only."""
     keys = t("documents").select(F.col("doc_id").alias("idx"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("key"))
     return resolve.candidate_pairs(keys)
 
@@ -354,7 +342,7 @@ def people(t) -> DataFrame:
     """customer and supplier as source records of one idx space."""
     none = lambda kind: F.lit(None).cast(kind)
     base = lambda df, key, name, src, off: df.select(
-        (F.col(key) * 2 + off).alias("idx"), F.lit(src).alias("source"), F.col(key).cast("string").alias("source_record_id"), F.concat(F.lit("Alpha "), F.regexp_extract(name, "([0-9]+)", 1)).alias("name"), none("string").alias("trade_name"),
+        (F.col(key) * 2 + off).alias("idx"), F.lit(src).alias("source"), F.col(key).cast("string").alias("source_record_id"), F.concat(F.lit("zor"), F.translate(F.regexp_extract(name, "([0-9]+)", 1), "0123456789", "bcdfghjklm")).alias("name"), none("string").alias("trade_name"),
         F.when(F.col(key) % 5 == 0, F.lpad(F.col(key).cast("string"), 14, "0")).alias("cnpj"), F.when(F.col(key) % 4 == 0, F.concat(F.lit("www.site"), F.col(key).cast("string"), F.lit(".com"))).alias("website"),
         F.array(F.concat(F.lit("889"), F.lpad(F.col(key).cast("string"), 8, "0"))).alias("phones"), F.lit("").alias("city"), none("string").alias("street"), none("double").alias("lat"), none("double").alias("lon"), F.array().cast("array<string>").alias("linked_record_ids"),
     )
@@ -365,15 +353,13 @@ def people(t) -> DataFrame:
 @query("""SELECT s_suppkey * 2 AS a, s_suppkey * 2 + 1 AS b, CASE WHEN s_suppkey % 5 = 0 THEN 'EXACT' ELSE 'HIGH' END AS level FROM supplier JOIN customer ON s_suppkey = c_custkey""")
 def pair_classification(t):
     p = resolve.prepare(people(t))
-    keys = resolve.block_keys(p).where("key like 'cnpj:%' or key like 'dom:%' or key like 'ph:%'")
-    return resolve.classify(p, resolve.candidate_pairs(keys))
+    return resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p)))
 
 
 @query("""SELECT c_custkey * 2 AS idx, c_custkey * 2 AS cluster FROM customer UNION ALL SELECT s_suppkey * 2 + 1, CASE WHEN c_custkey IS NULL THEN s_suppkey * 2 + 1 ELSE s_suppkey * 2 END FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey""")
 def guarded_clusters(t):
     p = resolve.prepare(people(t))
-    keys = resolve.block_keys(p).where("key like 'cnpj:%' or key like 'dom:%' or key like 'ph:%'")
-    return resolve.clusters(p, resolve.classify(p, resolve.candidate_pairs(keys)))
+    return resolve.clusters(p, resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p))))
 
 
 def rivals(t) -> DataFrame:
@@ -574,17 +560,25 @@ def cache_key(t):
     return t("customer").select("c_custkey", text.cache_key(parts).alias("key"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.09) SELECT (SELECT count(DISTINCT a) FROM e) + (SELECT count(DISTINCT b) FROM e) AS nodes")
+LINKS_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS x, l_suppkey * 2 + 1 AS y FROM lineitem), l AS (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
+c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, min(c.component) FROM c JOIN l ON c.node = l.a JOIN recurring.c AS r ON r.node = l.b WHERE c.component < r.component GROUP BY l.b)
+SELECT {} FROM c"""
+
+
+def links(t) -> DataFrame:
+    """All links of parts (even nodes) and suppliers (odd ones)."""
+    return t("lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
+
+
+@query(LINKS_SQL.format("count(*) AS nodes, count(DISTINCT component) AS components"))
 def link_nodes(t):
-    """Nodes that connected components label; the components themselves are tested against brute force."""
-    e = t("lineitem").where("l_quantity >= 50 and l_discount > 0.09").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b"))
-    return connected(e).agg(n("nodes"))
+    return connected(links(t)).agg(n("nodes"), F.countDistinct("component").alias("components"))
 
 
-@query()
+@query(LINKS_SQL.format("node, component"))
 def link_components(t):
-    """(node, component) over all links of parts (even nodes) and suppliers (odd ones); tested by brute force."""
-    return connected(t("lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
+    """(node, component) over all links; also tested by brute force, on links of many components."""
+    return connected(links(t))
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Queries without SQL that do a whole job, against brute force."""
+"""Queries that do a whole job, against brute force on rows that the driver tables lack."""
 
 import hashlib
 import itertools
@@ -24,7 +24,7 @@ def test_blocking_reads_whole_texts(spark, tmp_path):
         for w in re.findall("[a-z]{3,}", (text or "").lower()):
             blocks[w].add(i)
     want = {p for ids in blocks.values() if 2 <= len(ids) <= 400 for p in itertools.combinations(sorted(ids), 2)}
-    got = [tuple(r) for r in QUERIES["blocking_pairs_whole_text"](spark, str(tmp_path)).select("a", "b").collect()]
+    got = [tuple(r) for r in QUERIES["blocking_pairs"](spark, str(tmp_path)).select("a", "b").collect()]
     assert (1, 2) in got and len(got) == len(want) and set(got) == want
 
 
@@ -36,7 +36,7 @@ def test_every_document_is_folded(spark, tmp_path):
     rows = [(1, "Größe über ÄÖÜ ẞ", "de"), (2, None, "de"), (3, "Šířka, ő ű ł ø", "cs"), (4, "e\u0301te\u0301 Ấn", None), (5, "", "fr"), (6, "日本 İI \u212a \u1e9b", "ja"), (7, "¡Qué!", "es")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     for folder, docs in ((str(tmp_path), rows), (DIR, [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()])):
-        got = sorted(map(tuple, QUERIES["fold_all_documents"](spark, folder).select("doc_id", "folded").collect()))
+        got = sorted(map(tuple, QUERIES["fold_text"](spark, folder).select("doc_id", "folded").collect()))
         assert got == sorted((d[0], fold(d[1])) for d in docs)
 
 

@@ -43,10 +43,10 @@ NAMES = {
     "mit": ["MIT License", "MIT license (MIT)", "Expat License", "MIT"],
     "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0"],
     "gpl": ["GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL v3", "GPL-3.0-or-later", "GPLv2", "GPL", "GNU GPL", "GNU General Public License"],
-    "lgpl": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License version 2.1", "GNU LGPL v3", "LGPL-2.1-only", "GNU LGPL", "GNU Lesser General Public License"],
+    "lgpl": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License version 2.1", "GNU LGPL v3", "LGPL-2.1-only", "GNU LGPL", "GNU Lesser General Public License", "GNU Library General Public License, version 2", "GNU Library General Public License"],
     "agpl": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL-3.0-only", "GNU Affero General Public License"],
     "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause \"Simplified\" License", "BSD-3-Clause"],
-    "mpl": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0"],
+    "mpl": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0", "Mozilla Public License, version 1.1", "MPL 1.1"],
     "isc": ["ISC License", "ISC license (ISC)"],
     "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC-BY-4.0"],
     "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-3.0"],
@@ -58,18 +58,18 @@ BODIES = {
     "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "apache": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program."],
-    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU Lesser General Public License along with this library.", "You should have received a copy of the GNU Library General Public License along with this library."],
     "agpl": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "public-domain": ["This is free and unencumbered software released into the public domain.", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights under copyright law"],
+    "public-domain": ["This is free and unencumbered software released into the public domain.", "is placed in the public domain", "was released into the public domain", "was released to the public domain", "This file is in the public domain.", "This code is in the public domain.", "This software is in the public domain.", "No copyright is claimed.", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights under copyright law"],
 }
 COMMON_WORDS = {"MIT"}
 LEADS = ["under", "license", "identifier", "the"]
 NOTICES = ["{}", "{}.", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This project is available under the {}; see LICENSE.", "Distributed under the terms of the {}.", "The code is covered by the {}.", "SPDX-License-Identifier: {}", "License: {}", "Published under a {} licence.", "Except where noted, content is under {}.", "Copyright 2020 the authors, {}."]
 #: Texts with anchor words that grant no licence of these families.
-OTHERS = ["All rights reserved.", "Copyright 2021 Example Inc. All rights reserved.", "Copyright holders keep all rights.", "The driver's license had expired.", "She lost her fishing licence.", "A license plate was found.", "The license fee is due each year.", "Licensed under the Example Vendor Agreement.", "This software is licensed, not sold, under a proprietary license.", "Released under the Acme Source License.", "License: see the vendor.", "Use is subject to a commercial license agreement.", "Permission denied.", "He asked for permission to speak.", "No permission is granted.", "The permission of the owner is needed.", "The warranty lasts two years.", "This warranty does not cover damage by water.", "There is no warranty on used goods.", "Apache helicopters flew over.", "The Apache people live in the southwest.", "Apache Spark runs on a cluster.", "The Apache web server was restarted.", "MIT researchers published a study.", "She studied physics at MIT.", "BSD sockets are used here.", "The BSD kernel boots.", "GNU parallel runs jobs.", "GNU make builds it.", "Mozilla announced a browser.", "The wealth was redistributed among the poor.", "Redistribution of income was debated.", "The licensing board met.", "A licensed doctor signed.", "He licensed the patent.", "Copyright law is complicated.", "Creative commons rooms in the school.", "The painting is no longer under copyright.", "The ISC committee met.", "The general public may enter."]
+OTHERS = ["All rights reserved.", "Copyright 2021 Example Inc. All rights reserved.", "Copyright holders keep all rights.", "The driver's license had expired.", "She lost her fishing licence.", "A license plate was found.", "The license fee is due each year.", "Licensed under the Example Vendor Agreement.", "This software is licensed, not sold, under a proprietary license.", "Released under the Acme Source License.", "License: see the vendor.", "Use is subject to a commercial license agreement.", "Permission denied.", "He asked for permission to speak.", "No permission is granted.", "The permission of the owner is needed.", "The warranty lasts two years.", "This warranty does not cover damage by water.", "There is no warranty on used goods.", "Apache helicopters flew over.", "The Apache people live in the southwest.", "Apache Spark runs on a cluster.", "The Apache web server was restarted.", "MIT researchers published a study.", "She studied physics at MIT.", "BSD sockets are used here.", "The BSD kernel boots.", "GNU parallel runs jobs.", "GNU make builds it.", "Mozilla announced a browser.", "The wealth was redistributed among the poor.", "Redistribution of income was debated.", "The licensing board met.", "A licensed doctor signed.", "He licensed the patent.", "Copyright law is complicated.", "Creative commons rooms in the school.", "The painting is no longer under copyright.", "The ISC committee met.", "The general public may enter.", "Many old books are in the public domain.", "The story entered the public domain."]
 
 
 def words_of(text: str) -> list[str]:

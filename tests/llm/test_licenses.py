@@ -70,6 +70,20 @@ def test_wrapped_texts(spark):
         assert got == [(i, f, round(p, 9), c, t) for i, f, p, c, t in ls.brute_force(r["text"])], r["doc_id"]
 
 
+def test_older_names_and_public_domain():
+    said = {
+        "It comes under the terms of the GNU Library General Public License.": {"lgpl"},
+        "Covered by the Mozilla Public License, version 1.1.": {"mpl"},
+        "This file is hereby placed in the public domain.": {"public-domain"},
+        "The code was released into the public domain.": {"public-domain"},
+        "No copyright is claimed.": {"public-domain"},
+        "Many old books are in the public domain.": set(),
+        "She sang in the public square.": set(),
+    }
+    for text, want in said.items():
+        assert {m[1] for m in ls.brute_force(text) if m[3]} == want, text
+
+
 def test_scan_matches_plain_python(spark):
     rng = random.Random(4)
     texts = [t for t, _ in rng.sample(ls.training_rows(rng, 1), 120)]

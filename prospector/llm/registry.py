@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7
 from .decontaminate import OP4_SQL, op4
+from .hard_negatives import OP11_SQL, op11
 from .licenses import op1
 from .line_dedup import OP3_SQL, op3
 from .near_vectors import OP9_SQL, op9
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_best_fit_packing": op8,
     "op9_embedding_near_dedup": op9,
     "op10_sharding": op10,
+    "op11_hard_negatives": op11,
 }
 
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_chat_formatting": OP7_SQL, "op9_embedding_near_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_chat_formatting": OP7_SQL, "op9_embedding_near_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL}

@@ -87,9 +87,9 @@ def test_scan_of_whole_texts(spark):
 
 
 def test_query_against_brute_force(spark):
-    rows = {r["doc_id"]: r for r in sc.op13(spark, "/root/testdata/sf0.001").collect()}
-    docs = table(spark, "/root/testdata/sf0.001", "documents").collect()
-    assert len(rows) == len(docs)
+    rows = {r["doc_id"]: r for r in sc.op13(spark, "/root/testdata/sf0.01").collect()}
+    docs = table(spark, "/root/testdata/sf0.01", "documents").collect()
+    assert len(rows) == len(docs) and sum(r["n_assign"] for r in rows.values()) > 10
     for d in docs:
         own, r = stated(d["text"] or ""), rows[d["doc_id"]]
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for k, _, _ in own) for kind in sc.BASE_KINDS]

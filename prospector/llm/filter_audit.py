@@ -33,28 +33,16 @@ def _names(failing: dict[str, Column]) -> list[str]:
 def _trie(flags: DataFrame, names: list[str], labels: list[str]) -> DataFrame:
     """Edges of all states, _part, _state, _filter, kept, removed and <label>_lost: one aggregation a state, none repeated."""
     memo: dict[frozenset[str], DataFrame] = {}
-
-    def edges(state: frozenset[str], survivors: DataFrame) -> DataFrame:
-        open_filters = [n for n in names if n not in state]
-        sums = [F.count("*").alias("_all")]
-        for n in open_filters:
-            sums += [F.count_if(F.col(f"_{n}")).alias(f"removed_{n}"), *[F.count_if(F.col(f"_{n}") & F.col(f"_{label}")).alias(f"{label}_{n}") for label in labels]]
-        counted = survivors.groupBy("_part").agg(*sums)
-        each = F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("_filter"), (F.col("_all") - F.col(f"removed_{n}")).alias("kept"), F.col(f"removed_{n}").alias("removed"), *[F.col(f"{label}_{n}").alias(f"{label}_lost") for label in labels])
-                    for n in open_filters
-                ]
-            )
-        )
-        return written(counted.select("_part", F.lit("".join(sorted(state))).alias("_state"), each.alias("_edge")).select("_part", "_state", "_edge.*"), "audit-edges")
+    # The same sums in each state, so that its code is compiled once; filters of the state itself remove nothing.
+    sums = [F.count("*").alias("_all")]
+    for n in names:
+        sums += [F.count_if(F.col(f"_{n}")).alias(f"removed_{n}"), *[F.count_if(F.col(f"_{n}") & F.col(f"_{label}")).alias(f"{label}_{n}") for label in labels]]
 
     def visit(state: frozenset[str], survivors: DataFrame) -> None:
         if state in memo or len(state) == len(names):
             return
         held = survivors.persist(StorageLevel.MEMORY_AND_DISK)
-        memo[state] = edges(state, held)
+        memo[state] = written(held.groupBy("_part").agg(*sums), "audit-state").withColumn("_state", F.lit("".join(sorted(state))))
         for n in names:
             if n not in state:
                 visit(state | {n}, held.where(~F.col(f"_{n}")))
@@ -64,7 +52,9 @@ def _trie(flags: DataFrame, names: list[str], labels: list[str]) -> DataFrame:
     out = None
     for found in memo.values():
         out = found if out is None else out.unionByName(found)
-    return out
+    removed = [F.col(f"removed_{n}") for n in names]
+    edge = [F.struct(F.lit(n).alias("_filter"), (F.col("_all") - r).alias("kept"), r.alias("removed"), *[F.col(f"{label}_{n}").alias(f"{label}_lost") for label in labels]) for n, r in zip(names, removed, strict=True)]
+    return out.select("_part", "_state", F.explode(F.array(*edge)).alias("_edge")).select("_part", "_state", "_edge.*").where(~F.col("_state").contains(F.col("_filter")))
 
 
 def filter_audit(rows: DataFrame, failing: dict[str, Column], part: Column, labels: dict[str, Column]) -> DataFrame:

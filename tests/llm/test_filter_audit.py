@@ -68,7 +68,7 @@ def test_states_are_shared_and_executed_once(spark, monkeypatch):
     monkeypatch.setattr(fa, "written", lambda df, tag: made.append(tag) or real(df, tag))
     rows = spark.range(1000).select("id", F.col("id").alias("_state"))
     out = fa.filter_audit(rows, {"x": F.col("id") % 2 == 0, "y": F.col("id") % 3 == 0, "z": F.when(F.col("id") > 500, True)}, F.lit(None), {"odd": F.col("id") % 5 == 0})
-    assert made.count("audit-edges") == 7  # subsets of three filters, but the whole
+    assert made.count("audit-state") == 7  # subsets of three filters, but the whole
     got = {(r["filter_order"], r["step"]): r for r in out.collect()}
     assert len(got) == 18 and got["xyz", 1]["removed"] == 500 and got["zyx", 3]["removed"] == sum(i % 2 == 0 and i % 3 != 0 for i in range(501))
     assert got["xzy", 3]["odd_lost"] == sum(i % 2 and i % 3 == 0 and i % 5 == 0 for i in range(501))

@@ -243,13 +243,13 @@ def test_shard_rows_edges(spark):
     assert all(r[c] == "v" for r in got for c in names[:-2])
     assert sorted(r["id"] for r in got) == list(range(500))
     assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s, n in enumerate((167, 167, 166)) for i in range(n)]
-    assert sh.shard_rows(df.limit(0), 3, stable=False).count() == 0
+    assert sh.shard_rows(df.limit(0), 3).count() == 0
 
 
 @pytest.mark.parametrize("rows", [0, 1, 23, 1000])
 def test_shards_are_exact(spark, rows):
     df = spark.range(0, rows, 1, 7).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.lit(9).alias("shard"))
-    out = sh.shard_rows(df, 24, stable=True).collect()
+    out = sh.shard_rows(df, 24).collect()
     assert sorted(r["doc_id"] for r in out) == list(range(rows))
     own = defaultdict(list)
     for r in out:
@@ -259,6 +259,28 @@ def test_shards_are_exact(spark, rows):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_no_row_is_lost_when_the_layout_moves(spark, tmp_path):
+    """Scan partitions are planned anew for each job; rows have places that don't hang on them."""
+    spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before, layouts = docs.rdd.getNumPartitions(), []
+    out = sh.shard_rows(docs, 24)
+    try:
+        for cores, size in (("64", "128m"), ("1", "128m"), ("64", "64k")):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            again = spark.read.parquet(f"{tmp_path}/documents.parquet")
+            layouts.append(again.rdd.getNumPartitions())
+            got = out.select("doc_id", "shard", "slot").collect()
+            assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+            sizes = [sorted(r["slot"] for r in got if r["shard"] == s) for s in range(24)]
+            assert all(own == list(range(len(own))) for own in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({before, *layouts}) > 2
+
+
 def test_communication_matrix():
     m = sh.communication_matrix([5, 0, 100, 7], [28, 28, 28, 28], 1)
     assert m.sum(1).tolist() == [5, 0, 100, 7] and m.sum(0).tolist() == [28] * 4

@@ -154,5 +154,18 @@ def _mapper(schema: pa.Schema):
     return lambda batches: _chunk_maps(batches, schema)
 
 
-def status(enabled: Column, configured: Column, state: Column, success_rate: Column) -> Column:
-    return F.when(~enabled, "DISABLED").when(~configured, "NOT_CONFIGURED").when(state == "OPEN", "DOWN").when((state == "HALF_OPEN") | (success_rate < 0.8), "DEGRADED").otherwise("HEALTHY")
+# The status of a run that gave part of its results, and the share of successes below which a source is weak.
+PARTIAL, WEAK = "SOURCE_PARTIAL_RESULTS", 0.8
+
+
+def half_open(state: Column, open_s: Column, cool_down_s: float = COOL_DOWN_S) -> Column:
+    """The state as it is now: open_s seconds after it opened, an OPEN breaker lets one trial through once the cool-down is over."""
+    return F.when((state == "OPEN") & (open_s >= cool_down_s), "HALF_OPEN").otherwise(state)
+
+
+def status(enabled: Column, configured: Column, runs: Column, state: Column, open_s: Column, success_rate: Column, failures: Column, last_status: Column, cool_down_s: float = COOL_DOWN_S) -> Column:
+    """NOT_CONFIGURED, DISABLED, HEALTHY, DOWN or DEGRADED of a source from its switches, breaker and last runs; null runs are none, null rates and statuses say nothing."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    now = half_open(state, open_s, cool_down_s)
+    weak = yes(now != "CLOSED") | yes(success_rate < WEAK) | yes(failures > 0) | yes(last_status == PARTIAL)
+    return F.when(~yes(configured), "NOT_CONFIGURED").when(~yes(enabled), "DISABLED").when(F.coalesce(runs, F.lit(0)) == 0, "HEALTHY").when(now == "OPEN", "DOWN").when(weak, "DEGRADED").otherwise("HEALTHY")

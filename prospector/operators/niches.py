@@ -10,24 +10,35 @@ from ..functions.text import fold_text, ordered_distinct
 
 
 def match_segments(records: DataFrame, codes: DataFrame, names: DataFrame, searched: str | None = None) -> DataFrame:
-    """(id, segment, points, evidence) of records (id, activity, category_keys, name): the best evidence, ties by segment.
+    """(id, segment, points, evidence) of records (id, activity, category_keys, name, and category where there is one): the best evidence, of ties the segment that was considered first.
 
-    codes: kind (activity or category), code, segment, level; names: fragment, segment. An activity code is worth 30 and a
+    codes: kind (activity or category), code, segment, level, and ord where the catalogue has an order; names: fragment, segment. An activity code is worth 30 and a
     category 20, and 3 more for each level; a name 10, by the first of the fragments, the longest before shorter ones; the
-    searched segment 5 more. The table of codes is joined by equality; the few fragments are looked for in one pass.
+    searched segment 5 more. The activity is considered first, then category_keys in their order, each by ord, then the name. Records without
+    category_keys fall back to the display category, without what stands in brackets at its end, or in small letters with _ for blanks.
+    The table of codes is joined by equality; the few fragments are looked for in one pass.
     """
-    keys = F.concat(F.array(F.struct(F.lit("activity").alias("kind"), F.col("activity").alias("code"))), F.transform(F.coalesce("category_keys", F.array().cast("array<string>")), lambda c: F.struct(F.lit("category").alias("kind"), c.alias("code"))))
-    each = records.select("id", F.explode(keys).alias("k")).select("id", "k.*").join(codes, ["kind", "code"])
-    coded = each.select("id", "segment", (F.when(F.col("kind") == "activity", 30).otherwise(20) + F.col("level") * 3).alias("points"), F.concat_ws(" ", "kind", "code").alias("evidence"))
+    if "ord" not in codes.columns:
+        codes = codes.withColumn("ord", F.lit(0))
+    keys = F.coalesce("category_keys", F.array().cast("array<string>"))
+    if "category" in records.columns:
+        shown = F.array_distinct(F.array(F.trim(F.regexp_replace("category", r"\s*\(.*\)$", "")), F.regexp_replace(F.lower("category"), r"\s+", "_")))
+        keys = F.when(F.size(keys) == 0, F.array_compact(shown)).otherwise(keys)
+    asked = F.concat(F.array(F.struct(F.lit("activity").alias("kind"), F.col("activity").alias("code"))), F.transform(keys, lambda c: F.struct(F.lit("category").alias("kind"), c.alias("code"))))
+    each = records.select("id", F.posexplode(asked).alias("_at", "k")).select("id", "_at", "k.*").join(codes, ["kind", "code"])
+    coded = each.select("id", "segment", (F.when(F.col("kind") == "activity", 30).otherwise(20) + F.col("level") * 3).alias("points"), F.concat_ws(" ", "kind", "code").alias("evidence"), F.struct(F.col("_at").alias("at"), F.col("ord").cast("long").alias("ord")).alias("place"))
     listed = names.agg(F.array_sort(F.collect_list(F.struct((-F.length("fragment")).alias("n"), "fragment", "segment"))).alias("_f"))  # the catalogue's fragments: one row
     folded = F.concat(F.lit(" "), fold_text("name"), F.lit(" "))
     hit = F.get(F.filter("_f", lambda f: F.contains(F.col("_n"), F.concat(F.lit(" "), fold_text(f["fragment"]), F.lit(" ")))), F.lit(0))
     named = records.select("id", folded.alias("_n"), F.lit(1).alias("_k")).join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k").withColumn("_h", hit).where("_h is not null")
-    named = named.select("id", F.col("_h")["segment"].alias("segment"), F.lit(10).alias("points"), F.concat_ws(" ", F.lit("name"), F.col("_h")["fragment"]).alias("evidence"))
+    last = F.struct(F.lit(2**31 - 1).alias("at"), F.lit(0).cast("long").alias("ord"))
+    named = named.select("id", F.col("_h")["segment"].alias("segment"), F.lit(10).alias("points"), F.concat_ws(" ", F.lit("name"), F.col("_h")["fragment"]).alias("evidence"), last.alias("place"))
     bonus = F.when(F.col("segment") == searched, 5).otherwise(0) if searched else F.lit(0)
     every = coded.unionByName(named).withColumn("points", (F.col("points") + bonus).cast("long"))
-    best = F.max_by(F.struct("segment", "points", "evidence"), F.struct("points", F.transform(F.split("segment", ""), lambda c: -F.ascii(c)).alias("_s"), "evidence"))
-    return every.groupBy("id").agg(best.alias("b")).select("id", "b.*")
+    # A segment stands where it was first considered, whatever evidence is its best.
+    by_segment = every.groupBy("id", "segment").agg(F.max("points").alias("points"), F.min_by("evidence", F.struct(-F.col("points"), "place")).alias("evidence"), F.min("place").alias("place"))
+    best = F.min_by(F.struct("segment", "points", "evidence"), F.struct(-F.col("points"), F.col("place"), F.col("segment")))
+    return by_segment.groupBy("id").agg(best.alias("b")).select("id", "b.*")
 
 
 def subsegment(text: Column, patterns: dict[str, str]) -> Column:
@@ -73,11 +84,30 @@ def merge_config(default: DataFrame, override: DataFrame, key: str, columns: lis
     return default.join(own, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
-def suggestions(counts: dict[str, Column], few: int = 20) -> Column:
-    """What would widen a search, in order, from its counts: results, removed_by_city, removed_by_status, removed_low, failed; null ones left out."""
-    c = counts
-    rules = [("WIDER_MODE", c["results"] < few), ("RADIUS", (c["results"] < few) & (c["removed_by_city"] > 0)), ("MORE_STATUSES", c["removed_by_status"] > 0), ("LOW_CONFIDENCE", c["removed_low"] > 0), ("RETRY_SOURCES", c["failed"] > 0)]
-    return F.array_compact(F.array(*[F.when(F.coalesce(w, F.lit(False)), F.lit(n)) for n, w in rules]))
+# Bounds of the radius, and terms that are offered at once.
+FIRST_RADIUS, MOST_RADIUS, NEARBY_RADIUS, TERMS_OFFERED = 15, 100, 30, 5
+
+
+def suggestions(found: Column, limit: Column, radius_km: Column, terms_left: Column, codes_left: Column, with_related: Column, sources_left: Column, fast: Column, mode: Column) -> Column:
+    """array<struct<kind, values>> of what would widen a search that found fewer than its limit, in order; empty once the limit is reached.
+
+    radius: twice the radius, at most 100 km, or 15 where there is none; keywords: the first five terms that are left;
+    cnaes: the related codes that are left, if they weren't asked for; nearby_cities: 30 km; sources: those that are not
+    used, or all free ones where the search was a fast one; mode: BROAD. radius_km is null where there is none; null lists are empty.
+    """
+    offer = lambda when, kind, values: F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("kind"), values.alias("values")))
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    none = radius_km.isNull() | (radius_km == 0)
+    wider = F.when(none, F.lit(FIRST_RADIUS).cast("double")).otherwise(F.least(F.lit(MOST_RADIUS).cast("double"), radius_km.cast("double") * 2))
+    listed = F.array(
+        offer(none | (radius_km < MOST_RADIUS), "radius", F.array(F.regexp_replace(wider.cast("string"), r"\.0$", ""))),
+        offer(F.size(some(terms_left)) > 0, "keywords", F.slice(some(terms_left), 1, TERMS_OFFERED)),
+        offer((F.size(some(codes_left)) > 0) & ~with_related, "cnaes", some(codes_left)),
+        offer(none | (radius_km < NEARBY_RADIUS), "nearby_cities", F.array(F.lit(str(NEARBY_RADIUS)))),
+        offer((F.size(some(sources_left)) > 0) | fast, "sources", some(sources_left)),
+        offer(mode != "BROAD", "mode", F.array(F.lit("BROAD"))),
+    )
+    return F.when(found < limit, F.array_compact(listed)).otherwise(F.array().cast("array<struct<kind: string, values: array<string>>>"))
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

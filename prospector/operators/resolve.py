@@ -1,13 +1,12 @@
 """Entity resolution: records of many sources to businesses, by blocks, evidence on pairs, guarded clusters and fusion.
 
 Pairs come from equi-joins on block keys; a key held by more than BLOCK_CAP records is no signal and, as a rule of the
-method, makes no pairs. Evidence is one `when` chain. Clusters are connected components of the sure links; only
-components in which a guard can speak (two tax ids, or cities that don't fit) go through the ordered pass, per component.
+method, makes no pairs. Evidence is one `when` chain. Clusters are connected components of the sure links; those
+in which a guard can speak (two tax ids, or cities that don't fit) are clustered by guarded rounds.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from ..functions.geo import cell, haversine
 from ..functions.ids import email, phone_key, tax_id, website_domain
 from ..functions.text import fold_text, name_similarity, normalize_business_name, round_half_up, significant_tokens
 from .graph import connected, stored
+from .guarded import guarded_clusters
 
 BLOCK_CAP = 400
 # Source order, priorities by field group, and weights that results depend on.
@@ -106,85 +106,50 @@ def classify(p: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.withColumns(terms).select("a", "b", level.alias("level")).where("level is not null")
 
 
-def _fits(x: str, y: str) -> bool:
-    return not x or not y or x in y or y in x
-
-
-def _guarded(links: pd.DataFrame) -> pd.DataFrame:
-    """Unions in order of level, then of the pair, but for those that would join two tax ids or cities that don't fit.
-
-    A row per record with its cluster and the weakest rank that joined it, then a row (a, b) per refused link.
-    """
-    root: dict[int, int] = {}
-    tax: dict[int, set] = {}
-    city: dict[int, set] = {}
-    weakest: dict[int, int] = {}
-    refused = []
-    for s in ("a", "b"):
-        for i, t, c in zip(links[s], links[f"{s}_tax"], links[f"{s}_city"], strict=True):
-            root[i], tax[i], city[i] = i, {t} - {None}, {c} - {""}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for r in links.sort_values(["rank", "a", "b"], ascending=[False, True, True]).itertuples():
-        x, y = sorted((find(r.a), find(r.b)))
-        if x == y:
-            continue
-        cities = city[x] | city[y]
-        if len(tax[x] | tax[y]) > 1 or (not r.same_record and not all(_fits(m, n) for m in cities for n in cities)):
-            refused.append((r.a, r.b))
-            continue
-        root[y] = x
-        tax[x] |= tax[y]
-        city[x] = cities
-        weakest[x] = min(weakest.get(x, r.rank), weakest.get(y, r.rank), r.rank)
-    rows = [(i, find(i), weakest.get(find(i)), None, None) for i in root] + [(None, None, None, x, y) for x, y in refused]
-    return pd.DataFrame(rows, columns=["idx", "cluster", "weakest", "a", "b"]).astype("Int64")
-
-
-def _joined(p: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sure links, (idx, cluster) of components in which no guard can speak, and the rows of _guarded of the others."""
+def _joined(p: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sure links, their components (node, component), and (idx, cluster) of components in which no guard can speak, (idx, cluster, weakest) of the others."""
     rank = F.when(F.col("level") == "EXACT", 3).when(F.col("level") == "HIGH", 2)
-    side = lambda s: p.select(F.col("idx").alias(s), F.col("tax").alias(f"{s}_tax"), F.col("city_key").alias(f"{s}_city"), F.col("identity").alias(f"{s}_identity"))
-    sure = levels.where(rank.isNotNull()).select("a", "b", rank.alias("rank"))
+    sure = stored(levels.where(rank.isNotNull()).select("a", "b", rank.alias("rank")))
     parts = connected(sure)
     info = parts.join(p.select(F.col("idx").alias("node"), "tax", "city_key"), "node").groupBy("component").agg(F.countDistinct("tax").alias("taxes"), F.countDistinct(F.nullif("city_key", F.lit(""))).alias("cities"))
-    open_ = info.where("taxes > 1 or cities > 1").select("component")
+    open_ = stored(info.where("taxes > 1 or cities > 1").select("component"))
     easy = parts.join(open_, "component", "left_anti").select(F.col("node").alias("idx"), F.col("component").alias("cluster"))
+    side = lambda s: p.select(F.col("idx").alias(s), F.col("identity").alias(f"{s}_identity"))
     own = sure.join(parts.select(F.col("node").alias("a"), "component"), "a").join(open_, "component").join(side("a"), "a").join(side("b"), "b")
-    own = own.select("component", "a", "b", "rank", "a_tax", "b_tax", "a_city", "b_city", F.arrays_overlap("a_identity", "b_identity").alias("same_record"))
-    return sure, easy, own.groupBy("component").applyInPandas(_guarded, "idx long, cluster long, weakest long, a long, b long")
+    own = own.select("component", "a", "b", "rank", F.arrays_overlap("a_identity", "b_identity").alias("same_record"))
+    return sure, parts, easy, guarded_clusters(p.select("idx", "tax", F.col("city_key").alias("city")), own)
 
 
 def clusters(p: DataFrame, levels: DataFrame) -> DataFrame:
     """(idx, cluster) of all prepared records: EXACT and HIGH links join, guards permitting; cluster is its smallest idx."""
-    _, easy, hard = _joined(p, levels)
-    known = easy.unionByName(hard.where("idx is not null").select("idx", "cluster"))
+    _, _, easy, hard = _joined(p, levels)
+    known = easy.unionByName(hard.select("idx", "cluster"))
     return p.select("idx").join(known, "idx", "left").select("idx", F.coalesce("cluster", "idx").alias("cluster"))
 
 
+def review_pairs(levels: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, level) of the pairs between different clusters: MEDIUM and LOW ones, and, as MEDIUM, sure links, which the guards then refused."""
+    side = lambda s: members.select(F.col("idx").alias(s), F.col("cluster").alias(f"_{s}"))
+    level = F.when(F.col("level").isin("EXACT", "HIGH"), "MEDIUM").otherwise(F.col("level"))
+    return levels.join(side("a"), "a").join(side("b"), "b").where("_a <> _b").select("a", "b", level.alias("level"))
+
+
 def merged(p: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(idx, cluster, confidence) of all records, and the pairs (a, b, level) to review.
+    """(idx, component, cluster, confidence) of all records, and the pairs (a, b, level) to review.
 
-    confidence is the weakest level that joined the cluster, null for a record alone. Pairs are the links of MEDIUM and LOW
-    level and, as MEDIUM, the sure links that the guards refused, between records of different clusters.
+    component is the smallest idx that sure links reach, whatever the guards say; confidence is the weakest level that
+    joined the cluster, null for a record alone.
     """
-    sure, easy, hard = _joined(p, levels)
-    hard = stored(hard)
+    sure, parts, easy, hard = _joined(p, levels)
     # Without guards, a cluster is as weak as HIGH unless its EXACT links alone connect it.
     exact = connected(sure.where("rank = 3")).select(F.col("node").alias("idx"), F.col("component").alias("exact"))
     whole = easy.join(exact, "idx", "left").groupBy("cluster").agg((F.countDistinct(F.coalesce("exact", -F.col("idx") - 1)) == 1).alias("whole"))
-    soft = easy.join(whole, "cluster").select("idx", "cluster", F.when(F.col("whole"), 3).otherwise(2).cast("long").alias("weakest"))
-    known = soft.unionByName(hard.where("idx is not null").select("idx", "cluster", "weakest"))
+    soft = easy.join(whole, "cluster").select("idx", "cluster", F.when(F.col("whole"), 3).otherwise(2).alias("weakest"))
+    known = soft.unionByName(hard)
     level = F.when(F.col("weakest") == 3, "EXACT").when(F.col("weakest") == 2, "HIGH")
-    members = p.select("idx").join(known, "idx", "left").select("idx", F.coalesce("cluster", "idx").alias("cluster"), level.alias("confidence"))
-    review = levels.where("level in ('MEDIUM', 'LOW')").select("a", "b", "level").unionByName(hard.where("a is not null").select("a", "b", F.lit("MEDIUM").alias("level")))
-    side = lambda s: members.select(F.col("idx").alias(s), F.col("cluster").alias(f"_{s}"))
-    return members, review.join(side("a"), "a").join(side("b"), "b").where("_a <> _b").select("a", "b", "level")
+    own = p.select("idx").join(known, "idx", "left").join(parts.withColumnRenamed("node", "idx"), "idx", "left")
+    members = own.select("idx", F.coalesce("component", "idx").alias("component"), F.coalesce("cluster", "idx").alias("cluster"), level.alias("confidence"))
+    return members, review_pairs(levels, members)
 
 
 def compare_key(field: str, c: Column) -> Column:
@@ -239,34 +204,6 @@ def visibility(sources: Column, site: Column, socials: Column, video: Column, bl
     return F.greatest(F.lit(0), F.least(F.lit(100), total))
 
 
-def brand_locations(places: DataFrame, meters: float = 200.0) -> DataFrame:
-    """(brand, locations): places (brand, ord, lat, lon) of a brand, in order, without those within `meters` of an earlier kept one.
-
-    Order decides, so a brand is one group; its grid of kept places makes a place a look at nine cells, not at all others.
-    """
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        from math import asin, cos, floor, radians, sin, sqrt
-
-        step = meters / 100_000.0
-        kept: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        n = 0
-        for r in pdf.sort_values("ord").itertuples():
-            wide = step / max(0.05, cos(radians(r.lat)))
-            cy, cx = floor(r.lat / step), floor(r.lon / wide)
-            close = False
-            for y in (cy - 1, cy, cy + 1):
-                for lat, lon in (q for x in range(-3, 4) for q in kept.get((y, cx + x), ())):
-                    a = sin(radians(r.lat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(r.lat)) * sin(radians(r.lon - lon) / 2) ** 2
-                    close = close or 2 * 6_371_000 * asin(sqrt(a)) < meters
-            if not close:
-                kept.setdefault((cy, cx), []).append((r.lat, r.lon))
-                n += 1
-        return pd.DataFrame({"brand": [pdf["brand"].iloc[0]], "locations": [n]})
-
-    return places.where("lat is not null and lon is not null").groupBy("brand").applyInPandas(count, "brand string, locations long")
-
-
 def dedup_level(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """EXACT_MATCH, LIKELY_MATCH, POSSIBLE_DUPLICATE or NO_MATCH of an incoming and an existing business."""
     hits = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)

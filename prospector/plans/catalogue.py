@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, html, ids, text
 from ..operators import health, qualify, resolve, score, tables
-from ..operators.graph import connected
+from ..operators.graph import connected, stored
 
 AS_OF = "1998-08-02 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -358,7 +358,7 @@ def pair_classification(t):
 
 @query("""SELECT c_custkey * 2 AS idx, c_custkey * 2 AS cluster FROM customer UNION ALL SELECT s_suppkey * 2 + 1, CASE WHEN c_custkey IS NULL THEN s_suppkey * 2 + 1 ELSE s_suppkey * 2 END FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey""")
 def guarded_clusters(t):
-    p = resolve.prepare(people(t))
+    p = stored(resolve.prepare(people(t)))
     return resolve.clusters(p, resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p))))
 
 
@@ -383,8 +383,8 @@ def rivals(t) -> DataFrame:
 
 
 def rival_levels(t) -> tuple[DataFrame, DataFrame]:
-    p = resolve.prepare(rivals(t))
-    return p, resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p)))
+    p = stored(resolve.prepare(rivals(t)))
+    return p, stored(resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p))))
 
 
 @query()
@@ -396,7 +396,7 @@ def pair_evidence(t):
 @query()
 def conflicting_clusters(t):
     """Clusters with their confidence where tax ids and cities conflict; tested by brute force."""
-    return resolve.merged(*rival_levels(t))[0]
+    return resolve.merged(*rival_levels(t))[0].select("idx", "cluster", "confidence")
 
 
 @query()

@@ -335,9 +335,9 @@ def audit_rows(t):
 
 @query("""WITH r AS (SELECT p_partkey AS id, p_type AS activity, p_brand AS cat, p_name FROM part),
 c AS (SELECT 'activity' AS kind, 'ECONOMY' AS code, 'a' AS segment, 1 AS level UNION ALL SELECT 'activity', 'PROMO', 'b', 2 UNION ALL SELECT 'category', 'Brand#5', 'c', 2 UNION ALL SELECT 'category', 'Brand#13', 'a', 0),
-e AS (SELECT id, segment, 30 + 3 * level AS p FROM r JOIN c ON kind = 'activity' AND code = activity UNION ALL SELECT id, segment, 20 + 3 * level FROM r JOIN c ON kind = 'category' AND code = cat
- UNION ALL SELECT id, CASE WHEN contains(' ' || p_name || ' ', ' widget ') THEN 'b' ELSE 'd' END, 10 FROM r WHERE contains(' ' || p_name || ' ', ' widget ') OR contains(' ' || p_name || ' ', ' bolt ')), s AS (SELECT id, segment, p + CASE WHEN segment = 'c' THEN 5 ELSE 0 END AS p FROM e)
-SELECT id, segment, CAST(p AS BIGINT) AS points FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, segment) AS k FROM (SELECT id, segment, max(p) AS p FROM s GROUP BY 1, 2)) WHERE k = 1""")
+e AS (SELECT id, segment, 30 + 3 * level AS p, 0 AS place FROM r JOIN c ON kind = 'activity' AND code = activity UNION ALL SELECT id, segment, 20 + 3 * level, 1 FROM r JOIN c ON kind = 'category' AND code = cat
+ UNION ALL SELECT id, CASE WHEN contains(' ' || p_name || ' ', ' widget ') THEN 'b' ELSE 'd' END, 10, 2 FROM r WHERE contains(' ' || p_name || ' ', ' widget ') OR contains(' ' || p_name || ' ', ' bolt ')), s AS (SELECT id, segment, p + CASE WHEN segment = 'c' THEN 5 ELSE 0 END AS p, place FROM e)
+SELECT id, segment, CAST(p AS BIGINT) AS points FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, place) AS k FROM (SELECT id, segment, max(p) AS p, min(place) AS place FROM s GROUP BY 1, 2)) WHERE k = 1""")
 def taxonomy_match(t):
     """Activity codes, categories and names against the niche catalogue; the best evidence decides."""
     spark = t("part").sparkSession

@@ -74,5 +74,27 @@ def test_links_and_texts(spark):
 def test_composite_niches_take_terms_in_turn(spark):
     rows = spark.createDataFrame([(0, ["a", "b"], ["1"], []), (1, ["c", "a", "d"], ["1", "2"], ["t"])], "ord int, terms array<string>, codes array<string>, places array<string>")
     assert tuple(niches.composite(rows, 3).first()) == (["a", "c", "b"], ["1", "2"], ["t"])
-    text = niches.suggestions({"results": F.lit(3), "removed_by_city": F.lit(2), "removed_by_status": F.lit(0), "removed_low": F.lit(None).cast("int"), "failed": F.lit(1)})
-    assert spark.range(1).select(text.alias("x")).first()["x"] == ["WIDER_MODE", "RADIUS", "RETRY_SOURCES"]
+
+
+def test_suggestions(spark):
+    def said(found=3, limit=10, radius=None, terms=(), codes=(), related=False, sources=(), fast=False, mode="BALANCED"):
+        row = spark.createDataFrame([(found, limit, radius, list(terms), list(codes), related, list(sources), fast, mode)], "found int, limit int, radius double, terms array<string>, codes array<string>, related boolean, sources array<string>, fast boolean, mode string")
+        out = row.select(niches.suggestions(*[F.col(c) for c in row.columns]).alias("x")).first()["x"]
+        return [(s["kind"], s["values"]) for s in out]
+
+    assert said() == [("radius", ["15"]), ("nearby_cities", ["30"]), ("mode", ["BROAD"])]
+    assert said(found=10) == [] and said(radius=100.0, mode="BROAD") == []
+    assert said(radius=7.5, mode="BROAD") == [("radius", ["15"]), ("nearby_cities", ["30"])] and said(radius=70.0, mode="BROAD") == [("radius", ["100"])]
+    full = said(radius=0.0, terms="abcdefg", codes=["x", "y"], sources=["s"], fast=True)
+    assert full == [("radius", ["15"]), ("keywords", list("abcde")), ("cnaes", ["x", "y"]), ("nearby_cities", ["30"]), ("sources", ["s"]), ("mode", ["BROAD"])]
+    assert said(codes=["x"], related=True, radius=100.0, fast=True, mode="BROAD") == [("sources", [])]
+
+
+def test_ties_of_segments(spark):
+    codes = spark.createDataFrame([("category", "bar", "tavern", 1, 1), ("category", "bar", "barber", 1, 2), ("category", "hair", "barber", 1, 0), ("category", "amenity=pub", "tavern", 0, 0), ("category", "beauty_salon", "barber", 0, 0), ("activity", "1", "zoo", 0, 0), ("category", "deep", "barber", 3, 0)], "kind string, code string, segment string, level int, ord int")
+    names = spark.createDataFrame([("pub", "tavern"), ("pub hair", "barber")], "fragment string, segment string")
+    rows = [(1, None, ["bar"], "x", None), (2, None, ["hair", "bar"], "x", None), (3, None, [], "x", "amenity=pub (irish)"), (4, None, None, "x", "Beauty  salon"), (5, None, ["none"], "Pub Hair", "amenity=pub"), (6, "1", ["bar"], "x", None), (7, None, ["bar", "hair"], None, None), (8, "1", ["deep"], "x", None), (9, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, activity string, category_keys array<string>, name string, category string")
+    got = {r["id"]: (r["segment"], r["points"]) for r in niches.match_segments(df, codes, names).collect()}
+    assert got == {1: ("tavern", 23), 2: ("barber", 23), 3: ("tavern", 20), 4: ("barber", 20), 5: ("barber", 10), 6: ("zoo", 30), 7: ("tavern", 23), 8: ("zoo", 30)}
+    assert {r["id"]: r["segment"] for r in niches.match_segments(df, codes, names, "barber").collect()}[1] == "barber"

@@ -1,9 +1,10 @@
 """Operator 9, embedding near-dedup: sign hashing by random hyperplanes in several tables, exact cosines, components.
 
 Equal vectors are one class. A class has a code of sign bits in each table; classes with equal label and code meet in a
-bucket, and there every pair gets its exact cosine in double precision by blocks of a matrix product. A pair counts in the
-first table in which it meets; a bucket all of whose classes met in an earlier table is left out. Buckets beyond a block's size are cut into chunks, and every two chunks meet in a task of
-their own, so no bucket is gathered whole and none is capped. What leaves a block is a row per class, never a row per pair:
+bucket. A pair counts in the first table in which it meets; a bucket all of whose classes met in an earlier table is left out. Buckets beyond a block's size are cut into chunks, and every two chunks meet in a task of
+their own, so no bucket is gathered whole and none is capped. Codes alone go to the buckets: the bits in which two classes differ, over all
+tables, tell their angle, and only classes with a pair that can be near get their vectors there. Those pairs
+get exact cosines in double precision by blocks of a matrix product. What leaves a block is a row per class, never a row per pair:
 the copies it links with, and the smallest class that links inside the block connect it with.
 """
 
@@ -34,6 +35,12 @@ def tables_for(rows: int, cosine: float, recall: float = RECALL) -> tuple[int, i
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
+def differing_bits(bits: int, tables: int, cosine: float) -> int:
+    """Most sign bits, of all tables together, in which a pair at the threshold may differ: six standard deviations beyond the mean, one pair in 10**9 has more."""
+    n, share = bits * tables, math.acos(cosine) / math.pi
+    return math.ceil(n * share + 6 * math.sqrt(n * share * (1 - share)) + 1)
+
+
 def _signed(bits: int, tables: int, seed: int):
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -54,27 +61,64 @@ def _signed(bits: int, tables: int, seed: int):
                 for i, v in zip(own, x + 0.0, strict=True):
                     prints[i] = xxhash.xxh3_128_digest(v.tobytes())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * tables + 1, tables, dtype=np.int32)), pa.array(codes.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(prints, pa.binary()), lists, batch.column("embedding").cast(pa.list_(pa.float64()))], names=["id", "label", "print", "codes", "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(prints, pa.binary()), lists, batch.column("embedding")], names=["id", "label", "print", "codes", "embedding"])
 
     return run
 
 
-def _blocks(cosine: float):
-    """Rows sorted by unit; for each class of a unit with links: id, copies linked, root."""
+def _new_pairs(k: int, codes: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, most: int) -> np.ndarray:
+    """Which pairs meet here first and can be near: one that met in an earlier table was judged there, for its links and its component."""
+    new = np.ones((len(a), len(b)), np.bool_)
+    for t in range(k):
+        new &= codes[a, t][:, None] != codes[b, t][None, :]
+    if same:
+        np.fill_diagonal(new, False)
+    if new.any():
+        differ = np.zeros(new.shape, np.int32)
+        for t in range(codes.shape[1]):
+            differ += np.bitwise_count(codes[a, t][:, None] ^ codes[b, t][None, :])
+        new &= differ <= most
+    return new
+
+
+def _sides(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray, bool]:
+    """The table k of a unit, the places of its two chunks, and whether they are one."""
+    k, first, second = (t.column(c)[0].as_py() for c in ("k", "first", "second"))
+    chunk = t.column("chunk").to_numpy()
+    a = np.flatnonzero(chunk == first)
+    return k, a, a if first == second else np.flatnonzero(chunk == second), first == second
+
+
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+
+
+def _candidates(most: int):
+    """The rows of a unit that have a pair there which can be near."""
+
+    def unit(t: pa.Table):
+        k, a, b, same = _sides(t)
+        if not len(a) or not len(b):
+            return None
+        new = _new_pairs(k, _matrix(t, "codes"), a, b, same, most)
+        found = np.union1d(a[new.any(1)], b[new.any(0)])
+        return t.take(pa.array(found)).select(["unit", "k", "first", "second", "chunk", "label", "print"]) if len(found) else None
+
+    return unit
+
 
-    def unit(k: int, first: int, second: int, chunk, ids, copies, codes, x):
-        a = np.flatnonzero(chunk == first)
-        b = a if first == second else np.flatnonzero(chunk == second)
+def _blocks(cosine: float, most: int):
+    """For each class of a unit with links: id, copies linked, root."""
+
+    def unit(t: pa.Table):
+        k, a, b, same = _sides(t)
         if not len(a) or not len(b):
             return None
-        # A pair that met in an earlier table was judged there, for its links and its component.
-        new = np.ones((len(a), len(b)), np.bool_)
-        for t in range(k):
-            new &= codes[a, t][:, None] != codes[b, t][None, :]
-        if first == second:
-            np.fill_diagonal(new, False)
+        new = _new_pairs(k, _matrix(t, "codes"), a, b, same, most)
         if not new.any():
             return None
+        ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
+        x = _matrix(t, "embedding").astype(np.float64)  # all of one length
         x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # powers of two: exact, and no square overflows or vanishes
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         near = new & ((x[a] @ x[b].T) / np.outer(norm[a], norm[b]) >= cosine)
@@ -87,41 +131,40 @@ def _blocks(cosine: float):
             before = root.copy()
             far = np.where(near, root[b][None, :], np.iinfo(np.int64).max).min(1)
             root[a] = np.minimum(root[a], far)
-            if first != second:
+            if not same:
                 far = np.where(near, root[a][:, None], np.iinfo(np.int64).max).min(0)
                 root[b] = np.minimum(root[b], far)
             if (root == before).all():
                 break
-        if first != second:
+        if not same:
             linked[b] += copies[a] @ near
         some = (linked > 0) | (root != ids)
-        return ids[some], linked[some], root[some]
+        return pa.table({n: pa.array(v[some], pa.int64()) for n, v in (("id", ids), ("linked", linked), ("root", root))})
+
+    return unit
+
+
+def _by_unit(work):
+    """work on the rows of each unit, rows being sorted by unit."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        current = None
 
         def flush():
-            t = pa.Table.from_batches(held)
-            c = [t.column(n).to_numpy() for n in ("chunk", "id", "copies")]
-            codes, x = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(t), -1) for c in ("codes", "embedding"))  # all of one length
-            return unit(t.column("k")[0].as_py(), t.column("first")[0].as_py(), t.column("second")[0].as_py(), *c, codes, x)
+            out = work(pa.Table.from_batches(held)) if held else None
+            return out.combine_chunks().to_batches() if out is not None else []
 
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["id", "linked", "root"])
-
-        current = None
         for batch in batches:
             names = batch.column("unit").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]]) if len(names) else np.zeros(1, np.int64)
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if held and names[s] != current:
-                    if (found := flush()) is not None:
-                        yield out(found)
+                    yield from flush()
                     held = []
                 current = names[s]
                 held.append(batch.slice(s, e - s))
-        if held and (found := flush()) is not None:
-            yield out(found)
+        yield from flush()
 
     return run
 
@@ -137,22 +180,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, seed: int = 5, bloc
     fine = F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     valid = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(fine)
     bits, tables = tables_for(valid.count(), cosine)
-    kind = rows.schema["label"].dataType.simpleString()
-    signed = written(valid.mapInArrow(_signed(bits, tables, seed), f"id long, label {kind}, print binary, codes array<long>, embedding array<double>"), "signed")
+    most = differing_bits(bits, tables, cosine)
+    kind, of = (rows.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    signed = written(valid.mapInArrow(_signed(bits, tables, seed), f"id long, label {kind}, print binary, codes array<long>, embedding {of}"), "signed")
     group = ["label", "print"]
     classes = written(signed.groupBy(*group).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    reps = written(signed.join(classes, group).where("id = rep").dropDuplicates(group).select("id", "label", "copies", "codes", "embedding"), "vectors")
-    each = reps.select("id", "label", "copies", "codes", "embedding", F.posexplode("codes").alias("k", "code"))
+    reps = written(signed.join(classes, group).where("id = rep").dropDuplicates(group).select("id", *group, "copies", "codes", "embedding"), "vectors")
+    each = reps.select("id", *group, F.size("embedding").alias("dim"), "codes", F.posexplode("codes").alias("k", "code"))
     codes = reps.select("label", F.size("embedding").alias("dim"), "codes", F.posexplode("codes").alias("k", "code")).withColumn("before", F.xxhash64(F.slice("codes", F.lit(1), F.col("k"))))
     # Classes whose earlier codes are all equal have met each other.
     some = (F.col("size") > 1) & ((F.col("k") == 0) | (F.col("least") != F.col("most")))
     full = written(codes.groupBy("label", "dim", "k", "code").agg(F.count("*").alias("size"), F.min("before").alias("least"), F.max("before").alias("most")).where(some).drop("least", "most"), "buckets")
     chunks = F.ceil(F.col("size") / block).cast("int")
-    met = each.withColumn("dim", F.size("embedding")).join(full, ["label", "dim", "k", "code"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    met = each.join(full, ["label", "dim", "k", "code"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
     spread = met.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
     spread = spread.withColumns({"first": F.least("chunk", "with"), "second": F.greatest("chunk", "with")})
-    spread = spread.select(F.xxhash64("label", "dim", "k", "code", "first", "second").alias("unit"), "k", "first", "second", "chunk", "id", "copies", "codes", "embedding")
-    found = written(spread.repartition("unit").sortWithinPartitions("unit").mapInArrow(_blocks(cosine), "id long, linked long, root long"), "vector-links")
+    spread = spread.select(F.xxhash64("label", "dim", "k", "code", "first", "second").alias("unit"), "k", "first", "second", "chunk", *group, "codes")
+    some = written(spread.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_candidates(most)), f"unit long, k int, first int, second int, chunk int, label {kind}, print binary"), "vector-candidates")
+    full_rows = some.join(reps.select(*group, "id", "copies", "codes", "embedding"), group).drop(*group)
+    found = written(full_rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(_blocks(cosine, most)), "id long, linked long, root long"), "vector-links")
     label = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").join(label.toDF("rep", "top"), "rep", "left")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_counted, slices, strings, table, written
+from .common import HOT_KEYS, join_counted, slices, strings, table, written
 from .components import components
 from .words import NOT_SPACE, shingles, words
 
@@ -46,6 +46,8 @@ BAND = 0.12
 CHUNK, CHUNK_TOKENS = 64, 1 << 20
 #: Candidates' ids are broadcast up to so many bytes; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Rows of one token that a task joins at most, about.
+HOT_ROWS = 10_000
 #: Longs of a set's parity sketch.
 SKETCH = 8
 
@@ -129,8 +131,8 @@ def _candidates(base: DataFrame, classes: DataFrame, probes: DataFrame, size: in
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """id, n, known, prefix: known tokens are those that another set has too; prefix is the rarest of them, as many as a link can't all miss."""
     each = sets.select("id", "n", F.explode("tokens").alias("token"))
-    shared = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    listed = each.join(shared, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    shared = written(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumn("rows", F.col("df")), "shared-tokens")
+    listed = join_counted(each, shared, ["token"], "rows", "inner", HOT_ROWS).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
     known = F.size("by_df")
     free = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - known)  # of the prefix, without the unique tokens that lead it
     return listed.where((known * 100 >= F.col("n") * percent) & (free > 0)).select("id", "n", known.alias("known"), F.transform(F.slice("by_df", 1, free), lambda s: s["token"]).alias("prefix"))
@@ -149,6 +151,22 @@ def _stars(sets: DataFrame, percent: int) -> DataFrame:
     return written(_verified(written(near, "leader-pairs"), sets, percent), "stars")
 
 
+def _by_token(queries: DataFrame, cells: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+    """queries joined with cells on token; the queries of a token that has more than `limit` are dealt over several tasks, and its cells go to each of them.
+
+    A token counts as hot from `limit` or a HOT_KEYS-th of all queries on, so at most HOT_KEYS of them are broadcast.
+    """
+    counts = written(queries.groupBy("token").agg(F.count("*").alias("rows")), "token-counts")
+    limit = max(limit, (counts.agg(F.sum("rows")).first()[0] or 0) // HOT_KEYS)
+    hot = counts.where(F.col("rows") > limit).select("token", F.ceil(F.col("rows") / limit).cast("int").alias("deals"))
+    if hot.isEmpty():
+        return queries.join(cells, "token")
+    deals = F.coalesce("deals", F.lit(1))
+    asked = queries.join(F.broadcast(hot), "token", "left").withColumn("deal", F.pmod(F.xxhash64("id"), deals).cast("int")).drop("deals")
+    dealt = cells.join(F.broadcast(hot), "token", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+    return asked.join(dealt, ["token", "deal"]).drop("deal")
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, label) after more links (a, b): only the links between different labels are connected, the rest stays."""
     of = lambda c, out: labels.select(F.col("id").alias(c), F.col("label").alias(out))
@@ -178,7 +196,7 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     asks = (F.col("own") != F.col("leader")) & (F.struct("own_size", "own") < F.struct("size", "leader"))
     by_rep = alike(F.col("n"), F.col("sketch"), F.col("least"), F.col("rep_sketch"), percent)
     first = possible(F.col("n"), F.col("left"), F.col("least"), F.col("most_left"), percent)
-    cells = queries.join(tokens, "token").where(near & asks & first & ((F.col("size") > 1) | by_rep))
+    cells = _by_token(queries, tokens).where(near & asks & first & ((F.col("size") > 1) | by_rep))
     own = ("n", "known", "sketch", "size", "rep")  # alike in all rows of an id and a leader
     asked = written(cells.withColumn("by_rep", by_rep).groupBy("id", "leader").agg(*[F.first(c).alias(c) for c in (*own, "by_rep")]), "asked")
     labels = _merged(labels, _verified(asked.where("by_rep").select(F.col("id").alias("a"), F.col("rep").alias("b")), sets, percent))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -153,3 +154,35 @@ def test_near_vectors_edges(spark):
     want = {i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 12, None)} | {1: (2, 1, True), 2: (2, 1, False), 11: (2, 1, False)}
     assert got == want
     assert nv.near_vectors(df.limit(0)).count() == 0
+
+
+def test_a_token_that_all_have_is_dealt_over_tasks(spark):
+    """Rows of a hot token are split, its cells repeated, and no pair is lost or doubled."""
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(600)], "id long, token long")
+    cells = spark.createDataFrame([(7, g) for g in range(5)] + [(9, 1), (9, 2)], "token long, leader long")
+    got = nj._by_token(rows, cells, 50)
+    want = sorted((i, g) for i in range(600) if i % 3 or i == 9 for g in (range(5) if i % 3 else (1, 2)))
+    assert sorted((r["id"], r["leader"]) for r in got.collect()) == want
+
+
+def test_one_token_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(nj, "HOT_ROWS", 20)
+    monkeypatch.setattr(nj._by_token, "__defaults__", (20,))
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(40)) for _ in range(8)]
+    docs = [(i, "the same long beginning of all " * 2 + " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(9)}" for w in rng.choice(base).split())) for i in range(150)]
+    got = sorted(map(tuple, nj.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"), 2, 80).collect()))
+    assert got == sorted(nj.brute_force(docs, 2, 80)) and len({c for _, _, c in got}) < 100
+
+
+def test_bits_that_may_differ(spark):
+    rng = np.random.default_rng(3)
+    bits, tables = nv.tables_for(2000, 0.98)
+    most = nv.differing_bits(bits, tables, 0.98)
+    x = rng.standard_normal((4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    planes = rng.standard_normal((16, bits * tables))
+    assert ((x @ planes > 0) != (y @ planes > 0)).sum(1).max() <= most < bits * tables / 3

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospector.llm.common import MADE, drop_tables, table, written
+from prospector.llm.common import drop_tables, noted_tables, table, written
 from prospector.llm.decontaminate import cut_spans
 from prospector.llm.line_dedup import drop_lines
 from prospector.llm.ngram_join import keep_one
@@ -22,8 +22,9 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier selects, with the columns they had. Null and empty texts are not selected; without labels of both kinds all with words are. Repeated rows fare alike."""
-    out = quality_select(docs, table(spark, sf_dir, "labels"))
-    return out.select(*docs.columns)
+    own = [c if c in ("doc_id", "text") else f"_column{i}" for i, c in enumerate(docs.columns)]  # names that the operator gives its results are theirs
+    out = quality_select(docs.toDF(*own), table(spark, sf_dir, "labels"))
+    return out.select(*own).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Tables that a stage made on its way are removed once it is written, and its input with them."""
     docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        mark = len(MADE)
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_tables(spark, [*before, *MADE[mark:-1]])
-        before = [MADE[-1]]
+        with noted_tables() as made:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return docs

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,13 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-#: Paths of all tables made here, in order.
-MADE: list[str] = []
+_NOTED: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def noted_tables() -> Iterator[list[str]]:
+    """The paths of the tables that are made inside, in order: those of this thread and block alone."""
+    made: list[str] = []
+    before = _NOTED.set(made)
+    try:
+        yield made
+    finally:
+        _NOTED.reset(before)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    MADE.append(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    if (made := _NOTED.get()) is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

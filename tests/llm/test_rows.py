@@ -326,6 +326,29 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in seen[-1].collect()} == {d for d, _ in rows[4]}
 
 
+def test_quality_stage_keeps_columns_whatever_their_names(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("_weight", "_selected", "_n_grams", "_draw", "_column1")})
+    out = cp.quality(spark, docs, sf)
+    assert out.dtypes == docs.dtypes
+    rows = out.collect()
+    assert len(rows) > 20 and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in docs.columns if c.startswith("_"))
+
+
+def test_tables_are_noted_by_block(spark):
+    from prospector.llm.common import noted_tables, scratch_path
+
+    with noted_tables() as outer:
+        first = scratch_path(spark, "a")
+        with noted_tables() as inner:
+            second = scratch_path(spark, "b")
+        third = scratch_path(spark, "c")
+    scratch_path(spark, "d")
+    assert (outer, inner) == ([first, third], [second])
+
+
 def test_digests(spark):
     r = ld.op3(spark, "/root/testdata/sf0.001").orderBy("doc_id").first()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

@@ -32,6 +32,9 @@ NO_DOMAINS = (
 )
 NO_NAMES = "nome|seunome|seuemail|email|e-mail|usuario|user|exemplo|example|fulano|contato@contato|your|you|name|noreply|no-reply|donotreply"
 SHOWN_MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+LINKED_MAIL = r"""(?i)href=["']mailto:([^"'?]+)"""
+LINKED_PHONE = r"""(?i)href=["']tel:([^"']+)"""
+LINKED_WHATSAPP = r"(?i)(?:wa\.me/|whatsapp\.com/send/?\?phone=)\+?(\d{10,13})"
 SHOWN_PHONE = r"(?<![\d/.-])(?:\+?55[\s.-]?)?\(?0?(\d{2})\)?[\s.-]?(9?\d{4})[\s.-](\d{4})(?![\d/-])"
 
 
@@ -60,21 +63,47 @@ def _first(found: Column) -> Column:
     return F.get(F.array_compact(found), F.lit(0))
 
 
+def _named(c: Column, f) -> Column:
+    """f of an expression that is computed once."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _found(html: Column, text: Column) -> Column:
+    """struct of all matches that contacts come from, plausible or null: mail and phone numbers of links, and in the visible text, and numbers of message links."""
+    every = lambda c, pattern, group=1: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    return F.struct(
+        F.transform(every(html, LINKED_MAIL), lambda x: plausible_email(_decoded(x))).alias("mail_links"),
+        F.transform(every(text, SHOWN_MAIL, 0), plausible_email).alias("mail_shown"),
+        F.transform(every(html, LINKED_PHONE), lambda x: plausible_phone(_decoded(x))).alias("phone_links"),
+        every(text, SHOWN_PHONE, 0).alias("phone_shown"),
+        F.transform(every(html, LINKED_WHATSAPP), plausible_phone).alias("whatsapp"),
+    )
+
+
+def _contact(found: Column) -> Column:
+    parts = lambda m: F.concat(*[F.regexp_extract(m, SHOWN_PHONE, g) for g in (1, 2, 3)])
+    origin = lambda link, shown: F.when(link.isNotNull(), "link").when(shown.isNotNull(), "text")
+    first = F.struct(
+        _first(found["mail_links"]).alias("ml"),
+        _first(found["mail_shown"]).alias("mt"),
+        _first(found["whatsapp"]).alias("w"),
+        _first(found["phone_links"]).alias("pl"),
+        _first(F.transform(found["phone_shown"], lambda m: plausible_phone(parts(m)))).alias("pt"),
+    )
+    return _named(first, lambda x: F.struct(F.coalesce(x["ml"], x["mt"]).alias("email"), F.coalesce(x["pl"], x["pt"]).alias("phone"), x["w"].alias("whatsapp"), origin(x["ml"], x["mt"]).alias("email_origin"), origin(x["pl"], x["pt"]).alias("phone_origin")))
+
+
+def _all_emails(found: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.concat(found["mail_links"], found["mail_shown"])))
+
+
+def _all_phones(found: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.concat(found["phone_links"], F.transform(found["phone_shown"], plausible_phone))))
+
+
 def contacts(html: Column | str) -> Column:
     """struct(email, phone, whatsapp, email_origin, phone_origin): the first plausible one of links, else of the visible text."""
-    h = col(html)
-    every = lambda text, pattern, group=1: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    text = visible_text(h)
-    mail_link = _first(F.transform(every(h, r"""(?i)href=["']mailto:([^"'?]+)"""), lambda x: plausible_email(_decoded(x))))
-    mail_text = _first(F.transform(every(text, SHOWN_MAIL, 0), plausible_email))
-    whatsapp = _first(F.transform(every(h, r"(?i)(?:wa\.me/|whatsapp\.com/send/?\?phone=)\+?(\d{10,13})"), plausible_phone))
-    phone_link = _first(F.transform(every(h, r"""(?i)href=["']tel:([^"']+)"""), lambda x: plausible_phone(_decoded(x))))
-    parts = F.arrays_zip(*[every(text, SHOWN_PHONE, g).alias(f"p{g}") for g in (1, 2, 3)])
-    phone_text = _first(F.transform(parts, lambda p: plausible_phone(F.concat(p["p1"], p["p2"], p["p3"]))))
-    origin = lambda link, shown: F.when(link.isNotNull(), "link").when(shown.isNotNull(), "text")
-    found = F.struct(mail_link.alias("ml"), mail_text.alias("mt"), whatsapp.alias("w"), phone_link.alias("pl"), phone_text.alias("pt"))
-    named = lambda x: F.struct(F.coalesce(x["ml"], x["mt"]).alias("email"), F.coalesce(x["pl"], x["pt"]).alias("phone"), x["w"].alias("whatsapp"), origin(x["ml"], x["mt"]).alias("email_origin"), origin(x["pl"], x["pt"]).alias("phone_origin"))
-    return F.transform(F.array(found), named)[0]
+    return _named(visible_text(html), lambda t: _named(_found(col(html), t), _contact))
 
 
 def title(html: Column | str) -> Column:
@@ -98,16 +127,12 @@ def links(html: Column | str) -> Column:
 
 def emails(html: Column | str) -> Column:
     """All plausible addresses: of mailto links first, then of the visible text."""
-    linked = F.regexp_extract_all(col(html), F.lit(r"""(?i)href=["']mailto:([^"'?]+)"""), F.lit(1))
-    shown = F.regexp_extract_all(visible_text(html), F.lit(SHOWN_MAIL), F.lit(0))
-    return F.array_distinct(F.array_compact(F.transform(F.concat(F.transform(linked, _decoded), shown), plausible_email)))
+    return _named(visible_text(html), lambda t: _named(_found(col(html), t), _all_emails))
 
 
 def phones(html: Column | str) -> Column:
     """Digits of all plausible numbers: of tel links first, then of the visible text."""
-    linked = F.regexp_extract_all(col(html), F.lit(r"""(?i)href=["']tel:([^"']+)"""), F.lit(1))
-    shown = F.regexp_extract_all(visible_text(html), F.lit(SHOWN_PHONE), F.lit(0))
-    return F.array_distinct(F.array_compact(F.transform(F.concat(F.transform(linked, _decoded), shown), plausible_phone)))
+    return _named(visible_text(html), lambda t: _named(_found(col(html), t), _all_phones))
 
 
 def profiles(html: Column | str) -> Column:
@@ -121,11 +146,14 @@ def videos(html: Column | str) -> Column:
     return F.array_compact(F.array(*[F.when(col(html).rlike("(?i)" + p), F.lit(n)) for n, p in VIDEO.items()]))
 
 
+def _hints(text: Column, words: list[str]) -> Column:
+    found = lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lower(strip_accents(F.lit(w)))), F.lit(w)) for w in words]))
+    return F.slice(_named(F.lower(strip_accents(text)), found), 1, 10)
+
+
 def hints(html: Column | str, words: list[str] = HINTS) -> Column:
     """The first ten of the words that the visible text has, whatever the accents and the case."""
-    text = F.lower(strip_accents(visible_text(html)))
-    found = lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lower(strip_accents(F.lit(w)))), F.lit(w)) for w in words]))
-    return F.slice(F.transform(F.array(text), found)[0], 1, 10)
+    return _hints(visible_text(html), words)
 
 
 def content_hash(html: Column | str) -> Column:
@@ -133,19 +161,23 @@ def content_hash(html: Column | str) -> Column:
 
 
 def page_features(html: Column | str) -> Column:
+    """All features of a page in one struct; its visible text and its matches are computed once."""
     h = col(html)
     flag = lambda p: h.rlike("(?is)" + p)
-    return F.struct(
+    of_found = lambda f: F.struct(_all_emails(f).alias("emails"), _all_phones(f).alias("phones"), _contact(f).alias("contact"))
+    of_text = _named(visible_text(h), lambda t: F.struct(_named(_found(h, t), of_found).alias("found"), _hints(t, HINTS).alias("hints")))
+    whole = lambda x: F.struct(
         title(h).alias("title"),
         meta_description(h).alias("description"),
-        emails(h).alias("emails"),
-        phones(h).alias("phones"),
-        contacts(h).alias("contact"),
+        x["found"]["emails"].alias("emails"),
+        x["found"]["phones"].alias("phones"),
+        x["found"]["contact"].alias("contact"),
         profiles(h).alias("profiles"),
         videos(h).alias("videos"),
-        hints(h).alias("hints"),
+        x["hints"].alias("hints"),
         flag(r"href=[\"'][^\"']*(?:contato|contact)").alias("contact_page"),
         flag(r"wa\.me/|api\.whatsapp\.com|<form").alias("call_to_action"),
         flag(r"href=[\"'][^\"']*/blog").alias("blog"),
         content_hash(h).alias("content_hash"),
     )
+    return _named(of_text, whole)

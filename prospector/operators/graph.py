@@ -31,6 +31,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Removes every table that this application left in the shared folder; call it once results are written, as nothing of them can be read after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, component) of links (a, b): component is the smallest node reachable. Labels halve their distance to it in each round."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())

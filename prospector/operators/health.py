@@ -9,20 +9,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 FAILURES, COOL_DOWN_S, LAST, OLD, NEW = 3, 120, 20, 0.7, 0.3
 
 
-def in_order(source: str = "source") -> W:
-    return W.partitionBy(source).orderBy("ts", "id")
+#: Rows of a source that one window orders at most, besides LAST - 1 of overlap.
+WINDOW_ROWS = 100_000
+
 
+def _numbered(log: DataFrame) -> DataFrame:
+    """log with _pos, its place in its source's log in order of ts and id, from 1, without a window over a source.
 
-def recent_success(log: DataFrame) -> DataFrame:
-    """log (source, ts, id, ok) with the share of successes among the last 20 requests and the failures in a row so far."""
-    w = in_order()
-    island = F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    out = log.withColumns({"success_rate": F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)).over(w.rowsBetween(1 - LAST, 0)), "_island": island})
-    run = F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(W.partitionBy("source", "_island").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0))
-    return out.withColumn("failures", run).drop("_island")
+    Rows are dealt by ranges of (source, ts, id); only sources that lie in several parts need the rows before a part
+    counted, and those are at most two a part.
+    """
+    dealt = stored(log.repartitionByRange("source", "ts", "id").withColumn("_part", F.spark_partition_id()))
+    own = F.row_number().over(W.partitionBy("source", "_part").orderBy("ts", "id"))
+    sizes = dealt.groupBy("source", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    later = stored(sizes.withColumn("_before", before).where("_before > 0").select(F.col("source").alias("_source"), F.col("_part").alias("_at"), "_before"))  # a row a part at most
+    rows = dealt.withColumn("_own", own)
+    joined = rows.join(F.broadcast(later), rows["source"].eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_at")), "left")
+    return joined.withColumn("_pos", F.col("_own") + F.coalesce("_before", F.lit(0))).drop("_own", "_before", "_source", "_at", "_part")
+
+
+def recent_success(log: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """log (source, ts, id, ok) with the share of successes among the last 20 requests and the failures in a row so far.
+
+    A source's log is cut into windows of window_rows rows, each with the 19 rows before it, so no task orders a source as a whole;
+    the last success of earlier windows is carried on, a row a window. Null ok is a failure; rows alike in source, ts
+    and id are in no order of their own. Empty log: no rows.
+    """
+    rows = _numbered(log).withColumn("_ok", F.coalesce("ok", F.lit(False)))
+    here = F.floor((F.col("_pos") - 1) / window_rows)
+    at_end = (F.col("_pos") - 1) % window_rows >= window_rows - (LAST - 1)
+    spread = rows.withColumn("_window", here).withColumn("_in", F.explode(F.when(at_end, F.array(F.col("_window"), F.col("_window") + 1)).otherwise(F.array("_window"))))
+    w = W.partitionBy("source", "_in").orderBy("_pos")
+    rate = F.avg(F.when(F.col("_ok"), 1.0).otherwise(0.0)).over(w.rowsBetween(1 - LAST, 0))
+    near = F.max(F.when(F.col("_ok"), F.col("_pos"))).over(w.rowsBetween(W.unboundedPreceding, 0))
+    local = spread.withColumns({"success_rate": rate, "_near": near}).where("_in = _window")
+    ends = rows.groupBy("source", here.alias("_w")).agg(F.max(F.when(F.col("_ok"), F.col("_pos"))).alias("_last"))
+    carried = F.max("_last").over(W.partitionBy("source").orderBy("_w").rowsBetween(W.unboundedPreceding, -1))
+    known = ends.withColumn("_carried", carried).where("_carried IS NOT NULL").select(F.col("source").alias("_source"), "_w", "_carried")
+    out = local.join(known, local["source"].eqNullSafe(F.col("_source")) & (F.col("_window") == F.col("_w")), "left")
+    failures = F.col("_pos") - F.coalesce("_near", "_carried", F.lit(0))
+    return out.select(*log.columns, "success_rate", failures.cast("long").alias("failures"))
 
 
 def moving_latency(values: Column) -> Column:

@@ -113,9 +113,14 @@ def source_funnel(records: DataFrame, removed: DataFrame, qualified: DataFrame)
     )
 
 
+def in_language(c: Column | str, language: str = "pt") -> Column:
+    """Text that sorts and compares as its readers expect: letters first, then accents, then small letters before capitals."""
+    return F.collate(F.col(c) if isinstance(c, str) else c, language)
+
+
 def result_order(mode: str) -> list[Column]:
     if mode == "name":
-        return [fold_text("name").asc(), F.col("key").asc()]
+        return [in_language("name").asc_nulls_last(), F.col("key").asc()]
     by = ["completeness", "rank_score"] if mode == "completeness" else ["visibility", "rank_score"] if mode == "visibility" else ["lead_score", "rank_score", "completeness"]
     return [*[F.col(c).desc_nulls_last() for c in by], F.col("key").asc()]
 

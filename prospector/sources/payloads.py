@@ -18,9 +18,34 @@ def tag(*names: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.try_element_at("tags", F.lit(n))), F.lit("")) for n in names])
 
 
+def payload_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(payload variant, null where the line is no JSON) of files with an answer a line, which many tasks can share; empty lines are left out."""
+    return spark.read.text(path).where(F.trim("value") != "").select(F.try_parse_json("value").alias("payload"))
+
+
+def exploded(payloads: DataFrame, at: str, kind: str, missing: str) -> tuple[DataFrame, DataFrame]:
+    """(e, an item of type kind each; counts by reason): items of the array at the path of each payload. Payloads that aren't JSON, or have no such array, are counted, and so are items of another type."""
+    items = F.try_variant_get("payload", at, "array<variant>")
+    reason = F.when(F.col("payload").isNull(), "not_json").when(items.isNull(), missing)
+    each = payloads.select(F.explode(items).alias("v")).select(F.try_variant_get("v", "$", kind).alias("e"))
+    bad = payloads.select(reason.alias("reason")).unionByName(each.select(F.when(F.col("e").isNull(), "not_an_item").alias("reason"))).where("reason is not null")
+    return each.where("e is not null"), bad.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def overpass_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """overpass over files with an answer a line: large files are split over tasks, and a broken line costs itself alone."""
+    each, bad = exploded(payload_lines(spark, path), "$.elements", OVERPASS.removeprefix("elements array<").removesuffix(">"), "no_elements")
+    records, unnamed = _overpass(each.select("e.*"))
+    return records, bad.unionByName(unnamed)
+
+
 def overpass(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, counts of elements left out by reason). An element that comes twice counts once; ways and relations have their centre."""
-    e = spark.read.schema(OVERPASS).option("multiLine", "true").json(path).select(F.explode("elements").alias("e")).select("e.*").dropDuplicates(["type", "id"])
+    """(records, counts of elements left out by reason) of whole files of one answer each. An element that comes twice counts once; ways and relations have their centre."""
+    return _overpass(spark.read.schema(OVERPASS).option("multiLine", "true").json(path).select(F.explode("elements").alias("e")).select("e.*"))
+
+
+def _overpass(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    e = elements.dropDuplicates(["type", "id"])
     rows = e.withColumns({"name": tag("name", "brand", "operator"), "lat": F.coalesce("lat", F.col("center")["lat"]), "lon": F.coalesce("lon", F.col("center")["lon"])})
     key = F.coalesce(*[F.when(tag(k).isNotNull(), F.concat(F.lit(k + "="), tag(k))) for k in POI_KEYS])
     records = rows.where("name is not null").select(

@@ -10,10 +10,38 @@ from ..functions.ids import social_network, website_domain
 from ..functions.text import fold_text
 
 
-def read_places(spark: SparkSession, path: str, south: float, west: float, north: float, east: float) -> DataFrame:
-    """Places whose bbox struct (xmin, xmax, ymin, ymax) lies in the box; the four comparisons are pushed to the scan."""
+def curve(x: Column, y: Column, bits: int = 16) -> Column:
+    """A place's number on a Z-order curve over the globe, so that near places mostly have near numbers."""
+
+    def spread(c: Column, low: float, width: float) -> Column:
+        v = F.greatest(F.lit(0), F.least(F.lit(2**bits - 1), F.floor((c - low) / width * 2**bits))).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return spread(x, -180.0, 360.0).bitwiseOR(F.shiftleft(spread(y, -90.0, 180.0), 1))
+
+
+def write_clustered(places: DataFrame, path: str, by: list[str] | None = None, files: int | None = None, group_bytes: int = 16 << 20) -> None:
+    """places (longitude, latitude, bbox) as Parquet that read_places scans in part: folders by the columns of `by`, and in them rows in order of the curve.
+
+    Files hold ranges of the curve, and row groups of about group_bytes narrow ones, so a box meets few of them. Places
+    without coordinates stand first.
+    """
+    by = by or []
+    rows = places.withColumn("_curve", curve(F.col("longitude"), F.col("latitude")))
+    dealt = rows.repartitionByRange(files, *by, "_curve") if files else rows.repartitionByRange(*by, "_curve")
+    writer = dealt.sortWithinPartitions(*by, "_curve").drop("_curve").write.option("parquet.block.size", group_bytes)
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def read_places(spark: SparkSession, path: str, south: float, west: float, north: float, east: float, folders: dict[str, str] | None = None) -> DataFrame:
+    """Places whose bbox struct (xmin, xmax, ymin, ymax) lies in the box; the four comparisons are pushed to the scan, and folders (column: value) prune it."""
     b = F.col("bbox")
-    return spark.read.parquet(path).where((b["xmin"] >= west) & (b["xmax"] <= east) & (b["ymin"] >= south) & (b["ymax"] <= north))
+    rows = spark.read.parquet(path)
+    for column, value in (folders or {}).items():
+        rows = rows.where(F.col(column) == value)
+    return rows.where((b["xmin"] >= west) & (b["xmax"] <= east) & (b["ymin"] >= south) & (b["ymax"] <= north))
 
 
 def within(places: DataFrame, rings: list[list[tuple[float, float]]], x: str = "longitude", y: str = "latitude") -> DataFrame:

@@ -6,49 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import stored
-from .resolve import dedup_level, import_matches
+from .resolve import import_matches, match_keys
 
-NAMES = ["tax", "domain", "phone", "email", "name", "city"]
 SURE = ["EXACT_MATCH", "LIKELY_MATCH"]
 
 
-def _keys(df: DataFrame) -> DataFrame:
-    return df.select("id", F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), F.col(k)) for k in NAMES[:4]], F.when(F.col("name") != "", F.concat_ws("|", F.lit("n"), "name", "city"))))).alias("key"))
-
-
 def import_pool(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, accepted, level) of incoming rows taken in order of id: a row is refused if it surely matches (EXACT or LIKELY) an existing one or an incoming one accepted before it; level is its best against the existing.
 
-    Order decides only between incoming rows that match each other. Rounds of joins decide them: a row is refused once an
-    earlier match of it is accepted, and accepted once all its earlier matches are refused. The number of rounds is the
-    longest chain of rows that each hang on the one before. Both sides: id and the comparable forms in NAMES.
+    Order decides only between incoming rows that share a sure key. Rounds decide them: a row that is the first undecided
+    one of all its keys is accepted, and refuses the later rows of these keys. No pairs are made: a key that thousands
+    share is an aggregate of one row, whoever holds it. The number of rounds is the longest chain of rows that each hang on
+    the one before. Both sides: id (not null, no repeats) and the comparable forms that `match_keys` reads.
     """
     against = stored(import_matches(incoming, existing).select("id", "level"))
     pending = incoming.join(against.where(F.col("level").isin(*SURE)), "id", "left_anti")
-    side = lambda s: pending.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in NAMES])
-    keys = stored(_keys(pending))
-    pairs = keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
-    level = dedup_level(*({c: F.col(f"{s}_{c}") for c in NAMES} for s in ("a", "b")))
-    links = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(level.isin(*SURE)).select("a", "b"))  # b matches the earlier a
-    accepted = stored(pending.select("id").join(links.select(F.col("b").alias("id")), "id", "left_anti"))
-    open_ = links
-    while True:
-        refused = open_.join(accepted.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        # Links of refused rows say nothing any more, whichever side they stand on.
-        left = stored(open_.join(refused.withColumnRenamed("id", "b"), "b", "left_anti").join(refused.withColumnRenamed("id", "a"), "a", "left_anti"))
-        decided = refused.unionByName(accepted)
-        waiting = open_.select(F.col("b").alias("id")).distinct().join(decided, "id", "left_anti")
-        free = stored(waiting.join(left.select(F.col("b").alias("id")), "id", "left_anti"))
-        if free.isEmpty():
-            break
-        accepted, open_ = stored(accepted.unionByName(free)), left
+    keys = match_keys(pending, least=2)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    open_ = stored(keys.select("id", "key").join(shared, "key", "left_semi"))
+    accepted = stored(pending.select("id").join(open_.select("id").distinct(), "id", "left_anti"))
+    while not open_.isEmpty():
+        first = open_.groupBy("key").agg(F.min("id").alias("first"))
+        held = stored(open_.join(first, "key"))
+        free = stored(held.groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("free")).where("free").select("id"))
+        decided = held.join(free.select(F.col("id").alias("first")), "first", "left_semi").select("id").distinct()  # the accepted and those they refuse
+        accepted = stored(accepted.unionByName(free))
+        open_ = stored(held.select("id", "key").join(decided, "id", "left_anti"))
     return against.join(accepted.withColumn("_ok", F.lit(True)), "id", "left").select("id", F.coalesce("_ok", F.lit(False)).alias("accepted"), "level")
 
 
 def discovery_import(results: DataFrame, companies: DataFrame, fill: list[str]) -> tuple[DataFrame, DataFrame]:
     """(companies complemented by results and with new ones, one audit-like row (id, outcome, company_id) per result).
 
-    results: id, company_id (null if unknown), the forms in NAMES, and the fields of fill; companies: id, NAMES, fill, tags.
+    results: id, company_id (null if unknown), the forms that `match_keys` reads, and the fields of fill; companies: id, these forms, fill, tags.
     A result that names a company, or surely matches one, complements its empty fields (the smallest id where several do).
     Others are created, tagged POSSIBLE_DUPLICATE where something matches in part.
     """

@@ -8,7 +8,6 @@ in which a guard can speak (two tax ids, or cities that don't fit) are clustered
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, haversine
@@ -204,24 +203,33 @@ def visibility(sources: Column, site: Column, socials: Column, video: Column, bl
     return F.greatest(F.lit(0), F.least(F.lit(100), total))
 
 
-def dedup_level(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """EXACT_MATCH, LIKELY_MATCH, POSSIBLE_DUPLICATE or NO_MATCH of an incoming and an existing business."""
-    hits = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
-    n = hits(a["phone"] == b["phone"]) + hits(a["email"] == b["email"]) + hits((a["name"] == b["name"]) & (a["name"] != "") & (a["city"] == b["city"]))
-    exact = F.coalesce(a["tax"] == b["tax"], F.lit(False)) | F.coalesce(a["domain"] == b["domain"], F.lit(False))
-    return F.when(exact, "EXACT_MATCH").when(n >= 2, "LIKELY_MATCH").when(n == 1, "POSSIBLE_DUPLICATE").otherwise("NO_MATCH")
+LEVELS = {3: "EXACT_MATCH", 2: "LIKELY_MATCH", 1: "POSSIBLE_DUPLICATE", 0: "NO_MATCH"}
+
+
+def match_keys(df: DataFrame, least: int = 1) -> DataFrame:
+    """(id, rank, key) of rows with id, tax, domain, phone, email, name and city: two rows that share a key of a rank match at that rank (LEVELS).
+
+    A tax id or a domain is enough alone (3); of phone, e-mail and name with city two are likely one business (2), one is a
+    hint (1). Pairs of the three are keys too, so the best level of two rows is the best key that they share. Nulls and an
+    empty name make no key. Keys of a rank below `least` are left out.
+    """
+    part = lambda c: F.when(F.col(c).isNotNull(), F.array(F.lit(c), c))
+    named = F.when((F.col("name") != "") & F.col("city").isNotNull(), F.array(F.lit("name"), "name", "city"))
+    loose = [part("phone"), part("email"), named]
+    both = [F.concat(x, y) for i, x in enumerate(loose) for y in loose[i + 1 :]]  # null where either is
+    keys = {3: [part("tax"), part("domain")], 2: both, 1: loose}
+    each = [F.when(k.isNotNull(), F.struct(F.lit(rank).alias("rank"), k.alias("key"))) for rank, ks in keys.items() if rank >= least for k in ks]
+    return df.select("id", F.explode(F.array_compact(F.array(*each))).alias("k")).select("id", "k.*")
 
 
 def import_matches(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(id, match_id, level) of each incoming row's best match: both sides have id, tax, domain, phone, email, name, city (comparable forms). Equi-joins on each key, no product."""
-    keys = lambda df: df.select("id", F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), F.col(k)) for k in ("tax", "domain", "phone", "email")], F.when(F.col("name") != "", F.concat_ws("|", F.lit("n"), "name", "city"))))).alias("key"))
-    pairs = keys(incoming).join(keys(existing).withColumnRenamed("id", "match_id"), "key").select("id", "match_id").distinct()
-    names = ["tax", "domain", "phone", "email", "name", "city"]
-    side = lambda df, i, s: df.select(F.col("id").alias(i), *[F.col(c).alias(f"{s}_{c}") for c in names])
-    both = pairs.join(side(incoming, "id", "a"), "id").join(side(existing, "match_id", "b"), "match_id")
-    level = dedup_level({c: F.col(f"a_{c}") for c in names}, {c: F.col(f"b_{c}") for c in names})
-    order = F.when(level == "EXACT_MATCH", 3).when(level == "LIKELY_MATCH", 2).otherwise(1)
-    best = both.withColumn("level", level).withColumn("_o", order)
-    top = F.row_number().over(W.partitionBy("id").orderBy(F.desc("_o"), "match_id"))
-    best = best.withColumn("_r", top).where("_r = 1").select("id", "match_id", "level")
-    return incoming.select("id").join(best, "id", "left").select("id", "match_id", F.coalesce("level", F.lit("NO_MATCH")).alias("level"))
+    """(id, match_id, level) of each incoming row's best match, the smallest id of several as good; match_id is null and the level NO_MATCH without any.
+
+    Of the existing rows of a key only the smallest id goes into the join, so a placeholder that thousands share costs a
+    row for each incoming one and makes no pairs.
+    """
+    first = match_keys(existing).groupBy("rank", "key").agg(F.min("id").alias("match_id"))
+    found = match_keys(incoming).join(first, ["rank", "key"])
+    best = found.groupBy("id").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "match_id")).alias("b"))
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.coalesce(-F.col("b")["rank"], F.lit(0)))
+    return incoming.select("id").join(best, "id", "left").select("id", F.col("b")["match_id"].alias("match_id"), level.alias("level"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from prospector.functions import links
-from prospector.operators import business, imports, niches, search
+from prospector.operators import business, imports, niches, resolve, search
 
 FORMS = "id long, tax string, domain string, phone string, email string, name string, city string"
 
@@ -14,7 +14,7 @@ def level_by_hand(a, b):
     same = lambda i: a[i] is not None and a[i] == b[i]
     if same(1) or same(2):
         return 3
-    n = same(3) + same(4) + (a[5] == b[5] != "" and a[6] == b[6])
+    n = same(3) + same(4) + (bool(a[5]) and a[6] is not None and a[5:7] == b[5:7])
     return 2 if n >= 2 else n
 
 
@@ -34,6 +34,24 @@ def test_import_pool_takes_rows_in_order(spark):
     assert imports.import_pool(spark.createDataFrame([], FORMS), spark.createDataFrame(existing, FORMS)).count() == 0
 
 
+def test_keys_that_thousands_share(spark):
+    """A placeholder phone with one e-mail on every row: the first row is taken, and no pairs are made; levels against a loop, nulls and empty values included."""
+    rows = [(i, None, None, "p", "e" if i % 2 else None, "", "c") for i in range(4000)] + [(5000, None, None, "p", "e", None, None), (5001, None, None, None, None, "", None)]
+    got = {r["id"]: (r["accepted"], r["level"]) for r in imports.import_pool(spark.createDataFrame(rows, FORMS), spark.createDataFrame([(9, None, None, "p", None, "", "c")], FORMS)).collect()}
+    assert len(got) == len(rows) and all(level == "POSSIBLE_DUPLICATE" for i, (_, level) in got.items() if i != 5001) and got[5001] == (True, "NO_MATCH")
+    assert {i for i, (ok, _) in got.items() if ok} == {i for i in range(4000) if i % 2 == 0} | {1, 5001}
+    rng = random.Random(9)
+    value = lambda k: rng.choice([None, *[f"{k}{i}" for i in range(6)]])
+    make = lambda i: (i, value("t") if i % 5 == 0 else None, value("d") if i % 7 == 0 else None, value("p"), value("e"), rng.choice(["", "n1", "n2", None]), rng.choice(["c", "", None]))
+    new, old = [make(i) for i in range(120)], [make(i) for i in range(500, 540)]
+    names = resolve.LEVELS
+    want = {}
+    for r in new:
+        level, other = min((-level_by_hand(r, x), x[0]) for x in old)
+        want[r[0]] = (other if level else None, names[-level])
+    assert {r["id"]: (r["match_id"], r["level"]) for r in resolve.import_matches(spark.createDataFrame(new, FORMS), spark.createDataFrame(old, FORMS)).collect()} == want
+
+
 def test_discovery_import_fills_and_creates(spark):
     base = spark.createDataFrame([(1, "t1", None, None, None, "", "", None, []), (2, None, None, "p", None, "", "", "old", ["x"])], FORMS + ", website string, tags array<string>")
     found = spark.createDataFrame([(10, "t1", None, None, None, "", "", "w1", [], None), (11, None, None, "p", None, "", "", "w2", [], None), (12, None, None, None, None, "", "", "w3", [], 2), (13, None, None, None, None, "", "", "w4", [], None)], FORMS + ", website string, tags array<string>, company_id long")

@@ -13,12 +13,13 @@ from ..functions.text import fold_text, round_half_up
 WEIGHTS = {"fit": 25.0, "visual_need": 20.0, "digital_presence": 15.0, "opportunity": 10.0, "contactability": 10.0, "data_quality": 10.0, "recency": 10.0}
 SIZE = {"MEI": -10, "ME": 0, "EPP": 5, "DEMAIS": 10, "MICRO_LOCAL": -5, "PEQUENA": 0, "MEDIA": 5, "GRANDE_REGIONAL": 10}
 LEVELS = [(7.0, "VERY_HIGH"), (5.0, "HIGH"), (3.0, "MEDIUM"), (1.5, "LOW")]
+NETWORKS = {"instagram": "Instagram", "tiktok": "TikTok", "youtube": "YouTube", "facebook": "Facebook", "linkedin": "LinkedIn"}
 QUALIFIED_SCORE, QUALIFIED_LEVELS = 60, ("MEDIUM", "HIGH", "VERY_HIGH")
 
 #: Columns that `qualified` reads.
 SCHEMA = (
-    "segment_fit int, ticket string, size string, visual int, recurring boolean, venue boolean, street string, house_number string, city string, lat double, lon double, website string, site_status string, "
-    "socials array<string>, opened_months double, units int, has_video boolean, page_analysed boolean, keywords int, events boolean, launches boolean, phone_valid boolean, phone_from_registry boolean, whatsapp string, "
+    "segment_fit int, ticket string, size string, visual int, recurring boolean, street string, house_number string, city string, lat double, lon double, website string, site_status string, "
+    "socials array<string>, opened_months double, units int, has_video boolean, keywords int, events boolean, launches boolean, phone_valid boolean, phone_from_registry boolean, whatsapp string, "
     "email_kind string, contact_page boolean, named_contact boolean, sources int, cnpj string, cnpj_active boolean, domain_match string, conflicts int, medium_duplicate boolean, verified_days double, data_days double, text_only boolean"
 )
 
@@ -35,25 +36,40 @@ def _number(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0))
 
 
+def has_profile(network: str) -> Column:
+    return F.coalesce(F.array_contains("socials", network), F.lit(False))
+
+
+def channels() -> Column:
+    """The site and the profiles of known networks, in order."""
+    return F.array_compact(F.array(F.when(_has("website"), "site"), *[F.when(has_profile(n), label) for n, label in NETWORKS.items()]))
+
+
+def has_presence() -> Column:
+    return _has("website") | has_profile("instagram") | has_profile("facebook")
+
+
+def shows_video() -> Column:
+    return has_profile("youtube") | has_profile("tiktok") | F.coalesce("has_video", F.lit(False))
+
+
 def items() -> dict[str, list[tuple[str, Column]]]:
     """(reason, part of the weight) for each dimension."""
     c = F.col
-    social = lambda n: F.coalesce(F.array_contains("socials", n), F.lit(False))
-    channels = F.coalesce(F.size("socials"), F.lit(0))
+    social = has_profile
     size = F.coalesce(F.create_map(*[x for k, v in SIZE.items() for x in (F.lit(k), F.lit(v))])[c("size")], F.lit(0))
-    presence = _has("website") | (channels > 0)
     located = c("lat").isNotNull() & c("lon").isNotNull()
     fresh = lambda d, steps, rest: reduce(lambda acc, s: F.when(d <= s[0], s[1]).otherwise(acc), reversed(steps), F.lit(rest))
     return {
         "fit": [("segment", _number("segment_fit") / 100 * 0.85), ("ticket", F.when(c("ticket") == "HIGH", 0.15).when(c("ticket") == "MEDIUM", 0.08).otherwise(0.0)), ("size", size / 100)],
-        "visual_need": [("visual", _number("visual") / 100 * 0.8), ("recurring", _part(c("recurring"), 0.1)), ("venue", _part(c("venue") & (c("visual") >= 70) & (_has("street") | located), 0.1))],
-        "digital_presence": [("site", _part(_has("website"), 0.3)), ("site_status", F.when(c("site_status") == "ACTIVE", 0.1).when(c("site_status") == "DOWN", -0.15).otherwise(0.0))]
+        "visual_need": [("visual", _number("visual") / 100 * 0.8), ("recurring", _part(c("recurring"), 0.1)), ("venue", _part((c("visual") >= 70) & (_has("street") | located), 0.1))],
+        "digital_presence": [("site", _part(_has("website"), 0.3)), ("site_status", F.when(~_has("website") | c("site_status").isNull(), 0.0).when(c("site_status") == "ACTIVE", 0.1).otherwise(-0.15))]
         + [(n, _part(social(n), p)) for n, p in (("instagram", 0.3), ("tiktok", 0.15), ("youtube", 0.15), ("facebook", 0.1), ("linkedin", 0.05))]
-        + [("channels", _part(channels >= 3, 0.1))],
+        + [("channels", _part(F.size(channels()) >= 3, 0.1))],
         "opportunity": [
             ("opened", _part(c("opened_months") <= 18, 0.4)),
             ("units", _part(c("units") >= 2, 0.3)),
-            ("video", F.when(F.coalesce(c("has_video"), F.lit(False)), 0.15).when(presence, F.when(F.coalesce(c("page_analysed"), F.lit(False)), 0.3).otherwise(0.2)).otherwise(0.0)),
+            ("video", F.when(shows_video(), 0.15).when(has_presence(), F.when(c("site_status") == "ACTIVE", 0.3).otherwise(0.2)).otherwise(0.0)),
             ("keywords", F.least(F.lit(0.25), _number("keywords") * 0.1)),
             ("events", _part(c("events"), 0.1)),
             ("launches", _part(c("launches"), 0.15)),
@@ -69,7 +85,7 @@ def items() -> dict[str, list[tuple[str, Column]]]:
         "data_quality": [
             ("sources", F.when(c("sources") >= 3, 0.6).when(c("sources") == 2, 0.45).otherwise(0.2)),
             ("tax_id", F.when(_has("cnpj") & F.coalesce(c("cnpj_active"), F.lit(False)), 0.15).when(_has("cnpj"), 0.08).otherwise(0.0)),
-            ("address", F.when(_has("street") & _has("house_number") & _has("city"), 0.1).when(_has("street"), 0.05).otherwise(0.0)),
+            ("address", F.when(_has("street") & _has("house_number"), 0.1).when(_has("street"), 0.05).otherwise(0.0)),
             ("coordinates", _part(located, 0.05)),
             ("domain", F.when(c("domain_match") == "HIGH", 0.1).when(c("domain_match") == "LOW", -0.15).otherwise(0.0)),
             ("conflicts", -F.least(F.lit(0.3), _number("conflicts") * 0.1)),
@@ -81,7 +97,7 @@ def items() -> dict[str, list[tuple[str, Column]]]:
 
 def confidence_points() -> Column:
     c = F.col
-    located = (_has("street") & _has("house_number")) | (c("lat").isNotNull() & c("lon").isNotNull())
+    located = _has("street") & (_has("house_number") | (c("lat").isNotNull() & c("lon").isNotNull()))
     return (
         F.when(c("sources") >= 3, 4.0).when(c("sources") == 2, 3.0).otherwise(1.0)
         + _part(_has("cnpj"), 1.0)
@@ -104,16 +120,22 @@ def confidence_level(points: Column) -> Column:
 
 
 def qualified(df: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """df with dimensions (map of points), lead_score (0-100), reasons (top 8 by points), confidence and qualified."""
+    """df with dimensions (map of points), factors (every item that counts, in order), lead_score (0-100), reasons (top 8 by points, earlier items first on ties), confidence and qualified.
+
+    A column disqualified, where df has one, names the rule by which a lead is discarded; such a lead is never qualified.
+    """
     found = items()
     part = {d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), reduce(lambda a, b: a + b, [v for _, v in found[d]]))) for d in weights}
     points = {d: round_half_up(part[d] * w, 1) for d, w in weights.items()}
-    parts = F.array(*[F.struct(round_half_up(v * weights[d], 1).alias("points"), F.lit(d).alias("dimension"), F.lit(name).alias("item")) for d in weights for name, v in found[d]])
-    out = df.withColumns({"dimensions": F.create_map(*[x for d in weights for x in (F.lit(d), points[d])]), "confidence": confidence_level(confidence_points()), "_parts": parts})
+    listed = [(d, name, v) for d in weights for name, v in found[d]]
+    factors = F.array(*[F.struct(round_half_up(v * weights[d], 1).alias("points"), F.lit(d).alias("dimension"), F.lit(name).alias("item"), F.lit(i).alias("place")) for i, (d, name, v) in enumerate(listed)])
+    out = df.withColumns({"dimensions": F.create_map(*[x for d in weights for x in (F.lit(d), points[d])]), "confidence": confidence_level(confidence_points()), "factors": F.filter(factors, lambda x: x["points"] != 0)})
     total = reduce(lambda a, b: a + b, [F.col("dimensions")[d] for d in weights])
-    reasons = F.slice(F.array_sort(F.filter("_parts", lambda x: x["points"] > 0), lambda x, y: F.when(x["points"] > y["points"], -1).when(x["points"] < y["points"], 1).when(x["item"] < y["item"], -1).otherwise(1)), 1, 8)
-    out = out.withColumns({"lead_score": round_half_up(total / sum(weights.values()) * 100).cast("long"), "reasons": reasons}).drop("_parts")
-    return out.withColumn("qualified", (F.col("lead_score") >= QUALIFIED_SCORE) & F.col("confidence").isin(*QUALIFIED_LEVELS))
+    first = lambda x, y: F.when(x["points"] > y["points"], -1).when(x["points"] < y["points"], 1).when(x["place"] < y["place"], -1).otherwise(1)
+    reasons = F.slice(F.array_sort(F.filter("factors", lambda x: x["points"] > 0), first), 1, 8)
+    out = out.withColumns({"lead_score": round_half_up(total / sum(weights.values()) * 100).cast("long"), "reasons": reasons})
+    stays = F.col("disqualified").isNull() if "disqualified" in df.columns else F.lit(True)
+    return out.withColumn("qualified", stays & (F.col("lead_score") >= QUALIFIED_SCORE) & F.col("confidence").isin(*QUALIFIED_LEVELS))
 
 
 def segment_evidence(activity_level: Column | None, by_tag: Column | None, by_name: Column | None, searched: Column) -> Column:

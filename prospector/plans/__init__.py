@@ -1,3 +1,3 @@
 """The catalogue of queries over the driver tables, with the SQL that checks each."""
 
-from . import catalogue, leads, rounds  # noqa: F401  (all register their queries)
+from . import catalogue, leads, results, rounds  # noqa: F401  (all register their queries)

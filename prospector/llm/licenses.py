@@ -7,7 +7,8 @@ run as a whole and each such sentence; what that confirms is added to what the l
 distinct word n-grams (one to three words) of these sentences; a multinomial logistic regression gives each licence
 family and the unknown class a probability. The temperature and the least probability of a family are calibrated on
 held-out paragraphs: below it, a paragraph is unknown. A family is confirmed when a template of it is found in the
-paragraph, that is, most of the template's word pairs.
+paragraph, that is, most of the template's word pairs, with none that only another licence's statement has; and not if
+terms that only another licence has follow in the next lines (X11, curl and others share whole paragraphs with a family).
 
 The classifier is trained here, on the driver, from the statements below and variations of them: a few thousand
 paragraphs, whatever the corpus, so the model is a constant of a few thousand numbers that goes with the plan.
@@ -19,7 +20,7 @@ import json
 import random
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,17 @@ BODIES = {
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "is placed in the public domain", "was released into the public domain", "was released to the public domain", "This file is in the public domain.", "This code is in the public domain.", "This software is in the public domain.", "No copyright is claimed.", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights under copyright law"],
 }
+#: Pairs of words that the statement of another licence has, and a template's paragraph must not have.
+FOREIGN = {"mit": ["the materials", "data files", "its documentation", "supporting documentation"], "isc": ["its documentation", "supporting documentation"]}
+#: What other licences say in the lines after the statement that they share with a family.
+_AND = r"[\s*#/]+"
+FOREIGN_TERMS = {
+    "mit": ["except as contained in this notice", "including the dates of first publication"],
+    "isc": ["except as contained in this notice", "in advertising or publicity pertaining to"],
+    "bsd": ["information on how to obtain complete source code", "may not be called"],
+}
+#: Lines after the first of a statement in which its licence's terms are looked for.
+REACH = 40
 COMMON_WORDS = {"MIT"}
 LEADS = ["under", "license", "identifier", "the"]
 NOTICES = ["{}", "{}.", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This project is available under the {}; see LICENSE.", "Distributed under the terms of the {}.", "The code is covered by the {}.", "SPDX-License-Identifier: {}", "License: {}", "Published under a {} licence.", "Except where noted, content is under {}.", "Copyright 2020 the authors, {}."]
@@ -87,6 +99,11 @@ def grams_of(text: str) -> list[str]:
     return list(out)
 
 
+def foreign_terms(family: str) -> str:
+    """Pattern of terms, in lower case, that tell a licence of no family from this one; its words may run over lines and comment marks."""
+    return "|".join(_AND.join(t.split(" ")) for t in FOREIGN_TERMS[family])
+
+
 def _filler(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choice(["th", "er", "ción", "que", "ung", "the", "an", "of", "ré", "ment", "in"]) for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(n))
 
@@ -180,7 +197,7 @@ def pairs_of(text: str) -> list[str]:
 def templates() -> dict[str, list[dict]]:
     """Names and sentences of each family; a name that is a common word in some language counts only after one of LEADS."""
     phrases = lambda name: [f"{lead} {name}" for lead in LEADS] if name in COMMON_WORDS else [name]
-    return {f: [{"name": t, "pairs": pairs_of(p)} for t in [*NAMES[f], *BODIES.get(f, [])] for p in phrases(t)] for f in NAMES}
+    return {f: [{"name": t, "pairs": pairs_of(p), "foreign": FOREIGN.get(f, []) if t in BODIES.get(f, []) else []} for t in [*NAMES[f], *BODIES.get(f, [])] for p in phrases(t)] for f in NAMES}
 
 
 def _constant(value: object, kind: str) -> Column:
@@ -205,7 +222,7 @@ def _classified(paragraph: Column, model: Model) -> Column:
         return F.aggregate(found, F.array(*map(F.lit, model.bias)), lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
 
     classes = F.array(*map(F.lit, model.classes))
-    known = _constant(templates(), "map<string,array<struct<name:string,pairs:array<string>>>>")
+    known = _constant(templates(), "map<string,array<struct<name:string,pairs:array<string>,foreign:array<string>>>>")
 
     def judged(x: Column) -> Column:
         top = F.array_max(x["logits"])
@@ -214,8 +231,8 @@ def _classified(paragraph: Column, model: Model) -> Column:
         return F.struct(F.when(1 / total >= model.least, family).otherwise(UNKNOWN).alias("family"), (1 / total).alias("probability"), x["grams"].alias("grams"))
 
     def confirmed(x: Column) -> Column:
-        own = F.coalesce(F.try_element_at(known, x["family"]), F.array().cast("array<struct<name:string,pairs:array<string>>>"))
-        fits = F.filter(own, lambda t: F.size(F.array_intersect(t["pairs"], x["grams"])) >= CONFIRMED * F.size(t["pairs"]))
+        own = F.coalesce(F.try_element_at(known, x["family"]), F.array().cast("array<struct<name:string,pairs:array<string>,foreign:array<string>>>"))
+        fits = F.filter(own, lambda t: (F.size(F.array_intersect(t["pairs"], x["grams"])) >= CONFIRMED * F.size(t["pairs"])) & ~F.arrays_overlap(t["foreign"], x["grams"]))
         best = F.array_max(F.transform(fits, lambda t: F.struct(F.size(t["pairs"]).alias("n"), t["name"].alias("name"))))
         return F.struct(x["family"].alias("family"), x["probability"].alias("probability"), best.isNotNull().alias("confirmed"), best["name"].alias("template"))
 
@@ -261,10 +278,12 @@ def license_scan(docs: DataFrame, text_col: str = "text", out_col: str = "licens
     model = trained()
     one = lambda i, line: F.struct(i.alias("paragraph"), line.alias("line"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
     read = lambda lines: F.concat(F.filter(F.transform(lines, lambda line, i: one(i, line)), lambda x: F.lower(x["line"]).rlike(ANCHORS)), _wrapped(lines))
-    some = F.transform(F.array(F.split(text_col, "\n")), read)[0]
 
-    def scanned(x: Column) -> Column:
-        got = F.transform(F.array(_classified(x["line"], model)), lambda c: F.struct(x["paragraph"].alias("paragraph"), c["family"].alias("family"), c["probability"].alias("probability"), c["confirmed"].alias("confirmed"), c["template"].alias("template"), x["first"].alias("first"), x["last"].alias("last")))
+    def scanned(x: Column, lines: Column) -> Column:
+        near = F.lower(F.array_join(F.slice(lines, x["paragraph"] + 1, REACH + 1), "\n"))
+        other = lambda c: F.coalesce(reduce(lambda acc, f: F.when(c["family"] == f, near.rlike(foreign_terms(f))).otherwise(acc), FOREIGN_TERMS, F.lit(False)), F.lit(False))
+        named = F.transform(F.array(_classified(x["line"], model)), lambda c: F.struct(c.alias("c"), F.when(c["confirmed"], ~other(c)).otherwise(False).alias("sure")))
+        got = F.transform(named, lambda n: F.struct(x["paragraph"].alias("paragraph"), n["c"]["family"].alias("family"), n["c"]["probability"].alias("probability"), n["sure"].alias("confirmed"), F.when(n["sure"], n["c"]["template"]).alias("template"), x["first"].alias("first"), x["last"].alias("last")))
         return got[0]
 
     def kept(all_: Column) -> Column:
@@ -277,7 +296,8 @@ def license_scan(docs: DataFrame, text_col: str = "text", out_col: str = "licens
         said = F.exists(b["lines"], lambda y: y["confirmed"] & (y["family"] == x["family"]) & y["paragraph"].between(x["first"], x["last"]))
         return ~said & ~F.exists(F.slice(b["runs"], 1, i), lambda y: (y["first"] == x["first"]) & (y["family"] == x["family"]))
 
-    found = F.transform(F.array(F.transform(some, scanned)), kept)[0]
+    judged = lambda lines: F.transform(F.array(F.transform(read(lines), lambda x: scanned(x, lines))), kept)[0]
+    found = F.transform(F.array(F.split(text_col, "\n")), judged)[0]
     matches = F.when(F.lower(text_col).rlike(ANCHORS), found).otherwise(F.array().cast(MATCH))
     return docs.withColumn(out_col, matches)
 
@@ -305,15 +325,17 @@ def brute_force(text: str | None, model: Model | None = None) -> list[tuple]:
     model = model or trained()
     lines = (text or "").split("\n")
 
-    def judged(paragraph: str) -> tuple:
+    def judged(paragraph: str, at: int) -> tuple:
         grams = grams_of(paragraph)
         logits = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.bias)))
         p = _probabilities(logits[None], model.temperature)[0]
         family = model.classes[int(p.argmax())] if p.max() >= model.least else UNKNOWN
-        fits = [(len(t["pairs"]), t["name"]) for t in templates().get(family, []) if len(set(t["pairs"]) & set(grams)) >= CONFIRMED * len(t["pairs"])]
+        fits = [(len(t["pairs"]), t["name"]) for t in templates().get(family, []) if len(set(t["pairs"]) & set(grams)) >= CONFIRMED * len(t["pairs"]) and not set(t["foreign"]) & set(grams)]
+        if family in FOREIGN_TERMS and re.search(foreign_terms(family), "\n".join(lines[at : at + REACH + 1]).lower()):
+            fits = []
         return family, float(p.max()), bool(fits), max(fits)[1] if fits else None
 
-    out = [(i, *judged(line)) for i, line in enumerate(lines) if re.search(ANCHORS, line.lower())]
+    out = [(i, *judged(line, i)) for i, line in enumerate(lines) if re.search(ANCHORS, line.lower())]
     alone = {(m[0], m[1]) for m in out if m[3]}
     bounds = [-1, *[i for i, line in enumerate(lines) if re.search(BLANK, line)], len(lines)]
     for first, end in zip([b + 1 for b in bounds], bounds[1:], strict=False):
@@ -321,7 +343,7 @@ def brute_force(text: str | None, model: Model | None = None) -> list[tuple]:
         over = [s for s in re.split(WRAPPED_SENTENCE, run) if "\n" in s.rstrip(" ") and re.search(ANCHORS, s.lower())]
         known = {f for i, f in alone if first <= i < end}
         for unit in dict.fromkeys([run, *over] if over else []):
-            got = judged(unit.replace("\n", " "))
+            got = judged(unit.replace("\n", " "), first)
             if got[2] and got[0] not in known:
                 known.add(got[0])
                 out.append((first, *got))

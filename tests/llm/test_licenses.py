@@ -103,3 +103,34 @@ def test_driver_documents(spark):
     for r in out.collect():
         stated = {f for f, t in (("mit", "the MIT License."), ("apache", "Apache License, Version 2.0"), ("gpl", "GNU General Public License, version 3"), ("cc-by-nc", "CC BY-NC 4.0")) if t in docs[r["doc_id"]]}
         assert set(filter(None, r["families"].split(","))) == stated
+
+
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+OLD_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def test_licences_that_share_a_statement_with_a_family_are_told_apart(spark):
+    """Terms of other licences in the next lines, wrapped and behind comment marks too, or their words in the statement; far away they say nothing."""
+    term = "Except as contained in this notice, the name of X shall not be used in advertising."
+    texts = {
+        "mit": (GRANT, {"mit"}),
+        "x11": (f"{GRANT}\n\n{term}", set()),
+        "wrapped": (f" * {GRANT}\n *\n * Except as contained\n * in this notice, the name", set()),
+        "before": (f"{term}\n\n{GRANT}", {"mit"}),
+        "far": (GRANT + "\n" * (ls.REACH + 1) + term, {"mit"}),
+        "last": (GRANT + "\n" * ls.REACH + "except as contained in this notice", set()),
+        "khronos": (GRANT.replace("deal in the Software", "deal in the Materials"), set()),
+        "isc": (OLD_ISC, {"isc"}),
+        "curl": (f"{OLD_ISC}\n{term}", set()),
+        "old": (OLD_ISC.replace("this software", "this software and its documentation"), set()),
+        "joined": (OLD_ISC.replace(" any purpose", "\nany purpose") + f"\n\n{term}", set()),
+        "name": (f"License: ISC License\n{OLD_ISC}\n", {"isc"}),
+        "sleepycat": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n3. Redistributions in any form must be accompanied by information on how to obtain complete\nsource code", set()),
+        "gpl": (f"This program is licensed under the GNU General Public License version 2.\n{term}", {"gpl"}),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "k string, text string")
+    got = {r["k"]: r["license_matches"] for r in ls.license_scan(df).collect()}
+    for k, (text, want) in texts.items():
+        assert {m["family"] for m in got[k] if m["confirmed"]} == want, k
+        assert [(m["paragraph"], m["family"], m["confirmed"], m["template"]) for m in got[k]] == [(p, f, c, t) for p, f, _, c, t in ls.brute_force(text)], k
+        assert all((m["template"] is not None) == m["confirmed"] for m in got[k])

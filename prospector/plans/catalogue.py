@@ -476,10 +476,11 @@ def html_features(t):
     return t("pages").select("page_id", html.title("html").alias("title"), html.content_hash("html").alias("content_hash"), F.array_contains(html.videos("html"), "vídeo HTML5").alias("has_video"), F.col("html").rlike("(?i)<form").alias("has_form"))
 
 
-@query("""SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda e: lower(e))).list_sort() AS emails FROM documents WHERE contains(text, '@')""")
+@query("""SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda e: lower(e))).list_sort() AS emails FROM documents""")
 def contact_extraction(t):
     found = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))
-    return t("documents").where(F.contains("text", F.lit("@"))).select("doc_id", F.array_sort(F.array_distinct(F.transform(found, F.lower))).alias("emails"))
+    some = F.when(~F.contains("text", F.lit("@")), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(found, F.lower))))
+    return t("documents").select("doc_id", some.alias("emails"))
 
 
 @query()

@@ -197,11 +197,11 @@ def qualification_inputs(t):
     return got.join(phones, "cluster").select("cluster", "activity", "operating_status", ntz("first_seen_at"), ntz("last_seen_at"), "two_phones")
 
 
-@query("""WITH p AS (SELECT l_partkey % 50 AS ca, l_suppkey % 60 AS cb, CASE WHEN l_returnflag = 'A' THEN 'MEDIUM' ELSE 'LOW' END AS level FROM lineitem WHERE l_linenumber = 1), d AS (SELECT least(ca, cb) AS x, greatest(ca, cb) AS y, max(level) AS level FROM p WHERE ca <> cb GROUP BY 1, 2)
+@query("""WITH p AS (SELECT l_partkey % 50 AS ca, l_suppkey % 60 AS cb, CASE WHEN l_returnflag = 'A' THEN 'MEDIUM' ELSE 'LOW' END AS level FROM lineitem), d AS (SELECT least(ca, cb) AS x, greatest(ca, cb) AS y, max(level) AS level FROM p WHERE ca <> cb GROUP BY 1, 2)
 SELECT x AS cluster, y AS other, level FROM d UNION ALL SELECT y, x, level FROM d""")
 def duplicate_links(t):
     """Links between businesses to review, in both directions, the strongest evidence first."""
-    pairs = t("lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 60 + 1000).alias("b"), F.when(F.col("l_returnflag") == "A", "MEDIUM").otherwise("LOW").alias("level"))
+    pairs = t("lineitem").select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 60 + 1000).alias("b"), F.when(F.col("l_returnflag") == "A", "MEDIUM").otherwise("LOW").alias("level"))
     k = lambda off, count: t("part").select((F.col("p_partkey") % count + off).alias("idx"), (F.col("p_partkey") % count).alias("cluster")).distinct()
     return business.duplicate_links(pairs, k(0, 50).union(k(1000, 60)))
 
@@ -487,24 +487,47 @@ def performance_of_last_searches(t):
     return rows.groupBy(F.col("l_returnflag").alias("source")).agg(n("requests"), F.countDistinct("l_orderkey").alias("searches"), F.round(F.avg("l_quantity"), 6).alias("latency"), tables.ratio(good, F.count("*")).cast("long").alias("success"))
 
 
-@query("""WITH f AS (SELECT c_custkey, c_acctbal < 0 AS no_website, c_custkey % 3 AS socials, c_custkey % 2 = 0 AS offer, CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '1998-01-01 00:00:00' END AS opened FROM customer)
-SELECT c_custkey, no_website, CASE WHEN no_website THEN socials <= 1 ELSE socials = 0 END AS weak_social_presence, opened IS NOT NULL AS new_business, offer AS high_offer_fit FROM f""")
-def rule_evaluators(t):
-    """The ten rules of the prospect score over a company's signals; five of them are shown."""
+RULES_SQL = f"""f AS (SELECT c_custkey, c_acctbal >= 0 AS site, c_custkey % 3 AS socials, c_custkey % 7 = 1 OR c_custkey % 11 = 1 OR c_custkey % 13 = 1 AS contact, c_custkey % 2 = 0 AS offer, {pick_sql('c_custkey', 'ME', None, 'MEDIA', 'GRANDE_REGIONAL')} AS size, c_custkey % 6 <> 0 AS industry,
+  c_custkey % 5 <> 0 AS city, c_custkey % 8 <> 0 AS state, c_custkey % 9 = 0 AS units, c_custkey % 10 < 7 AS visual, c_custkey % 4 = 1 AS recurring, CASE c_custkey % 4 WHEN 0 THEN TIMESTAMP '1998-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '1990-06-01 00:00:00' WHEN 2 THEN {NOW_SQL} - INTERVAL 389 DAY ELSE {NOW_SQL} - INTERVAL 390 DAY END AS opened,
+  CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 0 END AS lacks FROM customer),
+e AS (SELECT c_custkey, NOT site AS no_website, CASE WHEN site THEN socials = 0 ELSE socials <= 1 END AS weak_social_presence, contact AS business_contact_available, visual AS visual_segment, recurring AS recurring_content_need,
+  city AND state AND coalesce(size <> 'GRANDE_REGIONAL', TRUE) AS local_business, units OR coalesce(size IN ('MEDIA', 'GRANDE_REGIONAL'), FALSE) AS multi_unit, floor((epoch_us({NOW_SQL}) - epoch_us(opened)) / (86400000000.0 * 30)) <= 12 AS new_business, industry AND offer AS high_offer_fit, lacks >= 2 AS weak_marketing_signals FROM f)"""
+
+
+def prospects(t) -> DataFrame:
+    """A company's signals for each of the ten rules."""
     k = F.col("c_custkey")
-    rows = t("customer").select(
-        "c_custkey", F.when(F.col("c_acctbal") >= 0, "w").alias("website"), none().alias("phone"), none().alias("email"), none().alias("whatsapp"), F.when(k % 10 == 0, F.expr("timestamp_ntz'1998-01-01 00:00:00'")).alias("opened_at"), none().alias("estimated_size"),
-        F.lit("i").alias("industry_id"), none().alias("city"), none().alias("state"), F.array().cast(TEXT).alias("tags"), (k % 3).cast("int").alias("socials"), F.array().cast("array<boolean>").alias("website_flags"), F.lit(False).alias("visual"), F.lit(False).alias("recurring"), (k % 2 == 0).alias("has_offer"),
+    flags = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<boolean>")
+    ago = lambda days: F.expr(f"timestamp_ntz'{AS_OF}' - INTERVAL {days} DAY")
+    opened = F.when(k % 4 == 0, F.expr("timestamp_ntz'1998-01-01 00:00:00'")).when(k % 4 == 1, F.expr("timestamp_ntz'1990-06-01 00:00:00'")).when(k % 4 == 2, ago(389)).otherwise(ago(390))
+    return t("customer").select(
+        "c_custkey", F.when(F.col("c_acctbal") >= 0, "w").otherwise("").alias("website"), F.when(k % 7 == 1, "1").alias("phone"), F.when(k % 11 == 1, "a@b").otherwise("").alias("email"), F.when(k % 13 == 1, "2").alias("whatsapp"), opened.alias("opened_at"), pick(k, "ME", None, "MEDIA", "GRANDE_REGIONAL").alias("estimated_size"),
+        F.when(k % 6 != 0, "i").alias("industry_id"), F.when(k % 5 != 0, "c").otherwise("").alias("city"), F.when(k % 8 != 0, "CE").alias("state"), F.when(k % 9 == 0, F.array(F.lit("MULTI_UNIT"))).otherwise(F.array().cast(TEXT)).alias("tags"), (k % 3).cast("int").alias("socials"),
+        F.when(k % 5 == 0, flags(True, True)).when(k % 5 == 1, flags(False, None, False)).when(k % 5 == 2, flags(False, True)).when(k % 5 == 3, flags(False, False, False)).otherwise(flags()).alias("website_flags"), (k % 10 < 7).alias("visual"), (k % 4 == 1).alias("recurring"), (k % 2 == 0).alias("has_offer"),
     )
-    e = score.evaluators(now())
-    names = ["no_website", "weak_social_presence", "new_business", "high_offer_fit"]
-    return rows.select("c_custkey", *[F.coalesce(e[x], F.lit(False)).alias(x) for x in names])
 
 
-@query("SELECT c_custkey, CAST(20 * (c_custkey % 2 = 0)::INT + 15 * (c_acctbal > 0)::INT + 10 + 10 * (c_mktsegment = 'BUILDING')::INT AS INT) AS quality FROM customer")
+@query(f"WITH {RULES_SQL} SELECT * FROM e")
+def rule_evaluators(t):
+    """Which of the ten rules of the prospect score fire for each company."""
+    return prospects(t).select("c_custkey", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in score.evaluators(now()).items()])
+
+
+@query(f"""WITH {RULES_SQL}, c AS (SELECT c_custkey, floor(100.0 * (15 * no_website::INT + 10 * weak_social_presence::INT + 5 * business_contact_available::INT) / 30 + 0.5) AS digital, floor(100.0 * (10 * visual_segment::INT + 10 * recurring_content_need::INT) / 20 + 0.5) AS content,
+  100 * multi_unit::INT AS size, 100 * local_business::INT AS near, floor(100.0 * (10 * new_business::INT + 15 * high_offer_fit::INT) / 25 + 0.5) AS fit,
+  no_website::INT + weak_social_presence::INT + business_contact_available::INT + visual_segment::INT + recurring_content_need::INT + local_business::INT + multi_unit::INT + new_business::INT + high_offer_fit::INT + weak_marketing_signals::INT AS n_factors FROM e),
+s AS (SELECT *, CAST(floor(digital * 0.2 + content * 0.25 + fit * 0.2 + size * 0.1 + near * 0.1 + 0.5 + 1e-9) AS BIGINT) AS score FROM c)
+SELECT c_custkey, score, CASE WHEN score >= 80 THEN 'MUITO_ALTO' WHEN score >= 60 THEN 'ALTO' WHEN score >= 40 THEN 'MEDIO' ELSE 'BAIXO' END AS level, n_factors FROM s""")
+def prospect_scores(t):
+    """Score, level and number of factors of every company by all ten rules."""
+    return score.prospect_score(prospects(t), score.evaluators(now())).select("c_custkey", "score", "level", F.size("factors").alias("n_factors"))
+
+
+@query("SELECT c_custkey, CAST(20 * (c_custkey % 2 = 0)::INT + 15 * (c_acctbal > 0)::INT + 10 * (c_custkey % 3 = 0)::INT + 15 * (c_custkey % 5 = 0)::INT + 10 * (c_custkey % 7 <> 0)::INT + 10 * (c_mktsegment = 'BUILDING')::INT + 10 * (c_custkey % 11 = 0)::INT + 10 * (c_custkey % 4 = 0)::INT AS INT) AS quality FROM customer")
 def data_quality_score(t):
     k = F.col("c_custkey")
-    return t("customer").select("c_custkey", score.data_quality({"tax_id": k % 2 == 0, "phone": F.col("c_acctbal") > 0, "name": F.lit(True), "address": F.col("c_mktsegment") == "BUILDING"}).alias("quality"))
+    flags = {"tax_id": k % 2 == 0, "phone": F.col("c_acctbal") > 0, "email": k % 3 == 0, "website": k % 5 == 0, "name": F.when(k % 7 != 0, True), "address": F.col("c_mktsegment") == "BUILDING", "decision_maker": k % 11 == 0, "presence_checked": k % 4 == 0}
+    return t("customer").select("c_custkey", score.data_quality(flags).alias("quality"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE '889' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS phone, CASE WHEN c_custkey % 4 = 1 THEN '889' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS chosen FROM customer")

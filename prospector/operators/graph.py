@@ -24,9 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def new_path(spark: SparkSession) -> str:
+    """A place in the shared folder that nothing else uses; `drop_stored` removes it."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

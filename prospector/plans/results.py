@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import narrative, qualify
+from ..operators import narrative, qualify, score, score_tables, stored_tables
+from ..operators.graph import new_path
+from ..sources import files
 from .catalogue import query
-from .leads import pick, pick_sql
+from .leads import RULES_SQL, now, pick, pick_sql, prospects
 
 TEXT = "array<string>"
 
@@ -104,3 +106,41 @@ def search_summary(t):
     own = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("neighborhood"))
     scored = qualify.qualified(leads(t)).join(own, "c_nationkey")
     return narrative.summary(scored.select("segment", "neighborhood", F.col("source_labels").alias("sources"), "lead_score", "confidence", "qualified", F.col("disqualified").alias("discarded")), neighborhoods=10)
+
+
+@query(f"""WITH {RULES_SQL}, c AS (SELECT *, c_custkey % 5 = 0 AS again, 15 * no_website::INT + 10 * weak_social_presence::INT + 5 * business_contact_available::INT AS d, 10 * new_business::INT + 15 * high_offer_fit::INT AS t FROM e),
+p AS (SELECT *, CASE WHEN again THEN 100 * recurring_content_need::INT ELSE floor(100.0 * (10 * visual_segment::INT + 10 * recurring_content_need::INT) / 20 + 0.5) END AS content FROM c)
+SELECT c_custkey AS company_id, CAST(floor(floor(100.0 * d / 30 + 0.5) * 0.2 + content * 0.25 + floor(100.0 * t / 25 + 0.5) * 0.2 + 10 * multi_unit::INT + 10 * local_business::INT + 0.5 + 1e-9) AS BIGINT) AS score, again,
+  CAST(d + (CASE WHEN again THEN 0 ELSE 10 END) * visual_segment::INT + 10 * recurring_content_need::INT + 5 * local_business::INT + 10 * multi_unit::INT + t + 10 * weak_marketing_signals::INT AS BIGINT) AS points FROM p""")
+def stored_scores(t):
+    """Scores and factors of all companies, then again of every fifth with a rule switched off, read back from the table: no factor of that rule is left on these."""
+    rows = prospects(t).withColumn("company_id", F.col("c_custkey"))
+    spark, path = rows.sparkSession, new_path(rows.sparkSession)
+    fires = score.evaluators(now())
+    fewer = tuple(score.Rule(r.key, r.category, r.points, r.key != "visual_segment") for r in score.RULES)
+    kept = lambda df, rules, day: score.prospect_score(df, fires, rules).withColumns({"data_quality": F.lit(0), "computed_at": F.expr(f"timestamp_ntz'2026-03-0{day} 00:00:00'")})
+    score_tables.keep_scores(spark, path, kept(rows, score.RULES, 1), 16)
+    score_tables.keep_scores(spark, path, kept(rows.where("company_id % 5 = 0"), fewer, 2), 16)
+    table = stored_tables.read(spark, path)
+    points = score_tables.factors(table).groupBy("company_id").agg(F.sum("points").cast("long").alias("points"))
+    again = table.select("company_id", "score", (F.col("computed_at") > F.expr("timestamp_ntz'2026-03-01 12:00:00'")).alias("again"))
+    return again.join(points, "company_id", "left").select("company_id", "score", "again", F.coalesce("points", F.lit(0)).cast("long").alias("points"))
+
+
+@query("""SELECT c_name AS nome, '' AS razao_social, '' AS cnpj, CASE WHEN c_custkey % 3 = 0 THEN 'ATIVA' ELSE '' END AS situacao_cadastral, c_mktsegment AS categoria, 'Rua' AS logradouro, CAST(c_custkey AS VARCHAR) AS numero, '' AS bairro, trim(n_name) AS cidade, 'CE' AS uf, '' AS cep,
+  CASE WHEN c_custkey % 2 = 0 THEN '88' || c_custkey ELSE '' END AS telefone, CASE WHEN c_custkey % 2 = 0 THEN '3611' ELSE '88' || c_custkey || ' | 3611' END AS outros_telefones, '' AS whatsapp, '' AS email, '' AS website, CASE WHEN c_custkey % 4 = 0 THEN '@i' ELSE '' END AS instagram, '' AS facebook, '' AS tiktok, '' AS linkedin,
+  CAST(c_custkey % 90 AS VARCHAR) AS latitude, CASE WHEN c_custkey % 2 = 0 THEN '-40.5' ELSE '' END AS longitude, array_to_string(['Base', 'Mapa'][1:c_custkey % 3], ' + ') AS fontes, 'HIGH' AS confianca, CAST(c_custkey % 101 AS VARCHAR) AS completude, 'PARCIAL' AS qualidade,
+  CASE WHEN c_custkey % 6 = 0 THEN 'phone, street' ELSE '' END AS conflitos, CASE WHEN c_custkey % 7 = 0 THEN 'sim' ELSE 'não' END AS ja_no_banco,
+  'https://www.google.com/maps/search/?api=1&query=' || replace(replace(replace(c_name || ', Rua ' || c_custkey || ', ' || trim(n_name) || ' - CE', '#', '%23'), ',', '%2C'), ' ', '%20') AS google_maps FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def discovery_export(t):
+    """The rows of a search's export file."""
+    k, empty = F.col("c_custkey"), F.lit(None).cast("string")
+    phone = F.concat(F.lit("88"), k.cast("string"))
+    own = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.trim("n_name").alias("city"))
+    given = {
+        "name": F.col("c_name"), "cnpj_status": F.when(k % 3 == 0, "ATIVA"), "category": F.col("c_mktsegment"), "street": F.lit("Rua"), "house_number": k.cast("string"), "city": F.col("city"), "state": F.lit("CE"), "phone": F.when(k % 2 == 0, phone), "phones": F.array(phone, F.lit("3611")),
+        "profiles": F.when(k % 4 == 0, F.create_map(F.lit("instagram"), F.lit("@i"))).otherwise(F.create_map().cast("map<string,string>")), "lat": (k % 90).cast("double"), "lon": F.when(k % 2 == 0, -40.5), "source_labels": F.slice(F.array(F.lit("Base"), F.lit("Mapa")), F.lit(1), (k % 3).cast("int")),
+        "confidence": F.lit("HIGH"), "completeness": k % 101, "quality_label": F.lit("PARCIAL"), "conflict_fields": F.when(k % 6 == 0, F.array(F.lit("phone"), F.lit("street"))), "company_id": F.when(k % 7 == 0, k),
+    }
+    rows = t("customer").join(own, "c_nationkey").select(*[v.alias(n) for n, v in given.items()], *[empty.alias(n) for n in ("legal_name", "cnpj", "neighborhood", "postcode", "whatsapp", "email", "website")])
+    return files.discovery_rows(rows)

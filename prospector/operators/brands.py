@@ -39,10 +39,10 @@ def _near(left: DataFrame, right: DataFrame, meters: float) -> DataFrame:
     own = placed(left).withColumn("_row", row).withColumn("_col", column(F.col("_row"))).select("brand", F.col("ord").alias("ord_l"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_row", "_col")
     around = lambda c: F.explode(F.sequence(c - 1, c + 1))
     other = placed(right).withColumn("_row", around(row)).withColumn("_col", around(column(F.col("_row"))))
-    far = own.join(other, ["brand", "_row", "_col"]).where("ord_l < ord").where(haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) < meters)
+    far = own.join(other.hint("merge"), ["brand", "_row", "_col"]).where("ord_l < ord").where(haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) < meters)
     by_distance = far.select("brand", "ord_l", F.col("ord").alias("ord_r"))
     blank = lambda df: df.withColumn("_blank", F.col("lat").isNull() | F.col("lon").isNull())
-    same = blank(left).select("brand", "address", F.col("ord").alias("ord_l"), F.col("_blank").alias("_b")).join(blank(right).select("brand", "address", F.col("ord").alias("ord_r"), "_blank"), ["brand", "address"])
+    same = blank(left).select("brand", "address", F.col("ord").alias("ord_l"), F.col("_blank").alias("_b")).join(blank(right).select("brand", "address", F.col("ord").alias("ord_r"), "_blank").hint("merge"), ["brand", "address"])
     return by_distance.unionByName(same.where("ord_l < ord_r and (_b or _blank)").select("brand", "ord_l", "ord_r"))
 
 
@@ -51,19 +51,20 @@ def distinct_places(members: DataFrame, meters: float = APART_M) -> DataFrame:
 
     Of places alike in brand, coordinates and address only the first can count. For the others, rounds of joins: a place counts
     once no earlier undecided one is near, and what is near a later one of it falls. No brand is gathered into one task.
+    The tables of the rounds are small as files and large as rows, so joins are hinted: a broadcast would fill the driver.
     """
     first = stored(members.groupBy("brand", "lat", "lon", "address").agg(F.min("ord").alias("ord")))
     near = stored(_near(first, first, meters).distinct())
-    kept = stored(first.select("brand", "ord").join(near.select("brand", F.col("ord_r").alias("ord")), ["brand", "ord"], "left_anti"))
+    kept = stored(first.select("brand", "ord").join(near.select("brand", F.col("ord_r").alias("ord")).hint("merge"), ["brand", "ord"], "left_anti"))
     while True:
-        fallen = near.join(kept.withColumnRenamed("ord", "ord_l"), ["brand", "ord_l"], "left_semi").select("brand", F.col("ord_r").alias("ord")).distinct()
+        fallen = near.join(kept.withColumnRenamed("ord", "ord_l").hint("merge"), ["brand", "ord_l"], "left_semi").select("brand", F.col("ord_r").alias("ord")).distinct()
         gone = fallen.withColumn("_gone", F.lit(True))
         open_ = near
         for side in ("ord_l", "ord_r"):
-            open_ = open_.join(gone.select("brand", F.col("ord").alias(side)), ["brand", side], "left_anti")
+            open_ = open_.join(gone.select("brand", F.col("ord").alias(side)).hint("merge"), ["brand", side], "left_anti")
         open_ = stored(open_)
-        waiting = near.select("brand", F.col("ord_r").alias("ord")).distinct().join(fallen, ["brand", "ord"], "left_anti")
-        free = stored(waiting.join(open_.select("brand", F.col("ord_r").alias("ord")), ["brand", "ord"], "left_anti").join(kept, ["brand", "ord"], "left_anti"))
+        waiting = near.select("brand", F.col("ord_r").alias("ord")).distinct().join(fallen.hint("merge"), ["brand", "ord"], "left_anti")
+        free = stored(waiting.join(open_.select("brand", F.col("ord_r").alias("ord")).hint("merge"), ["brand", "ord"], "left_anti").join(kept.hint("merge"), ["brand", "ord"], "left_anti"))
         if free.isEmpty():
             return kept
         kept, near = stored(kept.unionByName(free)), open_
@@ -77,4 +78,4 @@ def brand_locations(places: DataFrame, meters: float = APART_M) -> DataFrame:
     """
     members = stored(brand_members(places))
     many = distinct_places(members, meters).groupBy("brand").agg(F.count("*").alias("n")).where("n >= 2")
-    return members.join(many, "brand").groupBy("ord").agg(F.max("n").alias("locations"))
+    return members.join(many.hint("merge"), "brand").groupBy("ord").agg(F.max("n").alias("locations"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import stored
-from .resolve import BLOCK_CAP, block_keys, candidate_pairs, classify, merged, review_pairs
+from .resolve import BLOCK_CAP, block_keys, block_levels, classify, merged, review_pairs
 
 
 class Resolved(NamedTuple):
@@ -31,7 +31,7 @@ def resolved(p: DataFrame, cap: int = BLOCK_CAP) -> Resolved:
     """The full resolution of prepared records, one row an idx."""
     p = stored(p)
     keys = stored(block_keys(p))
-    levels = stored(classify(p, candidate_pairs(keys, cap)))
+    levels = stored(block_levels(p, keys, cap))
     members, reviews = merged(p, levels)
     members = stored(members)
     return Resolved(p, keys, levels, members, stored(reviews))

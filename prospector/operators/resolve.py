@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cell, haversine
 from ..functions.ids import email, phone_key, tax_id, website_domain
-from ..functions.text import fold_text, name_similarity, normalize_business_name, round_half_up, significant_tokens
+from ..functions.text import fold_text, gram_similarity, name_similarity, normalize_business_name, round_half_up, significant_tokens, trigram_numbers
 from .graph import connected, stored
-from .guarded import guarded_clusters
+from .guarded import cities_fit, guarded_clusters
 
 BLOCK_CAP = 400
 # Source order, priorities by field group, and weights that results depend on.
@@ -67,14 +67,15 @@ def numbers_in(c: Column) -> Column:
 
 def pair_terms(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     """What several rules of pair_level ask of two records, each computed once: similarity of names, a shared token, distance."""
-    return {"_sim": name_similarity(a["norm"], b["norm"]), "_shared": F.arrays_overlap(a["tokens"], b["tokens"]), "_meters": haversine(a["lat"], a["lon"], b["lat"], b["lon"])}
+    sim = gram_similarity(a["norm"], a["grams"], b["norm"], b["grams"]) if "grams" in a else name_similarity(a["norm"], b["norm"])
+    return {"_sim": sim, "_shared": F.arrays_overlap(a["tokens"], b["tokens"]), "_meters": haversine(a["lat"], a["lon"], b["lat"], b["lon"])}
 
 
 def pair_level(a: dict[str, Column], b: dict[str, Column], terms: dict[str, Column] | None = None) -> Column:
     """EXACT, HIGH, MEDIUM, LOW or null for two prepared records given by their columns."""
     sim, shared, meters = (terms or pair_terms(a, b)).values()
     no = F.lit(None).cast("string")
-    fits = (a["city_key"] == "") | (b["city_key"] == "") | F.contains(a["city_key"], b["city_key"]) | F.contains(b["city_key"], a["city_key"])
+    fits = cities_fit(a["city_key"], b["city_key"])
     street = (a["street_key"] != "") & (a["street_key"] == b["street_key"])
     near = lambda m: F.coalesce(meters <= m, F.lit(False)) | street
     same_set = (F.size(F.array_except(a["tokens"], b["tokens"])) == 0) & (F.size(F.array_except(b["tokens"], a["tokens"])) == 0)
@@ -94,15 +95,47 @@ def pair_level(a: dict[str, Column], b: dict[str, Column], terms: dict[str, Colu
     )
 
 
+def _sides(names: list[str]) -> list[dict[str, Column]]:
+    return [{c: F.col(f"{s}_{c}") for c in names} for s in ("a", "b")]
+
+
+def _side(p: DataFrame, s: str, names: list[str], *own: str) -> DataFrame:
+    return p.select(*own, F.col("idx").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names])
+
+
+def _levels(both: DataFrame, sides: list[dict[str, Column]]) -> DataFrame:
+    terms = pair_terms(*sides)
+    level = pair_level(*sides, {c: F.col(c) for c in terms})
+    # Exploded, not filtered: a filter would go below the terms and compute all of them again at each use.
+    return both.withColumns(terms).select("a", "b", F.explode(F.array_compact(F.array(level))).alias("level"))
+
+
 def classify(p: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, level) of the pairs that have any evidence."""
     names = [c for c in p.columns if c != "idx"]
-    side = lambda s: p.select(F.col("idx").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sides = [{c: F.col(f"{s}_{c}") for c in names} for s in ("a", "b")]
-    terms = pair_terms(*sides)
-    level = pair_level(*sides, {c: F.col(c) for c in terms})
-    return both.withColumns(terms).select("a", "b", level.alias("level")).where("level is not null")
+    both = pairs.join(_side(p, "a", names), "a").join(_side(p, "b", names), "b")
+    return _levels(both, _sides(names))
+
+
+def block_levels(p: DataFrame, keys: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
+    """What classify gives of candidate_pairs, with shuffles that grow with the records and not with the pairs.
+
+    Records go to their blocks with all that a level asks, and a pair is judged in the first block that both are in, so pairs
+    are neither made distinct nor joined with their records. p may be stored before: it is small as a file and large as rows, so joins are hinted.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("key")
+    blocks = keys.join(sizes.hint("merge"), "key").groupBy("idx").agg(F.collect_set("key").alias("blocks"))  # a record's own keys
+    rows = stored(p.withColumn("grams", trigram_numbers("norm")).join(blocks.hint("merge"), "idx"))
+    names = [c for c in rows.columns if c != "idx"]
+    key = F.explode("blocks").alias("key")
+    both = _side(rows.select("*", key), "a", names, "key").join(_side(rows.select("*", key), "b", names, "key").hint("merge"), "key")
+    a, b = _sides(names)
+    # Without one of these a pair has no level; names are compared only if it can have one.
+    shared = (a["domain"] == b["domain"]) | F.arrays_overlap(a["phone_keys"], b["phone_keys"]) | (a["norm"] == b["norm"]) | F.arrays_overlap(a["tokens"], b["tokens"])
+    loose = F.coalesce(a["tax"] == b["tax"], F.lit(True)) & F.coalesce(cities_fit(a["city_key"], b["city_key"]), F.lit(True)) & F.coalesce(shared, F.lit(False))
+    may = loose | F.coalesce(a["tax"] == b["tax"], F.lit(False)) | F.arrays_overlap(a["identity"], b["identity"])
+    first = F.col("key") == F.array_min(F.array_intersect(a["blocks"], b["blocks"]))
+    return _levels(both.where("a < b").where(may).where(first), [a, b])
 
 
 def _joined(p: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -353,13 +353,13 @@ def people(t) -> DataFrame:
 @query("""SELECT s_suppkey * 2 AS a, s_suppkey * 2 + 1 AS b, CASE WHEN s_suppkey % 5 = 0 THEN 'EXACT' ELSE 'HIGH' END AS level FROM supplier JOIN customer ON s_suppkey = c_custkey""")
 def pair_classification(t):
     p = resolve.prepare(people(t))
-    return resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p)))
+    return resolve.block_levels(p, resolve.block_keys(p))
 
 
 @query("""SELECT c_custkey * 2 AS idx, c_custkey * 2 AS cluster FROM customer UNION ALL SELECT s_suppkey * 2 + 1, CASE WHEN c_custkey IS NULL THEN s_suppkey * 2 + 1 ELSE s_suppkey * 2 END FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey""")
 def guarded_clusters(t):
     p = stored(resolve.prepare(people(t)))
-    return resolve.clusters(p, resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p))))
+    return resolve.clusters(p, resolve.block_levels(p, resolve.block_keys(p)))
 
 
 def rivals(t) -> DataFrame:
@@ -384,7 +384,7 @@ def rivals(t) -> DataFrame:
 
 def rival_levels(t) -> tuple[DataFrame, DataFrame]:
     p = stored(resolve.prepare(rivals(t)))
-    return p, stored(resolve.classify(p, resolve.candidate_pairs(resolve.block_keys(p))))
+    return p, stored(resolve.block_levels(p, resolve.block_keys(p)))
 
 
 @query()

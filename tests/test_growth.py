@@ -1,7 +1,7 @@
 """What keeps queries within bounds as tables grow, checked on plans and small tables."""
 
-from prospector.operators import brands
-from prospector.plans.catalogue import QUERIES
+from prospector.operators import brands, resolve
+from prospector.plans.catalogue import QUERIES, rivals, table
 
 DIR = "/root/testdata/sf0.001"
 
@@ -23,3 +23,16 @@ def test_rounds_of_brands_broadcast_nothing(spark, monkeypatch):
     plans.append(QUERIES["brand_units"](spark, DIR)._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans)
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_pairs_are_judged_in_their_first_block(spark, monkeypatch):
+    """The rows of candidate_pairs and classify at any cap; pairs go through no shuffle, and nothing is broadcast."""
+    plans = plans_of(monkeypatch, resolve)
+    p = resolve.stored(resolve.prepare(rivals(lambda name: table(spark, DIR, name)).where("idx % 3 <> 1")))
+    keys = resolve.block_keys(p)
+    for cap in (400, 9):
+        want = sorted(map(tuple, resolve.classify(p, resolve.candidate_pairs(keys, cap)).collect()))
+        found = resolve.block_levels(p, keys, cap)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 50
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 5 and not any(s in plan for plan in plans[1:] for s in ("Broadcast", "hashpartitioning(a", "hashpartitioning(b"))

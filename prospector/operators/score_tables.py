@@ -19,7 +19,7 @@ def keep_scores(spark: SparkSession, path: str, scored: DataFrame, folders: int)
     rows = scored.select(*COLUMNS)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        last = rows.groupBy("company_id").agg(F.max_by(F.struct(*COLUMNS[1:]), "computed_at").alias("r"))
+        last = stored_tables.by_keys(rows, ["company_id"], rows.count()).groupBy("company_id").agg(F.max_by(F.struct(*COLUMNS[1:]), "computed_at").alias("r"))
         stored_tables.create(last.select("company_id", "r.*"), path, ["company_id"], folders)
         return
     stored_tables.upsert(spark, path, rows, ["company_id"], folders, F.col("computed_at"))

@@ -13,20 +13,37 @@ from pyspark.sql import functions as F
 from .graph import stored
 
 FOLDER = "_folder"
+#: Rows that one task sorts; wide rows of a task are its memory.
+ROWS_A_TASK = 50_000
 
 
 def _placed(rows: DataFrame, keys: list[str], folders: int) -> DataFrame:
     return rows.withColumn(FOLDER, F.pmod(F.xxhash64(*keys), F.lit(folders)).cast("int"))
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    """Each folder that rows have anything of becomes just these rows."""
-    rows.repartition(FOLDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(path)
+def by_keys(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Rows of a key in one task, ROWS_A_TASK a task: more rows make more tasks, not larger ones."""
+    return rows.repartition(-(-count // ROWS_A_TASK) or 1, *keys)
+
+
+def _dealt(rows: DataFrame, keys: list[str], folders: int, count: int) -> DataFrame:
+    """A folder's rows in one task, or in as many as they need, a file each."""
+    shares = -(-count // (folders * ROWS_A_TASK))
+    if shares <= 1:
+        return rows.repartition(FOLDER)
+    return rows.repartition(folders * shares, FOLDER, F.pmod(F.xxhash64(F.lit("share"), *keys), F.lit(shares)))
+
+
+def _replace(rows: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """Each folder that rows (stored) have anything of becomes just these rows. keys: columns by which a large folder is dealt, by default all but maps, which have no hash."""
+    own = keys or [c for c, kind in rows.dtypes if c != FOLDER and "map<" not in kind]
+    folders, count = rows.agg(F.count_distinct(FOLDER), F.count("*")).first()
+    _dealt(rows, own, max(folders, 1), count).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(path)
 
 
 def create(rows: DataFrame, path: str, keys: list[str], folders: int) -> None:
     """A new table at path, its rows in at most `folders` folders by keys; null keys are keys like others."""
-    _placed(rows, keys, folders).repartition(FOLDER).write.partitionBy(FOLDER).parquet(path)
+    _dealt(_placed(rows, keys, folders), keys, folders, rows.count()).write.partitionBy(FOLDER).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +55,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], fol
 
     folders is the number that the table was created with. rows have the table's columns. No rows change nothing.
     """
+    rows = by_keys(rows, keys, rows.count())
     if latest is not None:
         last = F.row_number().over(W.partitionBy(*keys).orderBy(latest.desc_nulls_last()))
         rows = rows.withColumn("_last", last).where("_last = 1").drop("_last")
@@ -52,8 +70,8 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], fol
     equal = F.lit(True)
     for k in keys:
         equal = equal & old[k].eqNullSafe(F.col(f"_new_{k}"))
-    kept = old.join(same, equal, "left_anti")
-    _replace(stored(kept.unionByName(new.select(*kept.columns))), path)
+    kept = old.join(same.hint("shuffle_hash"), equal, "left_anti")  # only the keys are held, old rows pass by unsorted
+    _replace(stored(kept.unionByName(new.select(*kept.columns))), path, keys)
 
 
 def retain(spark: SparkSession, path: str, keep: Column) -> int:

@@ -1,6 +1,8 @@
 """What keeps queries within bounds as tables grow, checked on plans and small tables."""
 
-from prospector.operators import brands, resolve
+from pyspark.sql import functions as F
+
+from prospector.operators import brands, resolve, stored_tables
 from prospector.plans.catalogue import QUERIES, rivals, table
 
 DIR = "/root/testdata/sf0.001"
@@ -36,3 +38,17 @@ def test_pairs_are_judged_in_their_first_block(spark, monkeypatch):
         assert sorted(map(tuple, found.collect())) == want and len(want) > 50
         plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len(plans) == 5 and not any(s in plan for plan in plans[1:] for s in ("Broadcast", "hashpartitioning(a", "hashpartitioning(b"))
+
+
+def test_a_large_folder_is_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_tables, "ROWS_A_TASK", 100, raising=False)
+    path, day = f"{tmp_path}/t", lambda df, n: df.selectExpr("id AS k", f"map('d', {n}) AS m", f"{n} AS at")
+    rows = lambda: {(r["k"], r["m"]["d"]) for r in stored_tables.read(spark, path).collect()}
+    sizes = lambda: [len(p.read_bytes()) and spark.read.parquet(str(p)).count() for p in (tmp_path / "t" / "_folder=0").glob("*.parquet")]
+    stored_tables.create(day(spark.range(1000), 1), path, ["k"], 1)
+    assert len(sizes()) > 4 and max(sizes()) < 400 and rows() == {(i, 1) for i in range(1000)}
+    stored_tables.upsert(spark, path, day(spark.range(500, 1500), 2).union(day(spark.range(500, 600), 0)), ["k"], 1, F.col("at"))
+    want = {(i, 1 if i < 500 else 2) for i in range(1500)}
+    assert len(sizes()) > 7 and max(sizes()) < 400 and rows() == want
+    assert stored_tables.retain(spark, path, F.col("k") % 3 > 0) == 500
+    assert len(sizes()) > 4 and max(sizes()) < 400 and rows() == {x for x in want if x[0] % 3}

@@ -15,8 +15,8 @@ from ..functions.ids import email, phone_key, tax_id, website_domain
 from ..functions.text import fold_text, gram_similarity, name_similarity, normalize_business_name, round_half_up, significant_tokens, trigram_numbers
 from .graph import connected, stored
 from .guarded import cities_fit, guarded_clusters
+from .pairs import BLOCK_CAP, candidate_pairs  # noqa: F401
 
-BLOCK_CAP = 400
 # Source order, priorities by field group, and weights that results depend on.
 SOURCE_ORDER = ["local_db", "places_overture", "osm_overpass", "osm_nominatim", "osm_photon", "cnpj_brasilapi", "website_discovery"]
 CONFIDENCE = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
@@ -54,13 +54,6 @@ def block_keys(p: DataFrame) -> DataFrame:
     return p.select("idx", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
 
 
-def candidate_pairs(keys: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
-    """Distinct (a, b), a < b, that share a key of 2 to cap records."""
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("key")
-    kept = keys.join(sizes, "key")
-    return kept.select("key", F.col("idx").alias("a")).join(kept.select("key", F.col("idx").alias("b")), "key").where("a < b").select("a", "b").distinct()
-
-
 def numbers_in(c: Column) -> Column:
     return F.array_join(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), " ")
 

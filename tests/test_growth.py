@@ -1,8 +1,12 @@
 """What keeps queries within bounds as tables grow, checked on plans and small tables."""
 
+import itertools
+import random
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
-from prospector.operators import brands, resolve, stored_tables
+from prospector.operators import brands, pairs, resolve, stored_tables
 from prospector.plans.catalogue import QUERIES, rivals, table
 
 DIR = "/root/testdata/sf0.001"
@@ -40,6 +44,24 @@ def test_pairs_are_judged_in_their_first_block(spark, monkeypatch):
     assert len(plans) == 5 and not any(s in plan for plan in plans[1:] for s in ("Broadcast", "hashpartitioning(a", "hashpartitioning(b"))
 
 
+def test_pairs_of_keys_go_through_no_shuffle(spark, monkeypatch):
+    """Each pair once, whatever the parts; a frequent key makes none, and what is shuffled are records with their keys."""
+    monkeypatch.setattr(pairs, "PAIRS_A_STEP", 50)
+    rng = random.Random(3)
+    held = {(rng.randrange(-40, 120) * 10**9, f"k{rng.randrange(90)}") for _ in range(700)} | {(i, "all") for i in range(30)} | {(7, "alone"), (2, "two"), (3, "two")}
+    keys = spark.createDataFrame([*held, (None, "two"), (None, "alone")], "idx long, key string")
+    by = defaultdict(set)
+    for i, k in [*held, (None, "two"), (None, "alone")]:
+        by[k].add(i)
+    want = sorted({p for ids in by.values() if 2 <= len(ids) <= 20 for p in itertools.combinations(sorted(ids - {None}), 2)})
+    for size in ((), (40,), (3,)):
+        found = pairs.candidate_pairs(keys, 20, *size)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 300
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(cell" in plan and "hashpartitioning(a" not in plan and "Join" not in plan
+    assert pairs.candidate_pairs(keys.where("idx < 0 and idx > 0")).isEmpty()
+
+
 def test_a_large_folder_is_several_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stored_tables, "ROWS_A_TASK", 100, raising=False)
     path, day = f"{tmp_path}/t", lambda df, n: df.selectExpr("id AS k", f"map('d', {n}) AS m", f"{n} AS at")
